@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality, sharding, simhash, tokens
+from . import chat, decontaminate, licenses, lines, mixing, ppm, quality, sharding, simhash, tokens
 
 QUERIES = {
     f.__name__: f
     for f in (
         sharding.op1_sharding,
         tokens.op2_token_counts,
+        chat.op3_chat_perspectives,
+        lines.op4_line_dedup,
         quality.op5_quality,
+        ppm.op6_lm_score,
         licenses.op7_licenses,
         decontaminate.op8_decontaminate,
         simhash.op9_simhash,
+        mixing.op10_mixing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.OP3_SQL}

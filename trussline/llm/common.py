@@ -61,7 +61,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     Alternates large-star and small-star steps: each keeps the components and moves every node
     closer to its smallest neighbour, so the number of rounds grows with the logarithm of the
     longest chain.  Every step is a grouped minimum and a join; nothing is collected but a count
-    and a checksum.  Nodes without an edge have no row.  An empty graph gives no rows.
+    and a checksum.  Roots themselves and nodes without an edge have no row.
     """
     cur = materialize(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()

@@ -40,7 +40,7 @@ def _cell(h: Column) -> Column:
 def ring(spark, shards: int = SHARDS) -> DataFrame:
     """One row an arc: arc number in ring order, its last cell, and the distinct shards met clockwise."""
     nodes = spark.range(shards * NODES).select(
-        (F.col("id") % shards).cast("int").alias("shard"), F.xxhash64(F.lit("node"), "id").alias("h")
+        F.expr(f"cast(id div {NODES} as int)").alias("shard"), F.xxhash64(F.lit("node"), "id").alias("h")
     )
     placed = F.array_sort(F.collect_list(F.struct(_cell(F.col("h")).alias("cell"), "h", "shard")))
     whole = nodes.agg(placed.alias("nodes"))  # shards * NODES entries, fixed by the parameters

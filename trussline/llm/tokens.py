@@ -40,7 +40,9 @@ def whole_tokens(processor: sentencepiece.SentencePieceProcessor) -> set[str]:
     names = [processor.id_to_piece(i) for i in range(processor.get_piece_size()) if not (processor.is_byte(i) or processor.is_control(i) or processor.is_unknown(i))]
     marked = [n.replace(MARK, " ") for n in names if n.startswith(MARK)]
     alone = processor.encode([m[1:] for m in marked], num_threads=1)
-    return {m for m, ids in zip(marked, alone, strict=True) if len(ids) == 1}
+    whole = {m for m, ids in zip(marked, alone, strict=True) if len(ids) == 1}
+    # a lone blank cannot be encoded alone (the library adds one); it is the mark's own piece, if there is one
+    return whole | {" "} if MARK in names else whole
 
 
 class WordCounter:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
 
@@ -49,7 +50,7 @@ def determinant(m: Column) -> Column:
     return sum((s * two(0, p) * two(2, q) for s, p, q in zip(signs[1:], pairs[1:], pairs[::-1][1:], strict=True)), two(0, pairs[0]) * two(2, pairs[-1]))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def inverse(m: pd.Series) -> pd.Series:
     """Inverse of each matrix; of a singular one, null."""
     out = []

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _dot(a, b):
@@ -93,13 +94,13 @@ def _batch(s: pd.Series) -> np.ndarray:
     return np.array(s.tolist(), float).reshape(-1, 3, 3)
 
 
-@F.pandas_udf("distance double, a array<double>, b array<double>")
+@F.pandas_udf(T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("a", T.ArrayType(T.DoubleType())), T.StructField("b", T.ArrayType(T.DoubleType()))]))
 def closest_points(s: pd.Series, t: pd.Series) -> pd.DataFrame:
     a, b, d = triangle_points(_batch(s), _batch(t))
     return pd.DataFrame({"distance": d, "a": list(a), "b": list(b)})
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def intersects(s: pd.Series, t: pd.Series) -> pd.Series:
     x, y = _batch(s), _batch(t)
     size = np.maximum(np.abs(x).max((1, 2)), np.abs(y).max((1, 2)))
@@ -132,7 +133,7 @@ def inside_mesh(points: np.ndarray, triangles: np.ndarray, seed: int = 7, tries:
     return out
 
 
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
 def mesh_contains(points: pd.Series, triangles: pd.Series) -> pd.Series:
     """points: array of x, y, z triples flattened; triangles: flattened nines."""
     return pd.Series([inside_mesh(np.array(p, float).reshape(-1, 3), np.array(t, float).reshape(-1, 3, 3)).tolist() for p, t in zip(points, triangles, strict=True)])

@@ -1,5 +1,8 @@
 """Queries over the driver's tables, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import batches, clashes, documents, hierarchy, values
+
+_MODULES = (documents, hierarchy, values, clashes, batches)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "latest_revision"

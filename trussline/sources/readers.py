@@ -34,7 +34,7 @@ def csv_metadata(spark: SparkSession, path: str, delimiter: str = ",", headers:
     else:
         tokens = tokens.withColumn("h", F.array(*map(F.lit, headers)))
     pairs = F.slice(F.arrays_zip(F.col("h").alias("key"), F.col("t").alias("raw")), 1, F.least(F.size("h"), F.size("t")))
-    typed = F.transform(pairs, lambda p: F.struct(p["0"].alias("key"), guess_cast(p["1"])["tag"].alias("tag"), p["1"].alias("value")))
+    typed = F.transform(pairs, lambda p: F.struct(p["key"].alias("key"), guess_cast(p["raw"])["tag"].alias("tag"), p["raw"].alias("value")))
     return tokens.where(F.size("t") > 0).select(F.element_at("t", 1).alias("name"), typed.alias("metadata"))
 
 

@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trussline.functions import linear
-from trussline.operators import clash, geometry, graph, packing, spatial, tree
+from trussline.functions import documents, linear
+from trussline.operators import clash, geometry, graph, packing, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
 from trussline.sources import readers, store
 from trussline.streaming import jobs
@@ -286,3 +286,69 @@ def test_latest_values_stream(spark, tmp_path):
         q = jobs.latest_values(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert seen[2] == 8.0 and (seen[1] is None or math.isnan(seen[1]))
+
+
+CORNERS = np.array([(-1, -1, -1), (1, -1, -1), (1, 1, -1), (-1, 1, -1), (-1, -1, 1), (1, -1, 1), (1, 1, 1), (-1, 1, 1)], float)
+
+
+def cube():
+    from trussline.queries.clashes import _CUBE
+
+    return CORNERS.copy(), np.array(_CUBE)
+
+
+def test_penetration_of_cubes():
+    v, f = cube()
+    for move, want in (([2.5, 0, 0], 0.0), ([1.9, 0.2, 0.1], 0.1), ([1.2, 0.1, 0.1], 0.8)):
+        assert penetration.depth(v * 0.999999 + move, f, v, f, 0.5) == pytest.approx(want, abs=1e-4)
+    small = v * 0.1
+    assert penetration.depth(small, f, v, f, 0.5) == pytest.approx(1.1)  # wholly inside
+    assert penetration.closed(f) and not penetration.closed(f[:-1])
+    out = penetration.outward(v, f)
+    assert (np.einsum("ij,ij->i", out, v) > 0.5).all()
+
+
+def test_hard_clashes(spark):
+    v, f = cube()
+    rows = [(i, (v + [x, 0, 0]).ravel().tolist(), f.ravel().tolist()) for i, x in enumerate([0.0, 1.0, 1.95, 9.0])]
+    meshes = spark.createDataFrame(rows, "id long, v array<double>, f array<int>")
+    pairs = spark.createDataFrame([(0, 1, "A", "B"), (0, 2, "A", "C"), (0, 3, "A", "D")], "a_id long, b_id long, a_composite string, b_composite string")
+    got = penetration.hard_clashes(pairs, meshes, 0.5).collect()
+    assert [(r.a, r.b, round(r.depth, 6)) for r in got] == [("A", "B", 1.0)] and got[0].positions == [[0, 0, 0], [1, 0, 0]]
+
+
+def test_documents(spark):
+    df = spark.createDataFrame([(1, "x", {"k": "1"}, {"k": "2", "l": "3"}, "<a><b>t</b></a>"), (None, None, {}, {}, "<a/>")], "n int, s string, a map<string,string>, b map<string,string>, x string")
+    r = df.select(documents.field_names(df).alias("f"), documents.merged(F.col("a"), F.col("b")).alias("m"), documents.merged(F.col("a"), F.col("b"), unique=True).alias("u"), documents.xml_leaves(F.col("x"), {"b": "/a/b", "c": "/a/c"}).alias("x")).collect()
+    assert r[0].f == ["a", "b", "n", "s", "x"] and r[0].m == {"k": "2", "l": "3"} and r[0].u == {"k": "1", "l": "3"}
+    assert [(e.key, e.value) for e in r[0].x] == [("b", "t")] and r[1].x == []
+    assert df.where("n is not null").select(documents.required(df, "n", "bigint").alias("n")).first().n == 1
+    with pytest.raises(TypeError):
+        documents.required(df, "s", "bigint")
+    with pytest.raises(Exception, match="no field s"):
+        df.select(documents.required(df, "s", "string")).collect()
+
+
+def test_scene_edits_and_commit(spark, tmp_path):
+    n = scene(spark)
+    world = {r.shared_id: r.world[0] for r in graph.world_transforms(scenes.scale(n, 10.0)).collect()}
+    assert world == {"r": 10, "a": 20, "b": 60}
+    turned = graph.world_transforms(scenes.reorient(scenes.shift(n.where("shared_id = 'r'"), [0, 1, 2]))).first().world
+    assert (turned[3], turned[7], turned[11]) == (0, 2, -1)
+    assert spark.range(1).select(scenes.reorient_offset(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).alias("o")).first().o == [1, 3, -2]
+    s = store.Store(spark, str(tmp_path / "s"))
+    rev = lambda i, day: spark.createDataFrame([(i, "main", datetime.datetime(2024, 1, day))], "_id string, branch string, timestamp timestamp")
+    scenes.commit(s, "t", "m", rev("r1", 1), n)
+    scenes.commit(s, "t", "m", rev("r2", 2), n.where("type <> 'mesh'"))
+    assert scenes.load(s, "t", "m", "main").count() == 3
+    scenes.set_status(s, "t", "m", "r2", 5)
+    assert scenes.load(s, "t", "m", "main").count() == 6
+    assert scenes.load(s, "t", "m", "main", (5,)).count() == 3
+
+
+def test_element_hierarchy(spark):
+    rel = spark.createDataFrame([("e1", "p2", "aggregates"), ("e1", "p1", "contains"), ("e2", "e1", "nests")], "element string, parent string, kind string")
+    parents = scenes.element_parents(rel)
+    assert {r.element: r.parent for r in parents.collect()} == {"e1": "p1", "e2": "e1"}
+    elements = spark.createDataFrame([("e1", "Wall"), ("e2", "Door")], "element string, kind string")
+    assert [(r.branch, r.n) for r in scenes.type_groups(elements, parents).collect()] == [("p1/Wall", 1)]

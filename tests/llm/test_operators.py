@@ -174,13 +174,13 @@ def test_line_classes(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randint(0, 9)) for _ in range(40)) for _ in range(12)]
     texts = ["\n".join(rng.choice(base) if rng.random() < 0.5 else rng.choice(base)[:-1] + rng.choice("xyz") for _ in range(4)) for _ in range(30)]
-    texts += [None, "", "\n \n", base[0].upper(), "  " + base[1].replace(" ", "   "), "w " * 40_000, "one two"]
+    texts += [None, "", "\n \n", base[0].upper(), "  " + base[1].replace(" ", "   "), "w " * 40_000, "w v " * 90, " ".join(f"w{i % 97}" for i in range(300)), "one two"]
     docs = docs_of(spark, texts)
     got = {(r.doc_id, r.line_no): r for r in lines.classes(docs).collect()}
     norm = {}
     for i, t in enumerate(texts):
         for k, line in enumerate((t or "").split("\n")):
-            n = re.sub(r"\s+", " ", line.lower()).strip()
+            n = " ".join(words_alnum(line.lower()))
             if n:
                 norm[i, k] = n
     assert set(got) == set(norm)
@@ -438,8 +438,9 @@ def test_mixing_meets_its_targets(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     posts = mixing.with_posteriors(docs, mixing.train(docs, labels))
-    rate, start, now, target = mixing.fit_rates(posts)
-    rows = posts.withColumn("_rate", rate).select("_tokens", "_p", "_rate").collect()
+    posts = posts.selectExpr("doc_id", "1L as _crc", "_tokens", "_p")
+    steps, start, now, target = mixing.fit_rates(posts)
+    rows = mixing.with_copies(posts, steps).collect()
     r, p, t = np.array([x._rate for x in rows]), np.array([x._p for x in rows]), np.array([x._tokens for x in rows])
     assert (r >= 0).all()
     assert np.allclose((r * t) @ p, now, rtol=1e-6)

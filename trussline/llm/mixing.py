@@ -1,11 +1,11 @@
 """Soft-membership mixing of domains to target token weights.
 
-A softmax regression over hashed words, fitted to at most `SAMPLE` labelled documents (in the order
+A softmax regression over the hashed words that tell the domains apart, fitted to at most `SAMPLE` labelled documents (in the order
 of a hash of doc_id), gives every document a posterior over the domains low (quality 0), toxic and
 clean.  Document rates r >= 0 minimise the squared distance of the expected domain token totals
 sum(r * tokens * posterior) from the targets, by accelerated projected gradient from r = 1: each step
 is one aggregate of as many sums as there are domains over the documents' table, after which only
-those sums reach the driver.  The rates themselves are a fold of the steps over each row, so nothing but
+those sums reach the driver.  The rates themselves are a fold of the steps over the rows, so nothing but
 the table of posteriors is stored.
 
 Targets are weights of the result; its size is such that the domain `ANCHOR` keeps its expected
@@ -34,7 +34,8 @@ DOMAINS = ("low", "toxic", "clean")
 WEIGHTS = {"low": 0.05, "toxic": 0.05, "clean": 0.9}
 ANCHOR = "clean"
 SAMPLE = 6_000
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
+TELLING = 6.0
 STEPS = 60
 #: The fit ends when no domain is off by more than this share of all target tokens.
 TOLERANCE = 2e-3
@@ -61,25 +62,32 @@ def _sums(index: np.ndarray, owner: np.ndarray, rows: int, weights: np.ndarray)
     return np.stack([np.bincount(owner, weights[index, k], rows) for k in range(weights.shape[1])], 1)
 
 
-def fit(features_: list[np.ndarray], y: np.ndarray, steps: int = 120, rate: float = 0.5, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (BUCKETS, domains) and bias by full-batch Adagrad; a document's features weigh
-    1 / sqrt(number)."""
+def telling(index: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Buckets whose count in some class is `TELLING` deviations from that of a bucket that tells nothing."""
+    k = len(DOMAINS)
+    n = np.stack([np.bincount(index[classes == j], minlength=BUCKETS) for j in range(k)], 1)
+    share = n.sum(0) / max(1, n.sum())
+    total = n.sum(1, keepdims=True)
+    z = (n - total * share) / np.sqrt(total * share * (1 - share) + 1)
+    return np.abs(z).max(1) >= TELLING
+
+
+def fit(features_: list[np.ndarray], y: np.ndarray, steps: int = 200, rate: float = 0.3, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (BUCKETS, domains), zero but for telling buckets, and bias, by full-batch Adagrad."""
     k = len(DOMAINS)
     w, b = np.zeros((BUCKETS, k)), np.zeros(k)
     if not len(y):
         b[DOMAINS.index(ANCHOR)] = 20.0
         return w, b
-    index = np.concatenate(features_) if features_ else np.zeros(0, np.int32)
-    sizes = np.array([len(f) for f in features_])
-    owner = np.repeat(np.arange(len(y)), sizes)
-    scale = 1 / np.sqrt(np.maximum(sizes, 1))
+    index = np.concatenate(features_)
+    owner = np.repeat(np.arange(len(y)), [len(f) for f in features_])
+    chosen = telling(index, y[owner])
+    owner, index = owner[chosen[index]], index[chosen[index]]
     goal = np.eye(k)[y]
     seen_w, seen_b = np.full_like(w, 1e-8), np.full(k, 1e-8)
     for _ in range(steps):
-        p = softmax(_sums(index, owner, len(y), w) * scale[:, None] + b)
-        d = (p - goal) / len(y)
-        each = (d * scale[:, None])[owner]
-        g = np.stack([np.bincount(index, each[:, j], BUCKETS) for j in range(k)], 1) + ridge * w
+        d = (softmax(_sums(index, owner, len(y), w) + b) - goal) / len(y)
+        g = np.stack([np.bincount(index, d[owner, j], BUCKETS) for j in range(k)], 1) + ridge * w
         seen_w += g * g
         gb = d.sum(0)
         seen_b += gb * gb
@@ -121,7 +129,7 @@ def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text:
             for t in batch.column(at).cast(pa.binary()).to_pylist():
                 words, f = features(t)
                 n.append(words)
-                z.append(w[f].sum(0, dtype=np.float64) / np.sqrt(max(1, len(f))) + b)
+                z.append(w[f].sum(0, dtype=np.float64) + b)
             p = softmax(np.array(z).reshape(-1, len(DOMAINS))) if z else np.zeros((0, len(DOMAINS)))
             cols = [pa.array(n, pa.int64()), pa.array(p.tolist(), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *(f.name for f in added)])
@@ -129,27 +137,41 @@ def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text:
     return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *added]))
 
 
-def _dot(g):
-    return sum((F.element_at("_p", k + 1) * g.getItem(k) for k in range(1, len(DOMAINS))), F.element_at("_p", 1) * g.getItem(0))
+def replay(tokens: np.ndarray, p: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(r, y) of every row after all steps: r' = max(0, y - tokens * <p, step>) and
+    y' = r' + momentum * (r' - r); a step's last entry is its momentum."""
+    r, y = np.ones(len(tokens)), np.ones(len(tokens))
+    for step in steps:
+        new = np.maximum(0.0, y - tokens * (p @ step[:-1]))
+        y = new + step[-1] * (new - r)
+        r = new
+    return r, y
 
 
-def _rates(steps: list[np.ndarray]):
-    """(r, y) after all steps, a fold over the row: r' = max(0, y - tokens * <posterior, step>) and
-    y' = r' + momentum * (r' - r); a step's last entry is its momentum."""
-    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
-    if not steps:
-        return start
-    history = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    tokens = batch.column(batch.schema.get_field_index("_tokens")).to_numpy(zero_copy_only=False).astype(float)
+    return tokens, batch.column(batch.schema.get_field_index("_p")).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS))
 
-    def step(state, g):
-        r = F.greatest(F.lit(0.0), state["y"] - F.col("_tokens") * _dot(g))
-        return F.struct(r.alias("r"), (r + g.getItem(len(DOMAINS)) * (r - state["r"])).alias("y"))
 
-    return F.aggregate(history, start, step)
+def _totals(posts: DataFrame, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Expected domain tokens at r and at y: one row of sums a task comes from Python, one in all here."""
+
+    def batches(it):
+        sums = np.zeros(2 * len(DOMAINS))
+        for batch in it:
+            tokens, p = _columns(batch)
+            mass = p * tokens[:, None]
+            sums += np.concatenate([v @ mass for v in replay(tokens, p, steps)])
+        yield pa.RecordBatch.from_arrays([pa.array([float(x)]) for x in sums], names=names)
+
+    names = [f"s{i}" for i in range(2 * len(DOMAINS))]
+    rows = posts.select("_tokens", "_p").mapInArrow(batches, ", ".join(f"{n} double" for n in names))
+    got = np.array(rows.agg(*(F.coalesce(F.sum(n), F.lit(0.0)) for n in names)).first())
+    return got[: len(DOMAINS)], got[len(DOMAINS) :]
 
 
 def fit_rates(posts: DataFrame, weights: dict[str, float] | None = None):
-    """(rate as a column of a table with _tokens and _p, expected totals at r = 1, at the end, targets)."""
+    """(steps of the fit, expected totals at r = 1, at the end, targets) for a table with _tokens and _p."""
     weights = weights or WEIGHTS
     k = range(len(DOMAINS))
     mass = [F.col("_tokens") * F.element_at("_p", i + 1) for i in k]
@@ -168,31 +190,35 @@ def fit_rates(posts: DataFrame, weights: dict[str, float] | None = None):
         faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
         steps.append(np.append(size * size * (ahead - target) / longest, (t - 1) / faster))
         t = faster
-        state = posts.withColumn("_s", _rates(steps))
-        got = np.array(state.agg(*(F.coalesce(F.sum(m * F.col(f"_s.{x}")), F.lit(0.0)) for x in "ry" for m in mass)).first())
-        now, ahead = got[: len(DOMAINS)], got[len(DOMAINS) :]
-    return _rates(steps)["r"], start, now, target
+        now, ahead = _totals(posts, steps)
+    return steps, start, now, target
+
 
+def with_copies(posts: DataFrame, steps: list[np.ndarray]) -> DataFrame:
+    """`posts` with _rate and _copies."""
+    schema = T.StructType([*posts.schema.fields, T.StructField("_rate", T.DoubleType())])
+
+    def batches(it):
+        for batch in it:
+            rate = replay(*_columns(batch), steps)[0]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rate)], names=[*batch.schema.names, "_rate"])
 
-def with_copies(posts: DataFrame, rate) -> DataFrame:
     uniform = F.shiftrightunsigned(F.xxhash64(F.lit("copies"), F.col("doc_id"), F.col("_crc")), 11) / F.lit(float(1 << 53))
-    return posts.withColumn("_rate", rate).withColumn("_copies", F.floor(F.col("_rate") + uniform))
+    return posts.mapInArrow(batches, schema).withColumn("_copies", F.floor(F.col("_rate") + uniform))
 
 
 def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of `docs`: doc_id, _tokens, _p, _rate, _copies."""
     model = train(docs, labels)
     posts = materialize(with_posteriors(docs.select("doc_id", "text"), model).select("doc_id", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"), "_tokens", "_p"))
-    rate, *_ = fit_rates(posts)
-    return with_copies(posts, rate)
+    return with_copies(posts, fit_rates(posts)[0])
 
 
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs`, each row as often as its rate says, none times included; columns unchanged."""
     posts = with_posteriors(docs, train(docs, labels)).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     stored = materialize(posts)
-    rate, *_ = fit_rates(stored)
-    out = with_copies(stored, rate).where("_copies > 0")
+    out = with_copies(stored, fit_rates(stored)[0]).where("_copies > 0")
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 

@@ -1,4 +1,4 @@
-"""Benchmark decontamination with an Aho-Corasick automaton.
+r"""Benchmark decontamination with an Aho-Corasick automaton.
 
 Benchmark texts are normalised to words (A-Z lower-cased, `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`) and cut
 into windows of ten words; an item with fewer, but not none, is one window.  One automaton holds all
@@ -160,5 +160,29 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
         F.size("_items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "_items").cast("binary"), 256).alias("items_sha256"),
         (F.size("_hit_words") > 0).alias("contaminated"),
-        "_spans",
-    ).withColumnRenamed("_spans", "spans")
+    )
+
+
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS win
+  FROM b, LATERAL (SELECT unnest(generate_series(1, greatest(1, len(w) - 9))) AS i) WHERE len(w) > 0),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+runs AS (SELECT rid, i, list(word) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM words),
+hits AS (
+  SELECT rid, i, s.n, item_id
+  FROM runs JOIN (SELECT DISTINCT n FROM bw) s ON len(l) >= s.n
+  JOIN bw ON bw.n = s.n AND bw.win = array_to_string(l[1:s.n], ' ')),
+hit_words AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(generate_series(i, i + n - 1)) AS p FROM hits) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h USING (rid) LEFT JOIN items t USING (rid)
+"""

@@ -20,4 +20,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.OP3_SQL, "op8_decontaminate": decontaminate.OP8_SQL}

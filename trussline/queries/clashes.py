@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..operators import clash, geometry, spatial
+from ..operators import clash, geometry, penetration, spatial
 from .scene import BOXES_SQL, boxes, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -174,3 +174,14 @@ def mesh_contains(spark, sf):
     cube = F.array(*(F.lit(0.1 * x) for f in _CUBE for i in f for x in corners[i]))
     points = F.transform(F.slice("embedding", 1, 30), lambda x: x.cast("double"))
     return table(spark, sf, "embeddings").select("vec_id", geometry.mesh_contains(points, cube).alias("inside"))
+
+
+@query()
+def hard_clash_depths(spark, sf):
+    """Boxes as closed meshes: pairs that must give way by more than the tolerance to come apart."""
+    b = boxes(spark, sf).withColumn("part", F.when(F.col("id") % 2 == 0, "A").otherwise("B"))
+    pairs = clash.candidate_pairs(b, partial(spatial.overlap_join, cell=CELL))
+    corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+    v = F.array(*(F.col(f"{'hi' if x[k] else 'lo'}{k}") for x in corners for k in range(3)))
+    meshes = b.select("id", v.alias("v"), F.array(*(F.lit(i) for f in _CUBE for i in f)).alias("f"))
+    return penetration.hard_clashes(pairs, meshes, TOLERANCE)

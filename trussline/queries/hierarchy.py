@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import linear
-from ..operators import graph, metadata, tree
+from ..functions import documents, linear
+from ..operators import graph, metadata, scenes, tree
 from .scene import NODES_SQL, TREE_SQL, nodes, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -213,3 +213,59 @@ def property_precedence(spark, sf):
 @query("SELECT p_partkey, p_name FROM part WHERE lower(p_type) NOT IN ('economy', 'small')")
 def metadata_deny_list(spark, sf):
     return metadata.dropped(table(spark, sf, "part"), "p_type", ["Economy", "small"]).select("p_partkey", "p_name")
+
+
+def _relations(spark, sf):
+    c = F.col
+    return table(spark, sf, "lineitem").select(
+        c("l_orderkey").alias("element"), F.concat(F.lit("P"), (c("l_partkey") % 50).cast("string")).alias("parent"), F.when(c("l_returnflag") == "A", "contains").otherwise("aggregates").alias("kind")
+    )
+
+
+_PARENTS = "SELECT l_orderkey AS element, min_by('P' || (l_partkey % 50), CASE WHEN l_returnflag = 'A' THEN '0' ELSE '1' END || 'P' || (l_partkey % 50)) AS parent FROM lineitem GROUP BY 1"
+
+
+@query(_PARENTS)
+def element_parents(spark, sf):
+    return scenes.element_parents(_relations(spark, sf))
+
+
+@query(f"WITH p AS ({_PARENTS}) SELECT parent, o_orderpriority AS kind, parent || '/' || o_orderpriority AS branch, count(*) AS n FROM p JOIN orders ON element = o_orderkey GROUP BY ALL")
+def element_type_groups(spark, sf):
+    elements = table(spark, sf, "orders").select(F.col("o_orderkey").alias("element"), F.col("o_orderpriority").alias("kind"))
+    parents = scenes.element_parents(_relations(spark, sf))
+    # parents are never elements here: give both one type
+    return scenes.type_groups(elements.withColumn("element", F.col("element").cast("string")), parents.withColumn("element", F.col("element").cast("string")))
+
+
+@query(f"{TREE_SQL} SELECT shared_id, 10 * ws AS scale, 10 * wx AS x, 10 * wy AS y, 10 * wz AS z FROM tree WHERE type = 'transformation'")
+def scaled_world_transforms(spark, sf):
+    return _world(graph.world_transforms(scenes.scale(nodes(spark, sf), 10.0)), "shared_id")
+
+
+@query(f"{TREE_SQL} SELECT shared_id, ws AS scale, wx AS x, wz AS y, -wy AS z FROM tree WHERE type = 'transformation' AND depth > 0")
+def reoriented_offsets(spark, sf):
+    m = F.col("world")
+    w = graph.world_transforms(scenes.reorient(nodes(spark, sf))).where("shared_id <> 'root'")
+    return w.select("shared_id", F.get(m, F.lit(0)).alias("scale"), *(F.get(m, F.lit(4 * r + 3)).alias(n) for r, n in enumerate("xyz")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'c_custkey,c_mktsegment,c_name' ELSE 'balance,c_custkey,c_mktsegment,c_name' END AS fields FROM customer")
+def document_fields(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"))
+    return c.select("c_custkey", F.array_join(documents.field_names(c), ",").alias("fields"))
+
+
+@query("SELECT count(DISTINCT (p_brand, p_type, p_size % 4)) AS materials FROM part")
+def material_checksums(spark, sf):
+    p = table(spark, sf, "part").withColumn("shine", F.col("p_size") % 4)
+    return p.agg(F.countDistinct(documents.material_checksum(["p_brand", "p_type", "shine"])).alias("materials"))
+
+
+@query("SELECT event_id, event_type AS name, CAST(value AS VARCHAR) AS unit FROM events WHERE event_type <> 'view'")
+def xml_linkages(spark, sf):
+    """XML leaves as entries; one leaf is missing where the type is view."""
+    c = F.col
+    body = F.concat(F.lit("<e><n>"), c("event_type"), F.lit("</n>"), F.when(c("event_type") == "view", "").otherwise(F.concat(F.lit("<u>"), c("value").cast("string"), F.lit("</u>"))), F.lit("</e>"))
+    leaves = table(spark, sf, "events").select("event_id", documents.xml_leaves(body, {"name": "/e/n", "unit": "/e/u"}).alias("l")).where(F.size("l") == 2)
+    return leaves.select("event_id", F.get("l", F.lit(0))["value"].alias("name"), F.get("l", F.lit(1))["value"].alias("unit"))

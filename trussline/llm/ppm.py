@@ -27,7 +27,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, table
@@ -39,6 +40,8 @@ FOLDS, HELD = 5, 1
 #: Above this many (context, byte) cells ids are found by sorting instead of a table of the cells.
 CELLS = 1 << 26
 END_TOKEN = b"\n"
+#: First byte of keys.
+WORD, GRAM = b"w", b"g"
 
 
 def gram_ids(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,20 +89,21 @@ def dictionary(chunk: int, texts: list[bytes], train: np.ndarray) -> pa.Table:
         else:
             rest.update(t.split())
             rest.add(END_TOKEN)
-    words = [*counts, *rest.difference(counts)]
+    rest.difference_update(counts)
+    words = [WORD + w for w in (*counts, *rest)]
     keys, ids, begins = gram_ids(texts)
     learned = np.repeat(train, np.diff(begins))
     n = np.bincount(ids[learned], minlength=len(keys))
     asked = np.zeros(len(keys), bool)
     asked[ids] = True
-    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ORDER + 1), int(asked.sum()), [None, pa.py_buffer(np.ascontiguousarray(keys[asked]).tobytes())])
+    marked = np.concatenate([np.full((int(asked.sum()), 1), GRAM[0], np.uint8), keys[asked]], 1)
+    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(ORDER + 2), len(marked), [None, pa.py_buffer(marked.tobytes())])
     size = len(words) + len(flat)
     return pa.table(
         {
             "chunk": pa.array(np.full(size, chunk, np.int32)),
-            "gram": pa.array(np.arange(size) >= len(words)),
             "key": pa.concat_arrays([pa.array(words, pa.binary()), flat.cast(pa.binary())]),
-            "n": pa.array(np.concatenate([np.fromiter(map(counts.__getitem__, words), np.int64, len(words)), n[asked]]).astype(np.int64)),
+            "n": pa.array(np.concatenate([np.fromiter(counts.values(), np.int64, len(counts)), np.zeros(len(rest), np.int64), n[asked]]).astype(np.int64)),
         }
     )
 
@@ -155,7 +159,7 @@ def _group_values(batch: pa.Table) -> pa.Table:
     head = batch.filter(batch.column("n1").is_valid())
     n1, n0 = (np.array(head.column(c)[0].as_py(), np.float64) for c in ("n1", "n0"))
     rows = batch.filter(batch.column("key").is_valid())
-    keys = _rows(rows.column("key"), ORDER + 1)
+    keys = _rows(rows.column("key"), ORDER + 2)[:, 1:]
     value = log_probabilities(keys, rows.column("n").to_numpy().astype(np.float64), n1, n0)
     return pa.table({"key": rows.column("key"), "value": pa.array(value)})
 
@@ -164,9 +168,9 @@ def _score_chunk(docs: pa.Table, values: pa.Table) -> pa.Table:
     if not docs.num_rows:
         return pa.table({c: pa.array([], t) for c, t in (("i", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()))})
     texts = [(t or b"").translate(LOWER) for t in docs.column("text").to_pylist()]
-    is_gram = values.column("gram")
-    words, grams = values.filter(pa.compute.invert(is_gram)), values.filter(is_gram)
-    number = dict(zip(words.column("key").to_pylist(), range(words.num_rows), strict=True))
+    is_gram = pc.starts_with(values.column("key"), GRAM)
+    words, grams = values.filter(pc.invert(is_gram)), values.filter(is_gram)
+    number = {key[1:]: i for i, key in enumerate(words.column("key").to_pylist())}
     c = words.column("value").to_numpy()
     logs, known = np.log10(c + 0.5), c > 0
     n_tokens, n_known, base = [], [], []
@@ -180,14 +184,14 @@ def _score_chunk(docs: pa.Table, values: pa.Table) -> pa.Table:
     keys, ids, begins = gram_ids(texts)
     asked = np.zeros(len(keys), bool)
     asked[ids] = True
-    got = _rows(grams.column("key"), ORDER + 1)
+    got = _rows(grams.column("key"), ORDER + 2)[:, 1:]
     order = np.lexsort(got.T[::-1])
     if not np.array_equal(got[order], keys[asked]):
         raise ValueError("a chunk's grams are not those that were asked for")
     value = np.zeros(len(keys))
     value[asked] = grams.column("value").to_numpy()[order]
     score = np.add.reduceat(value[ids], begins[:-1])
-    return pa.table({"i": docs.column("i"), "held_out": pa.compute.invert(docs.column("train")), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base), "score": pa.array(score)})
+    return pa.table({"i": docs.column("i"), "held_out": pc.invert(docs.column("train")), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base), "score": pa.array(score)})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -199,11 +203,10 @@ def _byte(key: Column, i: int) -> Column:
 
 
 def _dense(counts: DataFrame, *by: str) -> DataFrame:
-    """256 counts by byte `s` in an array, for each `by`."""
-    one = counts.groupBy(*by, "s").agg(F.sum("n").alias("n"))
+    """256 counts by byte `s` (one row each) in an array, for each `by`."""
     pairs = F.map_from_entries(F.collect_list(F.struct("s", "n")))
     filled = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long")))
-    return one.groupBy(*by).agg(pairs.alias("m")).select(*by, filled.alias("a"))
+    return counts.groupBy(*by).agg(pairs.alias("m")).select(*by, filled.alias("a"))
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -220,27 +223,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: in
         F.col(text).cast("binary").alias("text"),
         (~held_out(F.col(doc_id))).alias("train"),
     )
-    asked = dealt.groupBy("chunk").applyInArrow(_chunk_dictionary, "chunk int, gram boolean, key binary, n long")
-    # one exchange by key serves the sums and the way back
-    by_key = asked.repartition("gram", "key")
-    sums = by_key.groupBy("gram", "key").agg(F.sum("n").alias("n"))
-    words = sums.where(~F.col("gram"))
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("N"), F.count(F.when(F.col("n") > 0, 1)).alias("V")).select(F.struct("N", "V").alias("t"))
-    grams = sums.where("gram").select("key", "n", F.substring("key", 3, 2).alias("suffix"))
-    last = grams.where("n > 0").select(_byte(F.col("key"), 3).alias("k3"), _byte(F.col("key"), 4).alias("s"), "n")
+    asked = dealt.groupBy("chunk").applyInArrow(_chunk_dictionary, "chunk int, key binary, n long")
+    # One exchange by key serves the sums and the way back, and one by suffix all that is asked of grams.
+    # Filters on keys and unused columns would move below an exchange and make each reader one of its own,
+    # for which the chunks would be read once more; so kinds are aggregates, and every reader uses every column.
+    by_key = asked.repartition("key")
+    is_gram = F.max((F.substring("key", 1, 1) == F.lit(GRAM)).cast("int")).alias("is_gram")
+    sums = by_key.groupBy("key").agg(F.sum("n").alias("n"), is_gram, F.max("chunk").alias("last")).where("last >= 0")
+    word = F.col("is_gram") == 0
+    totals = sums.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("N"), F.count(F.when(word & (F.col("n") > 0), 1)).alias("V")).select(F.struct("N", "V").alias("t"))
+    grams = sums.where("is_gram = 1").select("key", "n", F.substring("key", 4, 2).alias("suffix")).repartition("suffix")
+    last = grams.groupBy(_byte(F.col("key"), 4).alias("k3"), _byte(F.col("key"), 5).alias("s")).agg(F.sum("n").alias("n"), F.count("suffix").alias("rows")).where("n > 0 and rows > 0")
     zeros = F.array_repeat(F.lit(0).cast("long"), 256)
-    n0 = _dense(last).select("a")
+    n0 = _dense(last.groupBy("s").agg(F.sum("n").alias("n"))).select("a")
     heads = (
-        grams.select("suffix").distinct().withColumn("k3", _byte(F.col("suffix"), 1))
+        grams.groupBy("suffix").agg(F.count("key").alias("rows"), F.sum("n").alias("all")).where("rows > 0 and all >= 0")
+        .select("suffix", _byte(F.col("suffix"), 1).alias("k3"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("n"))
         .join(F.broadcast(_dense(last, "k3")), "k3", "left")  # 256 rows at most
-        .select(F.lit(None).cast("binary").alias("key"), F.lit(None).cast("long").alias("n"), "suffix", F.coalesce("a", zeros).alias("n1"), F.coalesce(n0.scalar(), zeros).alias("n0"))
+        .select("key", "n", "suffix", F.coalesce("a", zeros).alias("n1"), F.coalesce(n0.scalar(), zeros).alias("n0"))
     )
     none = F.lit(None).cast("array<bigint>")
     values = grams.select("key", "n", "suffix", none.alias("n1"), none.alias("n0")).union(heads).groupBy("suffix").applyInArrow(_group_values, "key binary, value double")
-    told = by_key.where(~F.col("gram")).select("chunk", "gram", "key").join(words.select("key", F.col("n").cast("double").alias("value")), "key").union(
-        by_key.where("gram").select("chunk", "gram", "key").join(values, "key").select("key", "chunk", "gram", "value")
-    )
-    scored = dealt.groupBy("chunk").cogroup(told.select("chunk", "gram", "key", "value").groupBy("chunk")).applyInArrow(_score_chunk, "i long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    # a key has one row a chunk, so a window holds as many rows as there are chunks at most
+    whole = by_key.select("chunk", "key", F.sum("n").over(Window.partitionBy("key")).cast("double").alias("c"))
+    told = whole.join(values, "key", "left").select("chunk", "key", F.coalesce("value", "c").alias("value"))
+    scored = dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score_chunk, "i long, held_out boolean, n_tokens long, n_known long, base double, score double")
     t = totals.scalar()
     return scored.withColumn("_t", t).select(
         F.col("i").alias("doc_id"),

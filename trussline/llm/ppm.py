@@ -233,7 +233,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: in
     word = F.col("is_gram") == 0
     totals = sums.agg(F.coalesce(F.sum(F.when(word, F.col("n"))), F.lit(0)).alias("N"), F.count(F.when(word & (F.col("n") > 0), 1)).alias("V")).select(F.struct("N", "V").alias("t"))
     grams = sums.where("is_gram = 1").select("key", "n", F.substring("key", 4, 2).alias("suffix")).repartition("suffix")
-    last = grams.groupBy(_byte(F.col("key"), 4).alias("k3"), _byte(F.col("key"), 5).alias("s")).agg(F.sum("n").alias("n"), F.count("suffix").alias("rows")).where("n > 0 and rows > 0")
+    never_null = lambda i: F.coalesce(_byte(F.col("key"), i), F.lit(-1))  # noqa: E731  a join's null check would be such a filter
+    last = grams.groupBy(never_null(4).alias("k3"), never_null(5).alias("s")).agg(F.sum("n").alias("n"), F.count("suffix").alias("rows")).where("n > 0 and rows > 0")
     zeros = F.array_repeat(F.lit(0).cast("long"), 256)
     n0 = _dense(last.groupBy("s").agg(F.sum("n").alias("n"))).select("a")
     heads = (

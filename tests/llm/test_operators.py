@@ -466,3 +466,28 @@ def test_mixing_odd_rows(spark):
     some = spark.createDataFrame([(0, 0, 0), (0, 1, 1), (1, 1, 1), (2, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     got = mixing.rates(docs, some).collect()
     assert len(got) == docs.count() and all(r._rate >= 0 for r in got)
+
+
+def test_empty_tables(spark):
+    docs = docs_of(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    for out in (
+        sharding.shard_documents(docs), tokens.with_counts(docs), chat.perspectives(turns), quality.keep_good(docs, labels), licenses.scan(docs),
+        decontaminate.drop_contaminated(docs, bench), simhash.near_duplicates(docs), simhash.keep_one(docs), mixing.mix(docs, labels),
+    ):
+        assert out.count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    from pyspark.sql import functions as F
+
+    names = ["_row", "_fp", "_null", "_p", "_tokens", "_crc", "_rate", "_copies", "_copy", "_salt", "_cell", "_shard", "_spans", "_items", "_kept", "_quality", "fp", "kept", "rate", "arc", "n", "cell"]
+    docs = docs_of(spark, corpus(17, 60)).where("doc_id < 80").withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in names})
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "no such words at all in any text here ever once")], "item_id long, text string")
+    for out in (quality.keep_good(docs, labels), simhash.keep_one(docs), decontaminate.drop_contaminated(docs, bench), mixing.mix(docs, labels), sharding.shard_documents(docs)):
+        rows = out.collect()
+        assert rows and out.columns[: len(docs.columns)] == docs.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)

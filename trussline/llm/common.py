@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,3 +99,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def shielded(stage):
+    """For functions from documents (and more) to documents: columns of theirs that begin with an
+    underscore, as the operators' own do, are renamed on the way in and named back on the way out."""
+
+    @wraps(stage)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = {c: f"own{i}{c}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        return stage(docs.withColumnsRenamed(names), *args, **kwargs).withColumnsRenamed({new: old for old, new in names.items()})
+
+    return run

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, table
+from .common import ALNUM, shielded, table
 
 WINDOW = 10
 #: Bytes of benchmark text whose windows one automaton holds.
@@ -145,6 +145,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     return out
 
 
+@shielded
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` in which no window of the benchmark occurs."""
     return matches(docs, benchmark, text).where(F.size("_hit_words") == 0).select(*docs.columns)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, materialize, table
+from .common import ALNUM, materialize, shielded, table
 
 DOMAINS = ("low", "toxic", "clean")
 WEIGHTS = {"low": 0.05, "toxic": 0.05, "clean": 0.9}
@@ -214,6 +214,7 @@ def rates(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return with_copies(posts, fit_rates(posts)[0])
 
 
+@shielded
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs`, each row as often as its rate says, none times included; columns unchanged."""
     posts = with_posteriors(docs, train(docs, labels)).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, fit
-from .common import table
+from .common import shielded, table
 
 #: Labelled documents the trees are fitted to, at most.
 SAMPLE = 20_000
@@ -155,6 +155,7 @@ def judge(docs: DataFrame, trees: Trees | None, text: str = "text", threshold: f
     return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *added]))
 
 
+@shielded
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with their columns."""
     return judge(docs, train(docs, labels)).where("_kept").select(*docs.columns)

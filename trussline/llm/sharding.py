@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, shielded, table
 
 SHARDS = 40
 NODES = 64
@@ -124,10 +124,12 @@ def assign(keys: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS) -> Dat
     within = Window.partitionBy("_cell", "_salt").orderBy(F.col(doc_id).asc_nulls_first())
     ranked = placed.withColumn("_rank", F.row_number().over(within) - 1)
     # both tables are bounded by the ring's parameters, not by the rows
-    at = ranked.join(F.broadcast(parts.drop("n")), (F.col("_cell") == F.col("_c")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_before", "_c", "_s")
-    pieces = pieces.select(F.col("arc").alias("_arc"), "low", "high", F.col("shard").alias("_shard"), "slot")
-    hit = (F.col("arc") == F.col("_arc")) & (F.col("_rank") >= F.col("low")) & (F.col("_rank") < F.col("high"))
-    return at.join(F.broadcast(pieces), hit).withColumn("_slot", F.col("slot") + F.col("_rank") - F.col("low")).select(*(c for c in keys.columns if c != "_salt"), "_shard", "_slot")
+    parts = parts.select(F.col("arc").alias("_arc"), "_c", "_s", "_before")
+    pieces = pieces.select(F.col("arc").alias("_of"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("shard").alias("_shard"), F.col("slot").alias("_first"))
+    at = ranked.join(F.broadcast(parts), (F.col("_cell") == F.col("_c")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    hit = (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
+    placed_rows = at.join(F.broadcast(pieces), hit).withColumn("_slot", F.col("_first") + F.col("_rank") - F.col("_low"))
+    return placed_rows.select(*(c for c in keys.columns if c != "_salt"), "_shard", "_slot")
 
 
 def _keys(docs: DataFrame, *more: Column) -> DataFrame:
@@ -135,9 +137,10 @@ def _keys(docs: DataFrame, *more: Column) -> DataFrame:
     return materialize(docs.select(*more, salt))
 
 
+@shielded
 def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id") -> DataFrame:
     """`docs` with shard (0 to shards - 1) and slot; earlier columns of these names are replaced."""
-    kept = [c for c in docs.columns if c not in ("shard", "slot")]
+    kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     keys = _keys(docs, *(F.col(c) for c in kept))
     return assign(keys, doc_id, shards).withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).withColumn("slot", F.col("slot").cast("long"))
 

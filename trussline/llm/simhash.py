@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, components, materialize, table
+from .common import LOWER, components, materialize, shielded, table
 
 SEED = 42
 #: Reference fingerprints; their distances to a fingerprint fill the eight bytes of a long.
@@ -134,6 +134,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(classes.join(named, "root").select("fp", "component_id"), "fp")
 
 
+@shielded
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each component: the smallest doc_id, ties settled by the row's hash.
 

@@ -8,12 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
+    """A folder of this application's own under spark.checkpoint.dir, else (as in tests) under the
+    warehouse; it can be removed when the application has ended."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+    base = (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
+    return f"{base}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet and read it back, so what follows does not recompute it."""
+    """Write `df` as Parquet and read it back.
+
+    Cuts the lineage: what follows reads the table again after an executor is lost, and the work
+    before it runs once however often the table is used.
+    """
     path = f"{folder(df.sparkSession)}/m-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    spark = df.sparkSession
+    home = f"/{spark.sparkContext.applicationId}/m-"
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if home in path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

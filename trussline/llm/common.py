@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize, remove
+
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -26,36 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (as in tests) one under the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage: what follows reads the table again after an executor is lost, and runs the
-    work before it once however often the table is used.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if path.startswith(("file:", "hdfs:", "s3", "viewfs:", "/")) and "/t-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph as rows (node, root), root the smallest node.
 
@@ -91,7 +62,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
         ).distinct()
         new = materialize(small)
         now = mark(new)
-        drop_table(cur)
+        remove(cur)
         cur = new
         if now == seen:
             break

@@ -352,3 +352,28 @@ def test_element_hierarchy(spark):
     assert {r.element: r.parent for r in parents.collect()} == {"e1": "p1", "e2": "e1"}
     elements = spark.createDataFrame([("e1", "Wall"), ("e2", "Door")], "element string, kind string")
     assert [(r.branch, r.n) for r in scenes.type_groups(elements, parents).collect()] == [("p1/Wall", 1)]
+
+
+def test_settings(spark, tmp_path):
+    from trussline.sources.config import Settings, read_settings
+
+    (tmp_path / "c.json").write_text(json.dumps({"db": {"root": "/d"}, "fs": {"path": "/f", "level": 3}}, indent=1))
+    assert read_settings(spark, str(tmp_path / "c.json")) == Settings("/d", "/f", 3, True)
+    (tmp_path / "bad.json").write_text("{}")
+    with pytest.raises(ValueError, match="sections"):
+        read_settings(spark, str(tmp_path / "bad.json"))
+
+
+def test_tree_sinks(spark, tmp_path):
+    tree.write_documents(scene(spark), str(tmp_path / "t"))
+    names = sorted(p.name for p in (tmp_path / "t").iterdir())
+    assert names == ["fulltree", "idMap", "idToMeshes", "modelProperties", "tree_path"]
+    assert spark.read.json(str(tmp_path / "t/idMap")).count() == 6
+
+
+def test_normals_and_flags(spark):
+    from trussline.functions import values
+
+    n = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 0.0, 2.0)))
+    r = spark.range(1).select(linear.transform_normals(linear.scaling(2, 3, 4), n).alias("n"), values.is_enabled(F.create_map(F.lit("vr"), F.lit(True)), "vr").alias("a"), values.is_enabled(F.create_map(F.lit("vr"), F.lit(True)), "x").alias("b")).first()
+    assert r.n == [1, 0, 0, 0, 0, 1] and r.a and not r.b

@@ -119,3 +119,17 @@ def box_contains(lo: list[Column], hi: list[Column], p: list[Column]) -> Column:
     for a, b, c in zip(lo, hi, p, strict=True):
         inside = inside & (c >= a) & (c <= b)
     return inside
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def transform_normals(m: pd.Series, normals: pd.Series) -> pd.Series:
+    """Normals (flattened triples) by the inverse transpose of each matrix, made unit length again."""
+    out = []
+    for a, n in zip(m, normals, strict=True):
+        if a is None or n is None:
+            out.append(None)
+            continue
+        turned = np.asarray(n, float).reshape(-1, 3) @ np.linalg.inv(np.asarray(a, float).reshape(4, 4)[:3, :3])
+        size = np.linalg.norm(turned, axis=1, keepdims=True)
+        out.append(np.divide(turned, size, out=turned, where=size > 0).ravel().tolist())
+    return pd.Series(out)

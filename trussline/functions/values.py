@@ -126,3 +126,17 @@ def plane_angle(parts: Column) -> Column:
 
 def complex_number(re: Column, im: Column) -> Column:
     return F.concat(F.format_string("%.6f", re), F.lit("+"), F.format_string("%.6f", im), F.lit("i"))
+
+
+#: Bytes of a vertex or normal, of a uv pair, of an index.
+VECTOR_BYTES, UV_BYTES, INDEX_BYTES = 12, 8, 4
+
+
+def mesh_bytes(vertices: Column, faces: Column, normals: Column, uv_channels: Column, primitive: Column) -> Column:
+    """Estimated size of a mesh's arrays."""
+    return faces * primitive * INDEX_BYTES + vertices * VECTOR_BYTES + normals * VECTOR_BYTES + uv_channels * vertices * UV_BYTES
+
+
+def is_enabled(add_ons: Column, name: str) -> Column:
+    """An add-on flag of a map, false where it is not there."""
+    return F.coalesce(F.try_element_at(add_ons, F.lit(name)), F.lit(False))

@@ -123,3 +123,18 @@ def first_material(nodes: DataFrame) -> DataFrame:
     """(mesh, material): the first material, by id, that names the mesh as a parent."""
     uses = nodes.where("type = 'material'").select(F.explode("parents").alias("mesh"), F.col("_id").alias("material"))
     return uses.groupBy("mesh").agg(F.min("material").alias("material"))
+
+
+def assets(meshes: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a batch: its meshes, vertices, faces and bounds."""
+    return meshes.groupBy(*keys).agg(
+        F.count("*").alias("submeshes"), F.sum("vertices").alias("vertices"), F.sum("faces").alias("faces"),
+        *(F.min(f"lo{k}").alias(f"lo{k}") for k in range(3)), *(F.max(f"hi{k}").alias(f"hi{k}") for k in range(3)),
+    )
+
+
+def face_groups(faces: DataFrame, layer: str, material: str, fmt: str) -> DataFrame:
+    """(layer, material, format, group, n): faces that become one mesh.  Counts only: the faces are
+    joined back to their group, never gathered in it."""
+    grouped = faces.groupBy(layer, material, fmt).agg(F.count("*").alias("n"))
+    return grouped.withColumn("group", F.xxhash64(layer, material, fmt))

@@ -70,3 +70,16 @@ def tree_documents(nodes: DataFrame, states: DataFrame, depth: int) -> DataFrame
         return pd.DataFrame({"shared_id": [head], "tree": [json.dumps(build(top))]})
 
     return flat.select("head", "shared_id", "name", "type", "parent", "path", "state").groupBy("head").applyInPandas(nest, "shared_id string, tree string")
+
+
+def write_documents(nodes: DataFrame, path: str, depth: int = 0) -> None:
+    """Writes fulltree, tree_path, idMap, idToMeshes and, if something is hidden, modelProperties as
+    JSON lines in folders of these names."""
+    routes = paths(nodes)
+    tree_documents(nodes, toggle_states(nodes, routes), depth).select("tree").write.text(f"{path}/fulltree")
+    routes.select("shared_id", "path").write.json(f"{path}/tree_path")
+    id_map(nodes).write.json(f"{path}/idMap")
+    id_to_meshes(nodes, routes).write.json(f"{path}/idToMeshes")
+    properties = model_properties(nodes)
+    if not properties.isEmpty():
+        properties.write.json(f"{path}/modelProperties")

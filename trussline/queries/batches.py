@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import packing, sequence
 from ..plans import scratch
 from ..streaming import jobs
@@ -167,3 +168,23 @@ def job_stream_available_now(spark, sf):
     stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
     jobs.drain(stream, lambda batch, n: batch.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{place}/out/batch={n}"), f"{place}/checkpoint")
     return spark.read.parquet(f"{place}/out").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS customer, o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS v FROM orders)
+SELECT customer, count(*) AS submeshes, CAST(sum(v) AS BIGINT) AS vertices, CAST(sum(v // 2) AS BIGINT) AS faces, min((k * 7) % 1000)::DOUBLE AS lo0, min((k * 11) % 1000)::DOUBLE AS lo1, min((k * 13) % 1000)::DOUBLE AS lo2,
+max((k * 7) % 1000 + 1 + k % 7)::DOUBLE AS hi0, max((k * 11) % 1000 + 1 + k % 5)::DOUBLE AS hi1, max((k * 13) % 1000 + 1 + k % 3)::DOUBLE AS hi2 FROM m GROUP BY 1""")
+def supermesh_assets(spark, sf):
+    return packing.assets(_meshes(spark, sf), ["customer"])
+
+
+@query("SELECT l_suppkey AS layer, l_returnflag AS material, l_linenumber % 2 AS fmt, count(*) AS n FROM lineitem GROUP BY ALL")
+def face_groups(spark, sf):
+    c = F.col
+    faces = table(spark, sf, "lineitem").select(c("l_suppkey").alias("layer"), c("l_returnflag").alias("material"), (c("l_linenumber") % 2).alias("fmt"))
+    return packing.face_groups(faces, "layer", "material", "fmt").drop("group")
+
+
+@query("SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) // 2 * 3 * 4 + 24 * CAST(floor(o_totalprice) AS BIGINT) + o_orderkey % 2 * CAST(floor(o_totalprice) AS BIGINT) * 8 AS bytes FROM orders")
+def mesh_bytes(spark, sf):
+    m = _meshes(spark, sf)
+    return m.select("id", values.mesh_bytes(F.col("vertices"), F.col("faces"), F.col("vertices"), F.col("id") % 2, F.lit(3)).alias("bytes"))

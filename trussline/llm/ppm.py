@@ -36,6 +36,8 @@ from .common import LOWER, table
 ORDER = 4
 PAD, END = 0xFF, 0xFE
 CHUNK = 12 << 20
+#: Small tables are still dealt into this many chunks, so that all tasks have work.
+LEAST_CHUNKS = 32
 FOLDS, HELD = 5, 1
 #: Above this many (context, byte) cells ids are found by sorting instead of a table of the cells.
 CELLS = 1 << 26
@@ -216,7 +218,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: in
     Chunks come from row numbers that the scan gives, so `docs` should be a table or materialized.
     """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk))
+    chunks = max(LEAST_CHUNKS, math.ceil(total / chunk))
     dealt = docs.select(
         F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(doc_id).cast("long").alias("i"),

@@ -194,7 +194,7 @@ def test_line_classes(spark):
         (a, b)
         for i, a in enumerate(distinct)
         for b in distinct[:i]
-        if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)
+        if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a.split(), b.split()) <= int(0.2 * max(len(a.split()), len(b.split())) + 1e-9)
     ]
     assert len(edges) > 3
     root = union_find(distinct, edges)

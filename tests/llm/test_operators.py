@@ -208,6 +208,28 @@ def test_line_classes(spark):
     assert lines.classes(docs_of(spark, [])).count() == 0
 
 
+def test_line_links_by_edit_similarity_alone(spark):
+    rng = random.Random(8)
+    distinct = []
+    for n in [4, 5, 6, 7, 8, 9, 10, 12, 13, 15, 16, 20, 24, 25, 40, 80] * 3:
+        base = [f"w{rng.randrange(400)}" for _ in range(n)]
+        distinct.append(base)
+        for edits in range(1, n // 5 + 2):
+            line = list(base)
+            for _ in range(edits):
+                at, kind = rng.randrange(len(line)), rng.randrange(3)
+                line[at : at + (kind < 2)] = [f"new{rng.randrange(400)}"] * (kind > 0)
+            distinct.append(line)
+    distinct = sorted({" ".join(x) for x in distinct if x})
+    got = {r.doc_id: r for r in lines.classes(docs_of(spark, distinct), every=True).collect()}
+    cut = [x.split() for x in distinct]
+    edges = [(i, j) for i in range(len(cut)) for j in range(i) if levenshtein(cut[i], cut[j]) <= max(len(cut[i]), len(cut[j])) // 5]
+    assert len(edges) > 100
+    root = union_find(range(len(cut)), edges)
+    for i in range(len(cut)):
+        assert (got[i].class_doc, got[i].n_links) == (root[i], sum(i in e for e in edges)), distinct[i]
+
+
 # 5: quality
 def test_statistics():
     for t in corpus():

@@ -470,6 +470,20 @@ def test_mixing_meets_its_targets(spark):
     assert np.abs(start - target).max() > 10 * mixing.TOLERANCE * target.sum()
 
 
+def test_mixing_raises_scarce_domains_to_the_weights(spark):
+    rng = np.random.default_rng(2)
+    likely = [[0.7, 0.2, 0.1]] * 2 + [[0.1, 0.8, 0.1]] * 5 + [[0.005, 0.005, 0.99]] * 290
+    rows = [(i, 1, int(rng.integers(20, 200)), p) for i, p in enumerate(likely)]
+    schema = "doc_id long, _crc long, _tokens long, _p array<double>"
+    steps, start, now, _ = mixing.fit_rates(spark.createDataFrame(rows, schema))
+    weights = np.array([mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+    assert (start[:2] < weights[:2] * start.sum()).all() and steps
+    assert (np.abs(now - weights / weights[2] * start[2]) <= mixing.TOLERANCE * now).all()
+    assert np.allclose(now / now.sum(), weights, rtol=2 * mixing.TOLERANCE)
+    with pytest.warns(RuntimeWarning, match="miss their targets"):
+        mixing.fit_rates(spark.createDataFrame([(i, 1, 50, [0.3, 0.3, 0.4]) for i in range(5)], schema))
+
+
 def test_mixing_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

@@ -350,6 +350,38 @@ def test_licence_phrases_and_templates():
     assert scan(None) == (0, [], [])
 
 
+def test_licence_templates_inside_longer_ones():
+    scan = licenses.LicenseScanner().scan
+    hits = scan(b'Licensed under the Apache License, Version 2.0 (the "License"). See NOTICE')[2]
+    assert ("apache-2.0", 0, 8, 1.0) in hits
+    found = 0
+    for label, short in licenses.TEMPLATES:
+        for _, long in licenses.TEMPLATES:
+            at = f" {long} ".find(f" {short} ")
+            if at >= 0 and short != long:
+                first, n = len(long[:at].split()), len(short.split())
+                assert (label, first, first + n, 1.0) in scan(long.encode())[2]
+                found += 1
+    assert found
+
+
+def test_licence_stretches_of_each_template(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(200):
+        templates = [[rng.choice("abcd") for _ in range(rng.randint(1, 12))] for _ in range(rng.randint(1, 4))]
+        w = [rng.choice("abcdz") for _ in range(rng.randint(0, 25))]
+        scanner, got, want = licenses.LicenseScanner([(str(k), " ".join(t)) for k, t in enumerate(templates)], {"a b": "p"}), [], []
+        monkeypatch.setattr(scanner, "_chain", got.extend)
+        scanner.scan(" ".join(w).encode())
+        for k, t in enumerate(templates):
+            for e in range(1, len(w) + 1):
+                for t1 in range(1, len(t) + 1):
+                    n = next((n for n in range(min(e, t1)) if w[e - 1 - n] != t[t1 - 1 - n]), min(e, t1))
+                    if n >= licenses.LONG and (e == len(w) or t1 == len(t) or w[e] != t[t1]):
+                        want.append((k, e - n, e, t1 - n, t1))
+        assert sorted(got) == sorted(want)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), min_size=1, max_size=8), min_size=1, max_size=4), st.lists(st.integers(0, 2), max_size=15))
 def test_suffix_automaton_matches_stretches(sequences, text):

@@ -6,8 +6,8 @@ ending there that occurs in some template (matching statistics).  From them:
 
 * base phrases: each is a template too; it stands wherever the matched length covers it and its
   state is the current one or a suffix of it, so every place is counted, inside longer matches too;
-* template labels: maximal stretches of at least `LONG` words are assigned to the templates that
-  hold them and chained in template order with gaps of at most `GAP` words; a template whose chain
+* template labels: for each template the stretches of at least `LONG` words that stand in it and can be
+  made no longer in it, inside longer stretches of other templates too, are chained in template order with gaps of at most `GAP` words; a template whose chain
   covers `COVERED` of its words gives its label and the span from the chain's first word to its last.
 
 Defined cases: null, empty and wordless texts have no words, no labels and score 0; repeated rows
@@ -111,6 +111,7 @@ class LicenseScanner:
         named = [(label, text.encode().split()) for text, label in phrases.items()]
         self.number = {w: n for n, w in enumerate(sorted({w for _, words in [*self.templates, *named] for w in words}))}
         coded = [[self.number[w] for w in words] for _, words in [*self.templates, *named]]
+        self.coded, self.last_of = coded, {}
         self.automaton = SuffixAutomaton(coded)
         phrase_at = {}
         for (label, _), seq in zip(named, coded[len(self.templates) :], strict=True):
@@ -134,44 +135,63 @@ class LicenseScanner:
         get, state, size = self.number.get, 0, 0
         places, stretches = [], []
         for i, w in enumerate(map(get, words)):
-            if w is None:
+            if w is None or w not in step[state]:
                 if size >= LONG:
-                    stretches.append((i - size, i, state))
-                state = size = 0
-                continue
-            if w not in step[state]:
-                if size >= LONG:
-                    stretches.append((i - size, i, state))
+                    stretches += self._ending(i, state, size, w)
+                if w is None:
+                    state = size = 0
+                    continue
                 while state and w not in step[state]:
                     state = link[state]
                     size = length[state]
                 if w not in step[state]:
                     state = size = 0
                     continue
+            elif size >= LONG:
+                stretches += self._ending(i, state, size, w)
             state = step[state][w]
             size += 1
             for need, label in phrases[state]:
                 if need <= size:
                     places.append((i + 1 - need, i + 1, label))
         if size >= LONG:
-            stretches.append((len(words) - size, len(words), state))
+            stretches += self._ending(len(words), state, size, None)
         return len(words), places, self._chain(stretches) if stretches else []
 
+    def _ending(self, end: int, state: int, size: int, after: int | None):
+        """(template, start, end, template start, template end) of the stretches that end before word
+        `end`, at the places where the template does not go on with the word `after`."""
+        last_of = self.last_of.get((state, after))
+        if last_of is None:
+            last_of = self.last_of[state, after] = self._places(state, after)
+        return [(k, end - n, end, t1 - n, t1) for k, t1, most in last_of if (n := min(most, size)) >= LONG]
+
+    def _places(self, state: int, after: int | None):
+        """(template, end in it, words that agree) of the places of a state's longest string and of its suffixes."""
+        found, at = {}, state
+        while at > 0 and self.automaton.length[at] >= LONG:
+            for k, last in self.automaton.ends[at]:
+                if k < len(self.templates) and (last + 1 == len(self.coded[k]) or self.coded[k][last + 1] != after):
+                    found.setdefault((k, last + 1), self.automaton.length[at])
+            at = self.automaton.link[at]
+        return tuple((k, t1, most) for (k, t1), most in sorted(found.items()))
+
     def _chain(self, stretches):
         """Best chain a template of stretches in template order, gaps of at most GAP words."""
         per: dict[int, list] = {}
-        for start, end, state in stretches:
-            n = end - start
-            for k, last in self.automaton.ends[state]:
-                if k < len(self.templates):
-                    per.setdefault(k, []).append((start, end, last + 1 - n, last + 1))
+        for k, *part in stretches:
+            per.setdefault(k, []).append(tuple(part))
         hits = []
         for k, parts in sorted(per.items()):
             total = len(self.templates[k][1])
             chains: list[tuple[int, int, int, int]] = []  # covered, first word, last word, template end
-            for start, end, t0, t1 in sorted(parts):
+            parts.sort()
+            begin = 0  # a predecessor ends at most GAP words before
+            for start, end, t0, t1 in parts:
                 best = (t1 - t0, start, end, t1)
-                for covered, first, last, t in chains[-32:]:
+                while begin < len(chains) and chains[begin][2] + GAP < start:
+                    begin += 1
+                for covered, first, last, t in chains[begin:]:
                     over = max(0, t - t0)
                     if last - over <= start <= last + GAP and t <= t1 and t0 - t <= GAP + (start - last):
                         best = max(best, (covered + t1 - t0 - over, first, end, t1))

@@ -408,28 +408,57 @@ def test_licence_query_rows(spark):
 
 
 # 8: decontamination
-@pytest.mark.parametrize("size", [decontaminate.SLICE_BYTES, 200])
-def test_decontamination(spark, size):
-    texts = corpus(7)
-    items = [(1, texts[3] + " extra words at end"), (2, "a b"), (3, None), (4, "..."), (5, texts[9]), (6, texts[9].upper()), (10, texts[30])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    texts += [f"before; {texts[3]} after", "A-b? " * 6]
-    got = {r.doc_id: r for r in decontaminate.matches(docs_of(spark, texts), bench, size=size).collect()}
+def brute_windows(items):
     windows = defaultdict(set)
     for i, t in items:
         w = words_alnum(t)
         for k in range(max(1, len(w) - 9) if w else 0):
             windows[tuple(w[k : k + 10])].add(str(i))
+    return windows
+
+
+def brute_hits(text, windows):
+    w = words_alnum(text)
+    hit, found = set(), set()
+    for key, own in windows.items():
+        for k in range(len(w) - len(key) + 1):
+            if tuple(w[k : k + len(key)]) == key:
+                hit |= set(range(k, k + len(key)))
+                found |= own
+    return len(w), sorted(hit), sorted(found)
+
+
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=25), max_size=6), st.lists(st.sampled_from("aabc"), max_size=60))
+@settings(max_examples=300, deadline=None)
+def test_scanner_hits_all_windows(items, text):
+    items = [(str(i), " ".join(t)) for i, t in enumerate(items)]
+    n, hit, found = decontaminate.Scanner((i, t.encode()) for i, t in items).find(" ".join(text).encode())
+    assert (n, [] if hit is None else np.flatnonzero(hit).tolist(), sorted(found)) == brute_hits(" ".join(text), brute_windows(items))
+
+
+def test_one_pass_over_a_large_benchmark(spark):
+    rng = random.Random(2)
+    vocabulary = ["w%d" % i for i in range(30_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=200))) for i in range(3000)]  # 3 MB
+    docs = docs_of(spark, [t[:1200] for _, t in items[::300]] + ["clean words only"] * 3)
+    found = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    want = [([str(i)], len(brute_hits(t[:1200], brute_windows([(i, t)]))[1])) for i, t in items[::300]]
+    assert [(r._items, len(r._hit_words)) for r in found.orderBy("doc_id").collect()] == want + [([], 0)] * 3
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_WORDS, 20])
+def test_decontamination(spark, most):
+    texts = corpus(7)
+    items = [(1, texts[3] + " extra words at end"), (2, "a b"), (3, None), (4, "..."), (5, texts[9]), (6, texts[9].upper()), (10, texts[30])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts += [f"before; {texts[3]} after", "A-b? " * 6]
+    got = {r.doc_id: r for r in decontaminate.matches(docs_of(spark, texts), bench, most=most).collect()}
+    windows = brute_windows(items)
     for i, t in enumerate(texts):
+        r, (n, hit, own) = got[i], brute_hits(t, windows)
+        assert (r._n_words, r._hit_words, r._items) == (n, hit, own)
         w = words_alnum(t)
-        hit, found = set(), set()
-        for key, own in windows.items():
-            for k in range(len(w) - len(key) + 1):
-                if tuple(w[k : k + len(key)]) == key:
-                    hit |= set(range(k, k + len(key)))
-                    found |= own
-        r = got[i]
-        assert (r._n_words, r._hit_words, r._items) == (len(w), sorted(hit), sorted(found))
         cut = [w for s in r._spans for w in words_alnum(t.encode()[s[0] : s[1]].decode())]
         assert set(cut) == {w[k] for k in hit}
     assert sum(bool(r._hit_words) for r in got.values()) > 4

@@ -1,90 +1,126 @@
 r"""Benchmark decontamination with an Aho-Corasick automaton.
 
 Benchmark texts are normalised to words (A-Z lower-cased, `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`) and cut
-into windows of ten words; an item with fewer, but not none, is one window.  One automaton holds all
-windows, each document is scanned once, and matches are mapped back to byte offsets of the original.
+into windows of ten words; an item with fewer, but not none, is one window.  Each document is scanned
+once by one automaton, and matches are mapped back to byte offsets of the original.
 
-The automaton is built in the tasks from the benchmark's distinct windows, which the driver hands
-out when they are below `SLICE_BYTES`; a larger benchmark is cut into slices of that size, each with
-an automaton and a pass of its own, and a document's matches are united.  Matches do not depend on
-the slicing.
+Ten words in a row hold one of the blocks of five that begin at every fifth word of an item.  So the
+automaton's patterns are those blocks and the short items: as many nodes as the benchmark has words,
+not ten times as many.  A block found in a document is extended to both sides along the item; ten words or more
+are windows, and all of them are hit.
+
+The benchmark is written to the shared folder, from where Spark copies its files to each
+executor; every Python worker builds the automaton from them once.  It does not pass the driver.  It takes
+about 100 bytes of a worker's memory a benchmark word; a benchmark of more than `MOST_WORDS` words (counted
+first) is dealt by a hash of its texts into parts with a pass each, whose hits are united: the result is the same.
 
 Defined cases: null, empty and wordless documents have no words and are clean; null and wordless
-items are no windows; items with equal texts are all reported; repeated rows are scanned alike; an
-empty benchmark leaves every document clean; extra columns pass untouched.
+items are no windows; items with equal texts are all reported; a null item_id is no item but its windows hit; repeated rows are scanned alike; an
+empty benchmark leaves every document clean; extra columns pass untouched, but for names of `matches`' own columns.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import lru_cache
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, shielded, table
+from .common import ALNUM, materialize, shielded, table
 
 WINDOW = 10
-#: Bytes of benchmark text whose windows one automaton holds.
-SLICE_BYTES = 1 << 20
+#: Words of a block: two blocks and a window less one word have the same length.
+BLOCK = WINDOW // 2
+#: Benchmark words that one automaton holds.
+MOST_WORDS = 5_000_000
 _NOT_BLANK = bytes(0 if b == 0x20 else 1 for b in range(256))
 
 
-def windows(text: bytes | None, size: int = WINDOW) -> set[bytes]:
-    words = text.translate(ALNUM).split() if text else []
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
-
-def slices(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = SLICE_BYTES) -> list[list[tuple]]:
-    """The benchmark's (item_id, text) rows in lists of at most `size` bytes (or one longer item)."""
-    rows = benchmark.select(F.col(item).alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null")
-    out: list[list[tuple]] = [[]]
-    used = 0
-    for r in rows.toLocalIterator():
-        if out[-1] and used + len(r.t) > size:
-            out.append([])
-            used = 0
-        out[-1].append((r.i, bytes(r.t)))
-        used += len(r.t)
-    return out
-
-
 class Scanner:
-    """Finds windows in texts.  The automaton's letters are word numbers, so a window is a path of
-    at most ten nodes and a match ends at a word."""
+    """Finds the windows of items, given as (item, text), in texts.  The automaton's letters are word numbers."""
 
-    def __init__(self, items: list[tuple]):
-        owners: dict[bytes, set] = defaultdict(set)
+    def __init__(self, items):
+        owners: dict[tuple, set] = defaultdict(set)
         for item, text in items:
-            for w in windows(text):
-                owners[w].add(item)
-        self.number = {w: n for n, w in enumerate(sorted({x for key in owners for x in key.split()}), 1)}
+            if words := tuple(text.translate(ALNUM).split()) if text else ():
+                owners[words].add(item)
+        self.owners = list(owners.values())
+        self.number: dict[bytes, int] = {}
+        self.words: list[np.ndarray] = []  # of each distinct text, as numbers
+        number, places = self.number, defaultdict(list)
+        for k, words in enumerate(owners):
+            coded = tuple(number.setdefault(w, len(number) + 1) for w in words)
+            self.words.append(np.array(coded, np.int32))
+            if len(coded) < WINDOW:
+                places[coded].append((k, 0))
+            else:
+                for at in range(0, len(coded) - BLOCK + 1, BLOCK):
+                    places[coded[at : at + BLOCK]].append((k, at))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, own in owners.items():
-            path = tuple(map(self.number.__getitem__, key.split()))
-            self.automaton.add_word(path, (len(path), own))
-        if owners:
+        for pattern, where in places.items():
+            self.automaton.add_word(pattern, (len(pattern), where))
+        if self.words:
             self.automaton.make_automaton()
 
     def find(self, text: bytes | None):
         """(number of words, hit mask over words or None, items with an occurring window)."""
         words = text.translate(ALNUM).split() if text else []
-        if not words or not self.number:
+        if not words or not self.words:
             return len(words), None, ()
-        edge, items = None, set()
-        for last, (length, own) in self.automaton.iter(tuple(map(self.number.get, words, repeat(0)))):
-            if edge is None:
-                edge = np.zeros(len(words) + 1, np.int64)
-            edge[last + 1 - length] += 1
-            edge[last + 1] -= 1
-            items |= own
-        return len(words), None if edge is None else edge.cumsum()[:-1] > 0, items
+        codes = tuple(map(self.number.get, words, repeat(0)))
+        hit, items, done = None, set(), {}
+        for last, (size, places) in self.automaton.iter(codes):
+            begin = last + 1 - size
+            for k, at in places:
+                if done.get((k, begin - at), -1) > begin:  # inside a stretch already followed
+                    continue
+                item = self.words[k]
+                if len(item) < WINDOW:
+                    left, right = begin, last + 1
+                else:
+                    back, ahead = min(at, begin), min(len(item) - at, len(words) - begin)
+                    same = item[at - back : at + ahead] == codes[begin - back : begin + ahead]
+                    wrong = np.flatnonzero(~same)
+                    after = wrong.searchsorted(back)
+                    left = begin - back + (int(wrong[after - 1]) + 1 if after else 0)
+                    right = begin - back + (int(wrong[after]) if after < len(wrong) else back + ahead)
+                    done[k, begin - at] = right
+                    if right - left < WINDOW:
+                        continue
+                hit = np.zeros(len(words), bool) if hit is None else hit
+                hit[left:right] = True
+                items |= self.owners[k]
+        return len(words), hit, items
+
+
+@lru_cache(maxsize=1)
+def scanner(files: tuple[str, ...]) -> Scanner:
+    """The automaton of files that Spark has copied to this executor."""
+    tables = (pq.read_table(SparkFiles.get(f), columns=["i", "t"]) for f in files)
+    return Scanner(row for part in tables for row in zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True))
+
+
+def published(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = MOST_WORDS) -> list[tuple[str, ...]]:
+    """Names of the benchmark's files, copied to every executor, in parts of about `most` words."""
+    told = benchmark.where(F.col(text).isNotNull())
+    words = told.agg(F.coalesce(F.sum(F.size(F.split(text, "[^a-zA-Z0-9]+"))), F.lit(0)).alias("n")).first().n
+    rows = told.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
+    parts, names = max(1, -(-words // most)), []
+    for k in range(parts):
+        files = materialize(rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k)).inputFiles()
+        for f in files:
+            benchmark.sparkSession.sparkContext.addFile(f)
+        names.append(tuple(f.rsplit("/", 1)[1] for f in files))
+    return names
 
 
 def word_offsets(text: bytes) -> np.ndarray:
@@ -94,55 +130,60 @@ def word_offsets(text: bytes) -> np.ndarray:
     return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1)
 
 
-def _spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
-    """Original byte ranges of the runs of hit words."""
-    step = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-    off = word_offsets(text)
-    return [(int(off[a, 0]), int(off[b - 1, 1])) for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True)]
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def spans(text: pd.Series, hit: pd.Series) -> pd.Series:
+    """Byte ranges in each original text of the runs of its hit words (word numbers in order)."""
+    out = []
+    for t, words in zip(text, hit, strict=True):
+        if t is None or not len(words):
+            out.append([])
+            continue
+        off, breaks = word_offsets(t.encode()), np.flatnonzero(np.diff(words) > 1)
+        first, last = words[np.append(0, breaks + 1)], words[np.append(breaks, len(words) - 1)]
+        out.append(np.stack([off[first, 0], off[last, 1]], 1).tolist())
+    return pd.Series(out)
 
 
 _FOUND = [
     T.StructField("_n_words", T.LongType()),
     T.StructField("_hit_words", T.ArrayType(T.LongType())),
     T.StructField("_items", T.ArrayType(T.StringType())),
-    T.StructField("_spans", T.ArrayType(T.ArrayType(T.LongType()))),
 ]
 
 
-def scan(docs: DataFrame, items: list[tuple], text: str = "text") -> DataFrame:
-    """`docs` with _n_words, _hit_words (word numbers), _items and _spans (original byte ranges)."""
+def scan(docs: DataFrame, files: tuple[str, ...], text: str = "text") -> DataFrame:
+    """`docs` with _n_words, _hit_words (word numbers) and _items, for a part of the benchmark."""
     at = docs.columns.index(text)
 
     def batches(it):
-        scanner = Scanner(items)
+        find = scanner(files).find
         for batch in it:
-            n, hits, found, spans = [], [], [], []
+            n, hits, found = [], [], []
             for t in batch.column(at).cast(pa.binary()).to_pylist():
-                words, hit, own = scanner.find(t)
+                words, hit, own = find(t)
                 n.append(words)
                 hits.append([] if hit is None else np.flatnonzero(hit))
-                found.append(sorted({str(i) for i in own if i is not None}))
-                spans.append([] if hit is None else _spans(t, hit))
-            cols = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.list_(pa.int64())))]
+                found.append(sorted(i for i in own if i is not None))
+            cols = [pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *(f.name for f in _FOUND)])
 
     return docs.mapInArrow(batches, T.StructType([*docs.schema.fields, *_FOUND]))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", size: int = SLICE_BYTES) -> DataFrame:
-    """One row for each row of `docs`, with its columns and those that `scan` adds."""
-    parts = slices(benchmark, item, size=size)
-    out = scan(docs, parts[0], text)
-    for part in parts[1:]:
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", most: int = MOST_WORDS) -> DataFrame:
+    """One row for each row of `docs`, with its columns, those of `scan`, and _spans: the original byte
+    ranges of the runs of hit words."""
+    first, *more = published(benchmark, item, most=most)
+    out = scan(docs, first, text)
+    for part in more:
         names = {f.name: f"{f.name}2" for f in _FOUND}
         out = scan(out.withColumnsRenamed(names), part, text).select(
             *docs.columns,
             "_n_words",
             F.array_sort(F.array_union("_hit_words", "_hit_words2")).alias("_hit_words"),
             F.array_sort(F.array_union("_items", "_items2")).alias("_items"),
-            F.array_sort(F.array_union("_spans", "_spans2")).alias("_spans"),
         )
-    return out
+    return out.withColumn("_spans", F.when(F.size("_hit_words") > 0, spans(text, "_hit_words")).otherwise(F.array().cast("array<array<bigint>>")))
 
 
 @shielded

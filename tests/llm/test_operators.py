@@ -14,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trussline.llm import boosting, chat, decontaminate, licenses, lines, mixing, ppm, quality, sharding, simhash, tokens
+from trussline.llm import blocks, boosting, chat, decontaminate, licenses, lines, mixing, ppm, quality, sharding, simhash, tokens
 from trussline.llm.common import components, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -185,29 +185,56 @@ def test_line_classes(spark):
                 norm[i, k] = n
     assert set(got) == set(norm)
     distinct = sorted(set(norm.values()))
-    prints = {norm[r.doc_id, r.line_no]: r._fp for r in lines.fingerprints(lines.lines(docs)).collect()}
+    names = {r._norm: r._id for r in lines.lines(docs).collect()}
+    made = {r._id: r for r in lines.sketches(lines.lines(docs)).collect()}
+    assert len(made) == sum(len(n.split()) >= 4 for n in distinct)
     for n in distinct:  # the packed counters are a majority vote of 64-bit hashes
         hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]
-        fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-        assert prints[n] & (2**64 - 1) == fp
-    edges = [
-        (a, b)
-        for i, a in enumerate(distinct)
-        for b in distinct[:i]
-        if bin((prints[a] ^ prints[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a.split(), b.split()) <= int(0.2 * max(len(a.split()), len(b.split())) + 1e-9)
-    ]
-    assert len(edges) > 3
-    root = union_find(distinct, edges)
-    first = {}
-    for key in sorted(norm):
-        first.setdefault(root[norm[key]], key)
-    for key, r in got.items():
-        assert (r.class_doc, r.class_line) == first[root[norm[key]]]
-        assert r.kept == (key == first[root[norm[key]]])
-        assert r.n_links == sum(norm[key] in e for e in edges)
+        if len(hashes) >= 4:
+            fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+            assert (made[names[n]]._fp & (2**64 - 1), made[names[n]]._len) == (fp, len(hashes))
+    check_classes(got, norm, 1.0)
     assert lines.classes(docs_of(spark, [])).count() == 0
 
 
+def similar_lines(cut):
+    """All pairs of word lists with edit similarity 0.8: candidates share one of their rarest words, which 0.8 implies."""
+    often, at = Counter(w for c in cut for w in set(c)), defaultdict(list)
+    for i, c in enumerate(cut):
+        nth = Counter()
+        for w in sorted(c, key=lambda w: (often[w], w))[: len(c) * 5 // 4 // 5 + 1]:
+            at[w, nth[w]].append(i)
+            nth[w] += 1
+    pairs = {(i, j) for own in at.values() for k, i in enumerate(own) for j in own[:k] if min(len(cut[i]), len(cut[j])) >= 0.8 * max(len(cut[i]), len(cut[j]))}
+    bags = [Counter(c) for c in cut]
+    most = {p: max(len(cut[p[0]]), len(cut[p[1]])) // 5 for p in pairs}
+    return [p for p in pairs if sum((bags[p[0]] & bags[p[1]]).values()) >= 4 * most[p] and levenshtein(cut[p[0]], cut[p[1]]) <= most[p]]
+
+
+def check_classes(got, norm, least):
+    """Classes join equal lines and hold to edit similarity; of similar lines a share of `least` is joined, whatever their length."""
+    distinct = sorted(set(norm.values()))
+    cut = [n.split(" ") for n in distinct]
+    edges = similar_lines(cut)
+    full = union_find(range(len(cut)), edges)
+    of, heads = {}, defaultdict(list)
+    for key, n in norm.items():
+        own = of.setdefault(n, (got[key].class_doc, got[key].class_line))
+        assert own == (got[key].class_doc, got[key].class_line)
+        heads[own].append(key)
+    for head, keys in heads.items():
+        assert head == min(keys) and [k for k in keys if got[k].kept] == [head]
+        assert len({full[distinct.index(norm[k])] for k in {norm[k]: k for k in keys}.values()}) == 1
+    for low, high in ((0, 10), (11, 30), (31, 1 << 30)):
+        joined = [of[distinct[i]] == of[distinct[j]] for i, j in edges if low <= max(len(cut[i]), len(cut[j])) <= high]
+        assert sum(joined) >= least * len(joined)
+    return len(edges)
+
+
+def norms(texts):
+    return {(i, k): " ".join(w) for i, t in texts.items() for k, x in enumerate((t or "").split("\n")) if (w := words_alnum(x.lower()))}
+
+
 def test_line_links_by_edit_similarity_alone(spark):
     rng = random.Random(8)
     distinct = []
@@ -221,13 +248,31 @@ def test_line_links_by_edit_similarity_alone(spark):
                 line[at : at + (kind < 2)] = [f"new{rng.randrange(400)}"] * (kind > 0)
             distinct.append(line)
     distinct = sorted({" ".join(x) for x in distinct if x})
-    got = {r.doc_id: r for r in lines.classes(docs_of(spark, distinct), every=True).collect()}
-    cut = [x.split() for x in distinct]
-    edges = [(i, j) for i in range(len(cut)) for j in range(i) if levenshtein(cut[i], cut[j]) <= max(len(cut[i]), len(cut[j])) // 5]
-    assert len(edges) > 100
-    root = union_find(range(len(cut)), edges)
-    for i in range(len(cut)):
-        assert (got[i].class_doc, got[i].n_links) == (root[i], sum(i in e for e in edges)), distinct[i]
+    got = {(r.doc_id, r.line_no): r for r in lines.classes(docs_of(spark, distinct)).collect()}
+    assert check_classes(got, norms(dict(enumerate(distinct))), 0.95) > 100
+
+
+def test_line_recall_on_a_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    got = {(r.doc_id, r.line_no): r for r in lines.classes(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    norm = {k: " ".join(words_alnum(x.lower())) for k, x in ((k, (texts[k[0]]).split("\n")[k[1]]) for k in got)}
+    assert check_classes(got, norm, 0.9) > 300
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(30)]
+    copies = [" ".join([*base[:k], f"x{i}", *base[k + 1 :]]) for i in range(400) if (k := rng.randrange(30)) >= 0]
+    docs = docs_of(spark, copies + [" ".join(rng.choices(base, k=30)) for _ in range(50)])
+    for parted in (False, True):
+        if parted:  # blocks of more than 64 lines
+            monkeypatch.setattr(blocks, "EVERY", 1)
+            monkeypatch.setattr(blocks, "SPLIT", 10**9)
+        made = lines.sketches(lines.lines(docs))
+        assert blocks.candidates(made, lines.RADIUS, 0.8).count() <= made.count() * lines.KEYS * (blocks.NEAR + 1) * (1 + parted)
+        got = lines.classes(docs).where(f"doc_id < {len(copies)}").select("class_doc").distinct().count()
+        assert got == 1
 
 
 # 5: quality
@@ -508,12 +553,39 @@ def test_simhash_hot_neighbours_without_all_pairs(spark):
     assert {x: got.get(x, x) for x in fps} == want
 
 
+def similar_texts(texts):
+    """All pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8."""
+    cut = [words_space(lower(t or "")) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in cut]
+    return [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if cut[i] == cut[j] or min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)]
+
+
 def test_keep_one(spark):
     texts = corpus(13)
+    rng = random.Random(13)
+    for t in corpus(14)[:40]:  # near copies by one word, and by several
+        w = t.split(" ")
+        for edits in (1, 1, 2, 5):
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(99)}"
+            texts.append(" ".join(w * 2))
+    edges = similar_texts(texts)
+    root = union_find(range(len(texts)), edges)
+    assert len(edges) > 50
     docs = docs_of(spark, [*texts, *texts[:5]], [*range(len(texts)), *range(5)]).union(docs_of(spark, [None, "a b c"], [None, None]))
     kept = simhash.keep_one(docs).collect()
-    classes = {r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert len(kept) == len(classes) and {r.doc_id for r in kept} == classes
+    assert [r.text for r in kept if r.doc_id is None] == ["a b c"]
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(root.values()))
+
+
+def test_near_duplicate_recall_on_a_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    ids = sorted(texts)
+    root = union_find(range(len(ids)), similar_texts([texts[i] for i in ids]))
+    got = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    want = {ids[r] for r in root.values()}
+    assert len(want) < len(ids) and want <= got and len(got) - len(want) <= 0.02 * (len(ids) - len(want))
 
 
 # 10: mixing

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, remove
 
+#: Tables of ids are handed to every task up to this many rows of some 8 to 24 bytes; beyond, they meet by shuffle.
+BROADCAST = 1_000_000
+
 #: A-Z to a-z, every other byte unchanged.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -27,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame) -> DataFrame:
+    """`df` (a materialized table) to be broadcast if its size allows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
     """Connected components of an undirected graph as rows (node, root), root the smallest node.
 

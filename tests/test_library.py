@@ -202,8 +202,10 @@ def test_inside_mesh():
     assert (geometry.inside_mesh(p, cube) == (np.abs(p) < 1).all(1)).all()
 
 
-def test_greedy_bins():
-    assert packing.greedy_bins(np.array([5, 5, 1, 20, 3]), 10).tolist() == [0, 0, 1, 2, 3]
+def test_filled(spark):
+    rows = [("a", i, n) for i, n in enumerate([5, 5, 1, 20, 3])] + [("b", 0, 0), ("b", 1, 30), (None, 0, 4), (None, 1, 7)]
+    got = packing.filled(spark.createDataFrame(rows, "g string, id int, n int"), ["g"], ["id"], "bin", {"n": 10}).collect()
+    assert sorted(((r.g or "", r.id), r.bin) for r in got) == [(("", 0), 0), (("", 1), 1), (("a", 0), 0), (("a", 1), 0), (("a", 2), 1), (("a", 3), 2), (("a", 4), 3), (("b", 0), 0), (("b", 1), 0)]
 
 
 def test_clusters_hold_the_limit(spark):
@@ -300,9 +302,9 @@ def cube():
 def test_penetration_of_cubes():
     v, f = cube()
     for move, want in (([2.5, 0, 0], 0.0), ([1.9, 0.2, 0.1], 0.1), ([1.2, 0.1, 0.1], 0.8)):
-        assert penetration.depth(v * 0.999999 + move, f, v, f, 0.5) == pytest.approx(want, abs=1e-4)
+        assert penetration.depths([(v * 0.999999 + move, f, v, f)], 0.5)[0] == pytest.approx(want, abs=1e-4)
     small = v * 0.1
-    assert penetration.depth(small, f, v, f, 0.5) == pytest.approx(1.1)  # wholly inside
+    assert penetration.depths([(small, f, v, f)], 0.5)[0] == pytest.approx(1.1)  # wholly inside
     assert penetration.closed(f) and not penetration.closed(f[:-1])
     out = penetration.outward(v, f)
     assert (np.einsum("ij,ij->i", out, v) > 0.5).all()

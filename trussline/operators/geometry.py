@@ -108,28 +108,27 @@ def intersects(s: pd.Series, t: pd.Series) -> pd.Series:
 
 
 def inside_mesh(points: np.ndarray, triangles: np.ndarray, seed: int = 7, tries: int = 10) -> np.ndarray:
-    """Ray parity of each point in a closed mesh; rays that graze an edge are thrown anew."""
+    """Ray parity of each point in a closed mesh, all points at once; rays that graze an edge are thrown anew."""
     rng = np.random.default_rng(seed)
-    a, b, c = triangles[:, 0], triangles[:, 1], triangles[:, 2]
-    lo, hi = triangles.min((0, 1)), triangles.max((0, 1))
+    a, ab, ac = triangles[:, 0], triangles[:, 1] - triangles[:, 0], triangles[:, 2] - triangles[:, 0]
+    n = np.cross(ab, ac)
+    nn = _dot(n, n)
     out = np.zeros(len(points), bool)
-    for i, p in enumerate(points):
-        if (p < lo).any() or (p > hi).any():
-            continue
-        for _ in range(tries):
-            d = rng.normal(size=3)
-            n = np.cross(b - a, c - a)
-            den = n @ d
-            t = np.divide(_dot(a - p, n), den, out=np.full(len(a), -1.0), where=np.abs(den) > 1e-12)
-            x = p + d * t[:, None]
-            nn = _dot(n, n)
-            u, v = _ratio(_dot(np.cross(x - a, c - a), n), nn), _ratio(_dot(np.cross(b - a, x - a), n), nn)
-            edge = np.minimum(np.minimum(u, v), 1 - u - v)
-            if not ((np.abs(edge) < 1e-9) & (t > 0)).any():
-                out[i] = ((edge > 0) & (t > 0)).sum() % 2 == 1
-                break
-        else:
-            raise ValueError("every ray grazes an edge")
+    open_ = np.flatnonzero(((points >= triangles.min((0, 1))) & (points <= triangles.max((0, 1)))).all(1))
+    for _ in range(tries):
+        if not len(open_):
+            return out
+        d = rng.normal(size=(len(open_), 3))
+        den = d @ n.T
+        t = np.divide(_dot(a, n) - points[open_] @ n.T, den, out=np.full(den.shape, -1.0), where=np.abs(den) > 1e-12)
+        x = points[open_, None] + d[:, None] * t[..., None] - a
+        u, v = (np.divide(w, nn, out=np.zeros_like(w), where=nn > 0) for w in (_dot(np.cross(x, ac), n), _dot(np.cross(ab, x), n)))
+        edge = np.minimum(np.minimum(u, v), 1 - u - v)
+        grazed = ((np.abs(edge) < 1e-9) & (t > 0)).any(1)
+        out[open_] = ((edge > 0) & (t > 0)).sum(1) % 2 == 1
+        open_ = open_[grazed]
+    if len(open_):
+        raise ValueError("every ray grazes an edge")
     return out
 
 

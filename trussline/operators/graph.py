@@ -2,7 +2,7 @@
 
 Hierarchies are walked level by level: each level is one join of the frontier with the edges, written
 to the shared folder, so depth costs jobs but never memory on the driver, and the walk stops when a
-level is empty.
+level is empty.  What every level joins is written once before the first.
 """
 
 from __future__ import annotations
@@ -49,13 +49,14 @@ def walk(start: DataFrame, step, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 def closure(e: DataFrame) -> DataFrame:
     """(ancestor, descendant, depth) with depth >= 1; a node reachable twice is there twice."""
+    e = materialize(e)
     start = e.select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("depth"))
     return walk(start, lambda f: f.join(e, f.descendant == e.parent).select("ancestor", F.col("child").alias("descendant"), (F.col("depth") + 1).alias("depth")))
 
 
 def descendants(nodes: DataFrame, of: DataFrame, kind: str) -> DataFrame:
     """(ancestor, descendant) of one type below the nodes of `of`, with multiplicity."""
-    e = edges(nodes)
+    e = materialize(edges(nodes))
     start = of.select(F.col("shared_id").alias("ancestor"), F.col("shared_id").alias("descendant"))
     below = walk(start, lambda f: f.join(e, f.descendant == e.parent).select("ancestor", F.col("child").alias("descendant")))
     typed = nodes.where(F.col("type") == kind).select(F.col("shared_id").alias("descendant"))
@@ -76,7 +77,7 @@ def has_missing_nodes(nodes: DataFrame) -> DataFrame:
 
 def paths(nodes: DataFrame, separator: str = "__") -> DataFrame:
     """(shared_id, path array from the root, path text) along first parents."""
-    first = nodes.select("shared_id", F.get("parents", F.lit(0)).alias("parent"))
+    first = materialize(nodes.select("shared_id", F.get("parents", F.lit(0)).alias("parent")))
     start = roots(nodes).select("shared_id", F.array("shared_id").alias("ids"))
     down = walk(start, lambda f: f.select(F.col("shared_id").alias("parent"), "ids").join(first, "parent").select("shared_id", F.array_append("ids", F.col("shared_id")).alias("ids")))
     return down.select("shared_id", "ids", F.array_join("ids", separator).alias("path"))
@@ -84,7 +85,7 @@ def paths(nodes: DataFrame, separator: str = "__") -> DataFrame:
 
 def world_transforms(nodes: DataFrame, tag: str | None = None) -> DataFrame:
     """World matrix (parent times local) of every transformation, and the nearest `tag` above or at it."""
-    t = nodes.where("type = 'transformation'").select("shared_id", F.get("parents", F.lit(0)).alias("parent"), F.coalesce("matrix", matrix(IDENTITY)).alias("local"), (F.col(tag) if tag else F.lit(None).cast("string")).alias("own"))
+    t = materialize(nodes.where("type = 'transformation'").select("shared_id", F.get("parents", F.lit(0)).alias("parent"), F.coalesce("matrix", matrix(IDENTITY)).alias("local"), (F.col(tag) if tag else F.lit(None).cast("string")).alias("own")))
     start = t.where("parent is null").select("shared_id", F.col("local").alias("world"), F.col("own").alias("branch"))
     return walk(
         start,
@@ -94,7 +95,7 @@ def world_transforms(nodes: DataFrame, tag: str | None = None) -> DataFrame:
 
 def sparse_world_transforms(nodes: DataFrame, meshes: DataFrame) -> DataFrame:
     """World matrix above each of `meshes`, walking up only from them (first parents)."""
-    t = nodes.where("type = 'transformation'").select(F.col("shared_id").alias("up"), F.get("parents", F.lit(0)).alias("next"), F.coalesce("matrix", matrix(IDENTITY)).alias("local"))
+    t = materialize(nodes.where("type = 'transformation'").select(F.col("shared_id").alias("up"), F.get("parents", F.lit(0)).alias("next"), F.coalesce("matrix", matrix(IDENTITY)).alias("local")))
     start = meshes.select(F.col("shared_id").alias("mesh"), F.get("parents", F.lit(0)).alias("up"), matrix(IDENTITY).alias("world"))
     climbed = walk(start, lambda f: f.where("up is not null").join(t, "up").select("mesh", F.col("next").alias("up"), multiply(F.col("local"), F.col("world")).alias("world")))
     return climbed.where("up is null").select("mesh", "world")

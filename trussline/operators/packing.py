@@ -1,7 +1,7 @@
 """Grouping meshes into capacity-limited batches.
 
-Jobs and groups are columns; efficiency order, running totals and caps are windows; only the greedy
-fold itself is Python, over one group that the caps bound to 5,000 meshes.
+Jobs and groups are columns; efficiency order, running totals and caps are windows; the greedy fold
+is Python over sorted rows with sums for its only memory.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_VERTICES = 1_200_000
 MAX_MESHES = 5_000
@@ -49,33 +50,40 @@ def mapping_offsets(meshes: DataFrame, keys: list[str], order: list[str]) -> Dat
     return meshes.withColumns({"v_from": v, "v_to": v + F.col("vertices"), "t_from": t, "t_to": t + F.col("faces")})
 
 
-def greedy_bins(sizes: np.ndarray, limit: int) -> np.ndarray:
-    """Bin of each item, in order: the next bin begins where the limit would be passed."""
-    out, used, at = np.zeros(len(sizes), np.int64), 0, 0
-    for i, n in enumerate(sizes.tolist()):
-        if used and used + n > limit:
-            at, used = at + 1, 0
-        out[i] = at
-        used += n
-    return out
+def filled(meshes: DataFrame, keys: list[str], order: list[str], name: str, caps: dict[str, int]) -> DataFrame:
+    """Adds `name`, the number of the bin that each row of a group falls in, in `order`: the next bin begins where one
+    of the columns in `caps` would pass its cap in sum; a row above a cap has a bin of its own.
 
+    A task reads its sorted rows once and remembers the running sums alone, so a group of any size fits, and many
+    small groups share a batch.
+    """
+    columns, most = list(caps), list(caps.values())
+    schema = T.StructType([*meshes.schema.fields, T.StructField(name, T.LongType())])
 
-def pack(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES) -> DataFrame:
-    """Adds batch: greedy packing of a chunk's meshes (`keys` should hold a chunk) in id order."""
-    from pyspark.sql import types as T
+    def fold(batches):
+        now, used, at = None, [0] * len(most), 0
+        for pdf in batches:
+            bins = []
+            for key, sizes in zip(pdf[keys].itertuples(index=False, name=None), pdf[columns].itertuples(index=False, name=None), strict=True):
+                if key != now:
+                    now, used, at = key, list(sizes), 0
+                elif any(used) and any(u + n > m for u, n, m in zip(used, sizes, most, strict=True)):
+                    used, at = list(sizes), at + 1
+                else:
+                    used = [u + n for u, n in zip(used, sizes, strict=True)]
+                bins.append(at)
+            yield pdf.assign(**{name: bins})
+
+    return meshes.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(fold, schema)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        return pdf.assign(batch=greedy_bins(pdf["vertices"].to_numpy(), limit))
 
-    schema = T.StructType([*meshes.schema.fields, T.StructField("batch", T.LongType())])
-    return meshes.groupBy(*keys).applyInPandas(fold, schema)
+def pack(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES) -> DataFrame:
+    """Adds batch: greedy packing of a chunk's meshes (`keys` should hold a chunk) in id order."""
+    return filled(meshes, keys, ["id"], "batch", {"vertices": limit})
 
 
 def spatial_clusters(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES) -> DataFrame:
     """Adds cluster: median splits of a chunk's boxes until each part holds under `limit` vertices."""
-    from pyspark.sql import types as T
-
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         mid = np.stack([(pdf[f"lo{k}"] + pdf[f"hi{k}"]).to_numpy() / 2 for k in range(3)], 1)
         size, ids = pdf["vertices"].to_numpy(), pdf["id"].to_numpy()
@@ -97,20 +105,7 @@ def spatial_clusters(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTIC
 
 def rechunk(batches: DataFrame, keys: list[str], max_vertices: int, max_faces: int) -> DataFrame:
     """Adds part: consecutive meshes of a batch under both caps."""
-    from pyspark.sql import types as T
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v_from", kind="stable")
-        out, v, t, at = [], 0, 0, 0
-        for nv, nt in zip(pdf["vertices"].tolist(), pdf["faces"].tolist(), strict=True):
-            if v and (v + nv > max_vertices or t + nt > max_faces):
-                at, v, t = at + 1, 0, 0
-            out.append(at)
-            v, t = v + nv, t + nt
-        return pdf.assign(part=out)
-
-    schema = T.StructType([*batches.schema.fields, T.StructField("part", T.LongType())])
-    return batches.groupBy(*keys).applyInPandas(fold, schema)
+    return filled(batches, keys, ["v_from"], "part", {"vertices": max_vertices, "faces": max_faces})
 
 
 def material_copies(uses: DataFrame, most: int = MATERIAL_USES) -> DataFrame:

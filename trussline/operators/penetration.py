@@ -1,16 +1,22 @@
 """Hard clashes: how far two meshes must give way to come apart, up to a tolerance.
 
-The smaller mesh may move or shrink, the larger stays.  Tried in turn: no contact at all (depth 0);
-the boxes' least separating movement; shifts along the axes in fifths of the tolerance, widest
-first; and shrinking along the vertices' outward directions in steps of a twentieth of the tolerance.
-The first that leaves no contact below the tolerance gives the depth; otherwise the best bound stays.
+The smaller mesh may move or shrink, the larger stays.  Its tried positions are where it is, shifts along the axes in
+fifths of the tolerance, and shrinking along the vertices' outward directions in twentieths of the tolerance; all of a
+pair's positions are tested for contact in one batch.  No contact where it is: depth 0.  Else the least movement that
+parts the boxes bounds the depth; if that is not below the tolerance, the widest shift without contact is taken, or the
+first shrinking without.
+
+A depth above the tolerance is possible only where the boxes overlap by more than the tolerance along every axis,
+which is a filter on columns before any mesh is read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geometry import inside_mesh, triangle_points
@@ -18,6 +24,8 @@ from .geometry import inside_mesh, triangle_points
 SHIFTS = 5
 SHRINK = 0.05
 CONTACT = 1e-9
+#: Triangle pairs of all positions whose boxes are compared at a time.
+LARGEST = 1 << 20
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -47,66 +55,108 @@ def closed(faces: np.ndarray) -> bool:
     return bool((np.unique(edges, axis=0, return_counts=True)[1] == 2).all())
 
 
-def touching(va, fa, vb, fb, closed_a: bool, closed_b: bool) -> bool:
-    """Some triangles meet, or one closed mesh holds the other whole."""
-    a, b = va[fa], vb[fb]
-    low_a, high_a, low_b, high_b = a.min(1), a.max(1), b.min(1), b.max(1)
-    for start in range(0, len(a), 256):  # blocks of triangles against all of the other mesh
-        s = slice(start, start + 256)
-        near = ((low_a[s, None] <= high_b + CONTACT) & (low_b <= high_a[s, None] + CONTACT)).all(2)
-        i, j = np.nonzero(near)
-        if len(i):
-            x, y = a[s][i], b[j]
-            extent = np.maximum(np.maximum(x.max(1), y.max(1)) - np.minimum(x.min(1), y.min(1)), 0).max(1)
-            if (triangle_points(x, y)[2] <= CONTACT * extent).any():
-                return True
-    return bool((closed_a and inside_mesh(vb, a).all()) or (closed_b and inside_mesh(va, b).all()))
-
-
-def depth(va, fa, vb, fb, tolerance: float) -> float:
-    shut_a, shut_b = closed(fa), closed(fb)
-    meet = lambda moved: touching(moved, fa, vb, fb, shut_a, shut_b)
-    if not meet(va):
-        return 0.0
-    apart = np.minimum(va.max(0) - vb.min(0), vb.max(0) - va.min(0))
-    best = float(np.abs(apart).min())
-    if best < tolerance:
-        return best
-    for step in range(SHIFTS - 1, 0, -1):
-        for axis in np.eye(3):
-            for sign in (-1, 1):
-                by = step * tolerance / SHIFTS
-                if not meet(va + sign * by * axis):
-                    return min(best, by)
-    away, moved = outward(va, fa), va.copy()
-    for _ in range(int(1 / SHRINK)):
-        if not meet(moved):
-            return float(np.linalg.norm(va - moved, axis=1).max())
-        moved = moved - away * tolerance * SHRINK
-        if np.linalg.norm(va - moved, axis=1).max() > tolerance:
-            break
-    return best
+def _meet(met: np.ndarray, at: np.ndarray, a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> None:
+    """Marks in `met` the positions `at` (in order) some of whose triangle pairs a[i], b[j] meet.
+
+    A few pairs of each position are tested at a time: most positions meet at once and need no more.
+    """
+    nth, few = np.arange(len(at)) - np.searchsorted(at, np.arange(len(met)))[at], 4
+    while len(at):
+        now = nth < few
+        x, y = a[i[now]], b[j[now]]
+        extent = (np.maximum(x.max(1), y.max(1)) - np.minimum(x.min(1), y.min(1))).max(1)
+        met[at[now][triangle_points(x, y)[2] <= CONTACT * extent]] = True
+        left = ~now & ~met[at]
+        at, i, j, nth, few = at[left], i[left], j[left], nth[left], few * 4
+
+
+def contacts(jobs: list[tuple]) -> list[np.ndarray]:
+    """For each job (positions of mesh a's vertices, faces, vertices of mesh b, faces) and each of its positions: do
+    triangles meet, or does one closed mesh hold the other whole?"""
+    out = [np.zeros(len(moved), bool) for moved, *_ in jobs]
+    group, load = [], 0
+    for k, (moved, fa, _, fb) in enumerate([*jobs, (np.zeros((LARGEST, 0, 3)), [0], None, [0])]):
+        pairs = len(moved) * len(fa) * len(fb)
+        if group and load + pairs > LARGEST:
+            _surfaces([jobs[g] for g in group], [out[g] for g in group])
+            group, load = [], 0
+        group.append(k)
+        load += pairs
+    for met, (moved, fa, vb, fb) in zip(out, jobs, strict=True):
+        shut_a, shut_b = closed(fa), closed(fb)
+        for k in np.flatnonzero(~met):
+            low, high = moved[k].min(0), moved[k].max(0)
+            inner = shut_b and (low >= vb.min(0)).all() and (high <= vb.max(0)).all()
+            outer = shut_a and (low <= vb.min(0)).all() and (high >= vb.max(0)).all()
+            met[k] = inner and inside_mesh(moved[k], vb[fb]).all() or outer and inside_mesh(vb, moved[k][fa]).all()
+    return out
+
+
+def _surfaces(jobs: list[tuple], out: list[np.ndarray]) -> None:
+    """Marks the positions whose triangles meet, all jobs in one batch; a job of more than `LARGEST` pairs comes alone, in parts."""
+    if len(jobs) == 1:
+        moved, fa, vb, fb = jobs[0]
+        size = max(1, LARGEST // (len(moved) * len(fb)))
+        for start in range(0, len(fa), size):
+            _near_surfaces([(moved, fa[start : start + size], vb, fb)], out)
+    else:
+        _near_surfaces(jobs, out)
+
+
+def _near_surfaces(jobs: list[tuple], out: list[np.ndarray]) -> None:
+    tri_a, tri_b, at, i, j, first = [], [], [], [], [], [0, 0, 0]
+    for (moved, fa, vb, fb), met in zip(jobs, out, strict=True):
+        a, b = moved[:, fa], vb[fb]
+        near = ((a.min(2)[:, :, None] <= b.max(1) + CONTACT) & (b.min(1) - CONTACT <= a.max(2)[:, :, None])).all(3) & ~met[:, None, None]
+        m, x, y = np.nonzero(near)
+        at.append(m + first[0])
+        i.append(m * len(fa) + x + first[1])
+        j.append(y + first[2])
+        tri_a.append(a.reshape(-1, 3, 3))
+        tri_b.append(b)
+        first = [first[0] + len(moved), first[1] + len(moved) * len(fa), first[2] + len(fb)]
+    met = np.concatenate(out)
+    _meet(met, *(np.concatenate(x) for x in (at, tri_a, i, tri_b, j)))
+    for own, part in zip(out, np.split(met, np.cumsum([len(m) for m in out])[:-1]), strict=True):
+        own[:] = part
+
+
+def positions(va, fa, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(positions tried, the depth that each stands for): in place, shifts from the widest, shrinking."""
+    by = np.repeat(np.arange(SHIFTS - 1, 0, -1) * tolerance / SHIFTS, 6)
+    shifts = by[:, None] * np.tile(np.concatenate([-np.eye(3), np.eye(3)]), (SHIFTS - 1, 1))
+    shrunk = np.arange(1, int(1 / SHRINK) + 1)[:, None, None] * outward(va, fa) * tolerance * SHRINK
+    tried = np.concatenate([va[None], va + shifts[:, None], va - shrunk])
+    return tried, np.concatenate([[0.0], by, np.linalg.norm(shrunk, axis=2).max(1)])
+
+
+def depths(pairs: list[tuple], tolerance: float) -> list[float]:
+    """Depth of each pair (vertices, faces, vertices, faces), the first mesh giving way."""
+    best = [float(np.minimum(va.max(0) - vb.min(0), vb.max(0) - va.min(0)).min()) for va, _, vb, _ in pairs]
+    tried = [positions(va, fa, tolerance) if b >= tolerance else (va[None], np.zeros(1)) for b, (va, fa, _, _) in zip(best, pairs, strict=True)]
+    met = contacts([(moved, fa, vb, fb) for (moved, _), (_, fa, vb, fb) in zip(tried, pairs, strict=True)])
+    return [b if m.all() else max(0.0, min(b, float(d[np.argmin(m)]))) for b, m, (_, d) in zip(best, met, tried, strict=True)]
 
 
 def hard_clashes(pairs: DataFrame, meshes: DataFrame, tolerance: float) -> DataFrame:
     """(a, b, a_id, b_id, depth, positions): pairs whose depth passes `tolerance`.
 
-    `meshes` is (id, v array<double>, f array<int>); pairs carry a_id, b_id, a_composite, b_composite.
+    `meshes` is (id, v array<double>, f array<int>); pairs carry a_id, b_id, a_composite, b_composite and both boxes.
     """
     left, right = meshes.toDF("a_id", "av", "af"), meshes.toDF("b_id", "bv", "bf")
-    rows = pairs.select("a_composite", "b_composite", "a_id", "b_id").join(left, "a_id").join(right, "b_id").select("a_composite", "b_composite", "a_id", "b_id", "av", "af", "bv", "bf")
+    deep = reduce(Column.__and__, (F.least(F.col(f"a_hi{k}") - F.col(f"b_lo{k}"), F.col(f"b_hi{k}") - F.col(f"a_lo{k}")) > tolerance for k in range(3)))
+    rows = pairs.where(deep).select("a_composite", "b_composite", "a_id", "b_id").join(left, "a_id").join(right, "b_id").select("a_composite", "b_composite", "a_id", "b_id", "av", "af", "bv", "bf")
 
     def test(it):
         for pdf in it:
-            out = []
+            both = []
             for r in pdf.itertuples(index=False):
                 m = [(np.array(v, float).reshape(-1, 3), np.array(f, int).reshape(-1, 3)) for v, f in ((r.av, r.af), (r.bv, r.bf))]
-                m.sort(key=lambda x: np.linalg.norm(np.ptp(x[0], axis=0)))  # the smaller gives way
-                d = depth(*m[0], *m[1], tolerance)
-                if d > tolerance:
-                    centres = [((np.array(v).reshape(-1, 3).min(0) + np.array(v).reshape(-1, 3).max(0)) / 2).tolist() for v in (r.av, r.bv)]
-                    out.append((r.a_composite, r.b_composite, r.a_id, r.b_id, d, centres))
-            yield pd.DataFrame(out, columns=["a", "b", "a_id", "b_id", "depth", "positions"])
+                both.append((m, sorted(m, key=lambda x: np.linalg.norm(np.ptp(x[0], axis=0)))))  # the smaller gives way
+            found = depths([(*small, *large) for _, (small, large) in both], tolerance)
+            centres = [[((v.min(0) + v.max(0)) / 2).tolist() for v, _ in m] for m, _ in both]
+            out = pdf[["a_composite", "b_composite", "a_id", "b_id"]].set_axis(["a", "b", "a_id", "b_id"], axis=1).assign(depth=found, positions=centres)
+            yield out[out["depth"] > tolerance]
 
     kinds = dict(pairs.dtypes)
     schema = f"a {kinds['a_composite']}, b {kinds['b_composite']}, a_id {kinds['a_id']}, b_id {kinds['b_id']}, depth double, positions array<array<double>>"

@@ -176,12 +176,15 @@ def mesh_contains(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", geometry.mesh_contains(points, cube).alias("inside"))
 
 
-@query()
+@query(f"WITH {BOXES_SQL}, p AS (SELECT a.composite AS a, b.composite AS b, a.id AS a_id, b.id AS b_id, least({_DEPTH}) AS depth, " + ", ".join(f"[{', '.join(f'round(({s}.lo{k} + {s}.hi{k}) / 2, 9)' for k in range(3))}] AS p{s}" for s in "ab") + f" FROM boxes a JOIN boxes b ON a.id % 2 = 0 AND b.id % 2 = 1 AND a.composite <> b.composite AND {_OVERLAP}) SELECT a, b, a_id, b_id, round(depth, 9) AS depth, [pa, pb] AS positions FROM p WHERE depth > {TOLERANCE}")
 def hard_clash_depths(spark, sf):
-    """Boxes as closed meshes: pairs that must give way by more than the tolerance to come apart."""
+    """Boxes as closed meshes: pairs that must give way by more than the tolerance to come apart.
+
+    Boxes part only by the least movement along an axis, which the SQL states."""
     b = boxes(spark, sf).withColumn("part", F.when(F.col("id") % 2 == 0, "A").otherwise("B"))
     pairs = clash.candidate_pairs(b, partial(spatial.overlap_join, cell=CELL))
     corners = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
     v = F.array(*(F.col(f"{'hi' if x[k] else 'lo'}{k}") for x in corners for k in range(3)))
     meshes = b.select("id", v.alias("v"), F.array(*(F.lit(i) for f in _CUBE for i in f)).alias("f"))
-    return penetration.hard_clashes(pairs, meshes, TOLERANCE)
+    nine = F.transform("positions", lambda p: F.transform(p, lambda x: F.round(x, 9)))
+    return penetration.hard_clashes(pairs, meshes, TOLERANCE).withColumns({"depth": F.round("depth", 9), "positions": nine})

@@ -314,7 +314,11 @@ def test_hard_clashes(spark):
     v, f = cube()
     rows = [(i, (v + [x, 0, 0]).ravel().tolist(), f.ravel().tolist()) for i, x in enumerate([0.0, 1.0, 1.95, 9.0])]
     meshes = spark.createDataFrame(rows, "id long, v array<double>, f array<int>")
-    pairs = spark.createDataFrame([(0, 1, "A", "B"), (0, 2, "A", "C"), (0, 3, "A", "D")], "a_id long, b_id long, a_composite string, b_composite string")
+    lo, hi = v.min(0), v.max(0)
+    side = lambda x: [*map(float, lo + [x, 0, 0]), *map(float, hi + [x, 0, 0])]
+    corners = ", ".join(f"{s}_{c}{k} double" for s in "ab" for c in ("lo", "hi") for k in range(3))
+    boxed = [(0, j, "A", n, *side(0.0), *side(x)) for j, n, x in ((1, "B", 1.0), (2, "C", 1.95), (3, "D", 9.0))]
+    pairs = spark.createDataFrame(boxed, "a_id long, b_id long, a_composite string, b_composite string, " + corners)
     got = penetration.hard_clashes(pairs, meshes, 0.5).collect()
     assert [(r.a, r.b, round(r.depth, 6)) for r in got] == [("A", "B", 1.0)] and got[0].positions == [[0, 0, 0], [1, 0, 0]]
 

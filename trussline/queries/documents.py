@@ -141,11 +141,11 @@ def _customers(spark, sf):
 
 
 def _delta(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 4 = 0")
-    return c.select(F.when(F.col("c_custkey") % 8 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("_id"), F.concat(F.lit("new "), F.col("c_name")).alias("name"), F.lit(None).cast("double").alias("balance"))
+    c = table(spark, sf, "customer")
+    return c.select(F.when(F.col("c_custkey") % 2 == 0, -1 - F.col("c_custkey")).otherwise(F.col("c_custkey")).alias("_id"), F.concat(F.lit("new "), F.col("c_name")).alias("name"), F.lit(None).cast("double").alias("balance"))
 
 
-_DELTA = "delta AS (SELECT CASE WHEN c_custkey % 8 = 0 THEN -1 - c_custkey ELSE c_custkey END AS _id, 'new ' || c_name AS name FROM customer WHERE c_custkey % 4 = 0)"
+_DELTA = "delta AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN -1 - c_custkey ELSE c_custkey END AS _id, 'new ' || c_name AS name FROM customer)"
 
 
 @query(f"WITH {_DELTA} SELECT c_custkey AS _id, c_name AS name, c_acctbal AS balance FROM customer WHERE c_custkey NOT IN (SELECT _id FROM delta) UNION ALL SELECT _id, name, NULL FROM delta")

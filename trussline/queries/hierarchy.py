@@ -157,11 +157,11 @@ def change_set(spark, sf):
 
 def _meta(spark, sf):
     """Metadata named after customers (in other case) and nations."""
-    c = table(spark, sf, "customer").where("c_custkey % 10 = 0").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("_id"), F.upper("c_name").alias("name"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("m"), F.col("c_custkey").cast("string")).alias("_id"), F.upper("c_name").alias("name"))
     return c.union(table(spark, sf, "nation").select(F.concat(F.lit("mn"), F.col("n_nationkey").cast("string")), "n_name"))
 
 
-_META = "meta AS (SELECT 'm' || c_custkey AS _id, upper(c_name) AS name FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'mn' || n_nationkey, n_name FROM nation)"
+_META = "meta AS (SELECT 'm' || c_custkey AS _id, upper(c_name) AS name FROM customer UNION ALL SELECT 'mn' || n_nationkey, n_name FROM nation)"
 
 
 @query(f"WITH {NODES_SQL}, {_META} SELECT _id AS meta_id, shared_id FROM nodes JOIN meta USING (name)")

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder of this application's own under spark.checkpoint.dir, else (as in tests) under the
-    warehouse; it can be removed when the application has ended."""
+    """A folder of this application's own under spark.checkpoint.dir, else, in local mode, under the
+    warehouse.  A cluster has to name its shared folder: the warehouse may be one machine's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
     return f"{base}/{spark.sparkContext.applicationId}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, when none of its results is read any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as Parquet and read it back.
 

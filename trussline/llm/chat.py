@@ -9,7 +9,8 @@ in one place.  Ranges and positions are two-level prefix sums: within blocks of
 then over a conversation's blocks.
 
 Bodies are escaped (`\\` to `\\\\`, `<|` to `<\\|`), so a header never occurs in one and
-`unescape` gives the text back.
+`unescape` gives the text back.  Names in headers are escaped further (`|>` to `|\\>`, line ends to
+`\\n`), so no role ends its header early.
 
 Defined cases: null texts are empty; a null role is the participant "unknown"; turns that are equal
 or null stand in the order of (turn, role, text), nulls first; repeated rows are repeated turns; a
@@ -32,6 +33,10 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
 
+def escape_name(role: Column) -> Column:
+    return F.replace(F.replace(escape(role), F.lit("|>"), F.lit("|\\>")), F.lit("\n"), F.lit("\\n"))
+
+
 def unescape(body: str) -> str:
     return body.replace("<\\|", "<|").replace("\\\\", "\\")
 
@@ -40,7 +45,7 @@ def _header(perspective: Column, role: Column) -> Column:
     return (
         F.when(role == SYSTEM, "<|system|>\n")
         .when(role == perspective, "<|assistant|>\n")
-        .otherwise(F.concat(F.lit("<|user name="), escape(role), F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), escape_name(role), F.lit("|>\n")))
     )
 
 
@@ -100,7 +105,7 @@ seen AS (
   SELECT s.*, p.perspective,
          CASE WHEN s.speaker = 'system' THEN '<|system|>' || chr(10)
               WHEN s.speaker = p.perspective THEN '<|assistant|>' || chr(10)
-              ELSE '<|user name=' || replace(replace(s.speaker, '\', '\\'), '<|', '<\|') || '|>' || chr(10) END AS header
+              ELSE '<|user name=' || replace(replace(replace(replace(s.speaker, '\', '\\'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n') || '|>' || chr(10) END AS header
   FROM said s JOIN seats p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 sized AS (SELECT *, header || body || chr(10) AS segment FROM seen),
 placed AS (

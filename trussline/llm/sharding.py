@@ -11,11 +11,12 @@ could not take continues clockwise to the next shards with room.  That fold runs
 (`shards * NODES` rows, whatever the size of the table).  Rows are then numbered within their arc
 and cut at the fold's bounds.
 
-No key is hot: rows are counted and numbered within (cell, salt), where the salt spreads a repeated
-doc_id over `SALTS` parts, and the counts are at most CELLS * SALTS rows.
+No key is hot: rows are counted and numbered within (cell, salt), where the salt, from a hash of the
+row's columns, spreads a repeated doc_id over `SALTS` parts; the counts are at most CELLS * SALTS rows.  Rows are
+numbered by doc_id and that hash, so where a row goes depends on the table's rows alone, not on how they are dealt.
 
 Defined cases: a null text has 0 bytes and a null checksum is that of the empty text; null and
-repeated doc_ids are placed like others; equal rows may part; an empty table gives an empty result;
+repeated doc_ids are placed like others; rows equal in all columns may part; an empty table gives an empty result;
 fewer rows than shards leave some shards empty.
 """
 
@@ -23,13 +24,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, shielded, table
 
 SHARDS = 40
 NODES = 64
 CELLS = 1 << 14
-SALTS = 8
+SALTS = 16
 OVERHEAD = 16
 
 
@@ -109,10 +111,10 @@ def plan(counts: DataFrame, arcs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def assign(keys: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """`keys` (a materialized table) with _shard and _slot, gapless from 0 in every shard.
 
-    `keys` needs a column _salt in 0 to SALTS - 1 that is stored with the rows.
+    `keys` needs a column _hash of the row.
     """
     arcs = materialize(ring(keys.sparkSession, shards))
-    placed = keys.withColumn("_cell", _cell(F.xxhash64(F.col(doc_id))))
+    placed = keys.withColumns({"_cell": _cell(F.xxhash64(F.col(doc_id))), "_salt": F.pmod("_hash", F.lit(SALTS)).cast("int")})
     counts = placed.groupBy(F.col("_cell").alias("cell"), F.col("_salt").alias("salt")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("arc").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialize(
@@ -121,7 +123,7 @@ def assign(keys: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS) -> Dat
         )
     )
     pieces = materialize(plan(parts.groupBy("arc").agg(F.sum("n").alias("n")), arcs, shards))
-    within = Window.partitionBy("_cell", "_salt").orderBy(F.col(doc_id).asc_nulls_first())
+    within = Window.partitionBy("_cell", "_salt").orderBy(F.col(doc_id).asc_nulls_first(), "_hash")
     ranked = placed.withColumn("_rank", F.row_number().over(within) - 1)
     # both tables are bounded by the ring's parameters, not by the rows
     parts = parts.select(F.col("arc").alias("_arc"), "_c", "_s", "_before")
@@ -129,12 +131,12 @@ def assign(keys: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS) -> Dat
     at = ranked.join(F.broadcast(parts), (F.col("_cell") == F.col("_c")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     hit = (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
     placed_rows = at.join(F.broadcast(pieces), hit).withColumn("_slot", F.col("_first") + F.col("_rank") - F.col("_low"))
-    return placed_rows.select(*(c for c in keys.columns if c != "_salt"), "_shard", "_slot")
+    return placed_rows.select(*(c for c in keys.columns if c != "_hash"), "_shard", "_slot")
 
 
 def _keys(docs: DataFrame, *more: Column) -> DataFrame:
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("_salt")
-    return materialize(docs.select(*more, salt))
+    hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return materialize(docs.select(*more, F.xxhash64(*hashed).alias("_hash")))
 
 
 @shielded

@@ -1,14 +1,15 @@
 """Licence scans with a generalised suffix automaton over licence words.
 
-The templates below are inserted, word by word, into one suffix automaton.  A text is streamed
+The templates of `notices` are inserted, word by word, into one suffix automaton.  A text is streamed
 through it: after each word the automaton's state and the matched length are the longest stretch
 ending there that occurs in some template (matching statistics).  From them:
 
 * base phrases: each is a template too; it stands wherever the matched length covers it and its
   state is the current one or a suffix of it, so every place is counted, inside longer matches too;
 * template labels: for each template the stretches of at least `LONG` words that stand in it and can be
-  made no longer in it, inside longer stretches of other templates too, are chained in template order with gaps of at most `GAP` words; a template whose chain
-  covers `COVERED` of its words gives its label and the span from the chain's first word to its last.
+  made no longer in it, inside longer stretches of other templates too, are chained in template order with gaps of
+  at most `GAP` words; a template whose chain covers `COVERED` of its words gives its label and the span from the chain's first
+  word to its last.  Spans of one template do not overlap: the chain that covers most comes first.
 
 Defined cases: null, empty and wordless texts have no words, no labels and score 0; repeated rows
 are scanned alike; texts are streamed, so their length bounds memory only through their own words.
@@ -16,6 +17,7 @@ are scanned alike; texts are streamed, so their length bounds memory only throug
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import lru_cache
 
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ALNUM, table
+from .notices import NOTICES
 
 #: Base phrases and their labels.
 PHRASES = {
@@ -31,25 +34,6 @@ PHRASES = {
     "general public license": "gpl",
     "all rights reserved": "reserved",
 }
-#: Public licence notices, normalised to lower-case words, and their labels.
-TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd", "released under the bsd license"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("proprietary", "confidential and proprietary unauthorized copying of this file via any medium is strictly prohibited"),
-)
 LONG = 3
 GAP = 3
 COVERED = 0.75
@@ -105,9 +89,9 @@ class SuffixAutomaton:
 
 
 class LicenseScanner:
-    def __init__(self, templates=TEMPLATES, phrases=None):
+    def __init__(self, templates=NOTICES, phrases=None):
         phrases = PHRASES if phrases is None else phrases
-        self.templates = [(label, text.encode().split()) for label, text in templates]
+        self.templates = [(label, text.encode().translate(ALNUM).split()) for label, text in templates]
         named = [(label, text.encode().split()) for text, label in phrases.items()]
         self.number = {w: n for n, w in enumerate(sorted({w for _, words in [*self.templates, *named] for w in words}))}
         coded = [[self.number[w] for w in words] for _, words in [*self.templates, *named]]
@@ -196,12 +180,13 @@ class LicenseScanner:
                     if last - over <= start <= last + GAP and t <= t1 and t0 - t <= GAP + (start - last):
                         best = max(best, (covered + t1 - t0 - over, first, end, t1))
                 chains.append(best)
-            # every chain that covers enough and is not part of a longer one from the same start
-            ends: dict[int, tuple] = {}
-            for c in chains:
-                if c[0] >= COVERED * total and c > ends.get(c[1], (0,)):
-                    ends[c[1]] = c
-            hits += [(self.templates[k][0], first, last, covered / total) for covered, first, last, _ in ends.values()]
+            # chains that cover enough, the best first, each on words of its own
+            taken: list[tuple[int, int]] = []
+            for covered, first, last, _ in sorted((c for c in chains if c[0] >= COVERED * total), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+                at = bisect(taken, (first, last))
+                if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
+                    taken.insert(at, (first, last))
+                    hits.append((self.templates[k][0], first, last, covered / total))
         return hits
 
 

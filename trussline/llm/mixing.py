@@ -3,9 +3,11 @@
 A softmax regression over the hashed words that tell the domains apart, fitted to at most `SAMPLE` labelled documents (in the order
 of a hash of doc_id), gives every document a posterior over the domains low (quality 0), toxic and
 clean.  Document rates r >= 0 minimise the squared distance of the expected domain token totals
-sum(r * tokens * posterior) from the targets, by accelerated projected gradient from r = 1: each step
-is one aggregate of as many sums as there are domains over the documents' table, after which only
-those sums reach the driver.  The rates themselves are a fold of the steps over the rows, so nothing but
+sum(r * tokens * posterior) from the targets, by accelerated projected gradient from r = 1.  Distances
+are measured in the inverse of the domains' Gram matrix, so that domains which share documents do not
+slow the descent and a step of 1 is the longest safe one: where no rate meets zero, one step ends
+the fit.  Each step is one aggregate of as many sums as there are domains over the documents' table,
+after which only those sums reach the driver.  The rates themselves are a fold of the steps over the rows, so nothing but
 the table of posteriors is stored.
 
 Targets are weights of the result; its size is such that the domain `ANCHOR` keeps its expected
@@ -183,8 +185,7 @@ def fit_rates(posts: DataFrame, weights: dict[str, float] | None = None):
     anchor = DOMAINS.index(ANCHOR)
     share = np.array([weights[d] for d in DOMAINS])
     target = np.where(start > 0, share / share[anchor] * start[anchor], 0.0) if start[anchor] > 0 else start
-    size = np.where(np.diag(gram) > 0, 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300)), 0.0)
-    longest = np.linalg.eigvalsh(gram * size[:, None] * size[None, :]).max() if size.any() else 1.0
+    whiten = np.linalg.pinv(gram, rcond=1e-9, hermitian=True)
     steps: list[np.ndarray] = []
     now, ahead, t = start, start, 1.0
 
@@ -195,7 +196,7 @@ def fit_rates(posts: DataFrame, weights: dict[str, float] | None = None):
         if met():
             break
         faster = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        steps.append(np.append(size * size * (ahead - target) / longest, (t - 1) / faster))
+        steps.append(np.append(whiten @ (ahead - target), (t - 1) / faster))
         t = faster
         now, ahead = _totals(posts, steps)
     if not met():

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trussline.functions import documents, linear
 from trussline.operators import clash, geometry, graph, packing, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
-from trussline.sources import readers, store
+from trussline.sources import ifc, readers, store
 from trussline.streaming import jobs
 
 
@@ -383,3 +383,32 @@ def test_normals_and_flags(spark):
     n = F.array(*(F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 0.0, 2.0)))
     r = spark.range(1).select(linear.transform_normals(linear.scaling(2, 3, 4), n).alias("n"), values.is_enabled(F.create_map(F.lit("vr"), F.lit(True)), "vr").alias("a"), values.is_enabled(F.create_map(F.lit("vr"), F.lit(True)), "x").alias("b")).first()
     assert r.n == [1, 0, 0, 0, 0, 1] and r.a and not r.b
+
+
+def test_step_values(spark):
+    cases = {
+        "$": None, "*": None, "#12": None, '"0F"': None, "()": None, "(#1,#2)": None, ".T.": "true", ".F.": "false", ".U.": "UNKNOWN", ".ELEMENT.": "ELEMENT",
+        "42": "42", "-1.5": "-1.5", "2.": "2.0", "1.E3": "1000.0", "'it''s'": "it's", "''": "", "(1.,2.)": "(1.0, 2.0)", "('a','b, c')": "(a, b, c)",
+        "IFCLABEL('x')": "x", "IFCBOOLEAN(.T.)": "true", "'caf\\X2\\00E9\\X0\\ \\X\\FC \\\\ \\S\\d'": "café ü \\ ä", "'\\X4\\0001F600\\X0\\'": "\U0001f600",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", ifc.value(F.col("t")).alias("v")).collect()
+    assert {r.t: r.v for r in rows} == cases
+    text = spark.createDataFrame([("m", "#5 = IfcWall('a;b',\n $, (#1, (2., 'x)')), .T.) ;"), ("m", "ENDSEC")], "model string, value string")
+    assert [tuple(r) for r in ifc.entities(text).drop("values").collect()] == [("m", 5, "IFCWALL", ["'a;b'", "$", "(#1, (2., 'x)'))", ".T."])]
+    with pytest.raises(Exception, match="schema is not read"):
+        ifc.schema_of(spark.createDataFrame([("m", "FILE_SCHEMA(('IFC9'))")], "model string, value string")).collect()
+
+
+def test_own_properties_come_before_those_of_the_type(spark):
+    lines = [
+        "#1=IFCDOOR('0000000000000000000001',$,'d',$)", "#2=IFCPROPERTYSINGLEVALUE('A',$,IFCLABEL('own'),$)", "#3=IFCPROPERTYSET('0000000000000000000003',$,'P',$,(#2))",
+        "#4=IFCRELDEFINESBYPROPERTIES('0000000000000000000004',$,$,$,(#1),#3)", "#5=IFCPROPERTYSINGLEVALUE('A',$,IFCLABEL('type'),$)", "#6=IFCPROPERTYSINGLEVALUE('B',$,IFCLENGTHMEASURE(2.),#10)",
+        "#7=IFCPROPERTYSET('0000000000000000000007',$,'P',$,(#5,#6))", "#8=IFCDOORTYPE('0000000000000000000008',$,'t',$,$,(#7),$)", "#9=IFCRELDEFINESBYTYPE('0000000000000000000009',$,$,$,(#1),#8)",
+        "#10=IFCCONVERSIONBASEDUNIT(#11,.LENGTHUNIT.,'FOOT',#12)", "#13=IFCELEMENTQUANTITY('0000000000000000000013',$,'Q',$,$,(#14))", "#14=IFCQUANTITYAREA('Gross',$,$,3.5)",
+        "#15=IFCRELDEFINESBYPROPERTIES('0000000000000000000015',$,$,$,(#1),#13)", "#16=IFCSIUNIT(*,.AREAUNIT.,$,.SQUARE_METRE.)", "#17=IFCUNITASSIGNMENT((#16))",
+    ]
+    found = ifc.entities(spark.createDataFrame([("m", x) for x in lines], "model string, value string"))
+    got = {(r.object, r.group, r.name): (r.value, r.unit) for r in ifc.properties(found).collect()}
+    assert got == {(1, "P", "A"): ("own", None), (1, "P", "B"): ("2.0", "ft"), (1, "Q", "Gross"): ("3.5", "m²")}
+    names = {(r.object, r.name): r.value for r in ifc.object_attributes(found).collect()}
+    assert names[1, "IFC Name"] == "d" and {o for o, _ in names} == {1, 8}

@@ -47,7 +47,7 @@ def schema_of(lines: DataFrame) -> DataFrame:
 
 
 def arguments(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(_ARGUMENT), F.lit(1)), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(_ARGUMENT), F.lit(1)), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def entities(lines: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Collections of documents as DataFrames: finds, pages, counts and write operations.
 
 Reads return lazy DataFrames.  Writes are transforms from the collection and a change to the new
-collection (joins on `_id`), and `Store` persists them as Parquet tables, one folder a collection.
+collection (joins on `_id`), and `Store` persists them as tables of the catalog.
 """
 
 from __future__ import annotations
@@ -12,10 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.filters import Filter, Projection, condition, project
-
-#: Rows a file, as the batches of inserts are.
-BATCH = 10_000
-
+from ..plans.scratch import materialize
 
 def find_all(df: DataFrame, q: Filter | None, projection: Projection | None = None) -> DataFrame:
     """Matching rows; an empty filter matches nothing."""
@@ -90,62 +87,56 @@ def drop_documents(df: DataFrame, ids: DataFrame, key: str = "_id") -> DataFrame
 
 
 class Store:
-    """Parquet collections under one folder, named `<database>/<collection>`."""
+    """Collections as tables of the session's catalog: database `database`, table `collection` (dots are `__`).
+
+    Tables are Parquet, in `root` if it is given.  What a write reads and writes at once is first written to a scratch
+    table.  A catalog of transactional tables gives the same calls isolation between writers.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str | None = None):
+        self.spark, self.root = spark, root and root.rstrip("/")
 
-    def path(self, database: str, collection: str) -> str:
-        return f"{self.root}/{database}/{collection}"
+    def name(self, database: str, collection: str) -> str:
+        return f"`{database}`.`{collection.replace('.', '__')}`"
+
+    def exists(self, database: str, collection: str) -> bool:
+        return self.spark.catalog.databaseExists(database) and self.spark.catalog.tableExists(self.name(database, collection))
 
     def read(self, database: str, collection: str) -> DataFrame:
-        return self.spark.read.parquet(self._live(database, collection))
-
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _live(self, database: str, collection: str) -> str:
-        """The newest complete version: versions are numbered folders that hold `_SUCCESS`."""
-        fs, p = self._fs(self.path(database, collection))
-        if not fs.exists(p):
-            raise FileNotFoundError(str(p))
-        done = [s.getPath() for s in fs.listStatus(p) if fs.exists(self._fs(f"{s.getPath()}/_SUCCESS")[1])]
-        if not done:
-            raise FileNotFoundError(str(p))
-        return str(max(done, key=lambda x: int(x.getName())))
+        if not self.exists(database, collection):
+            raise FileNotFoundError(f"{database}.{collection}")
+        return self.spark.table(self.name(database, collection))
+
+    def _write(self, database: str, collection: str, df: DataFrame, mode: str) -> None:
+        at = f" LOCATION '{self.root}/{database}'" if self.root else ""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`{at}")
+        df.write.mode(mode).saveAsTable(self.name(database, collection))
 
     def insert(self, database: str, collection: str, df: DataFrame) -> None:
-        """Appends; files hold at most BATCH rows."""
-        try:
-            live = self._live(database, collection)
-        except FileNotFoundError:
-            live = f"{self.path(database, collection)}/1"
-        df.write.option("maxRecordsPerFile", BATCH).mode("append").parquet(live)
+        """Appends."""
+        self._write(database, collection, df, "append")
 
     def replace(self, database: str, collection: str, df: DataFrame) -> None:
-        """Writes a new version beside the old one, which readers keep until the new is complete."""
-        try:
-            last = int(self._live(database, collection).rsplit("/", 1)[1])
-        except FileNotFoundError:
-            last = 0
-        df.write.option("maxRecordsPerFile", BATCH).parquet(f"{self.path(database, collection)}/{last + 1}")
+        """The table's new rows, which may come from its old ones."""
+        self._write(database, collection, materialize(df), "overwrite")
 
     def upsert(self, database: str, collection: str, change: DataFrame, overwrite: bool) -> None:
-        try:
-            old = self.read(database, collection)
-        except FileNotFoundError:
-            self.replace(database, collection, change)
+        if not self.exists(database, collection):
+            self.insert(database, collection, change)
             return
+        old = self.read(database, collection)
         self.replace(database, collection, (upsert_replace if overwrite else upsert_merge)(old, change))
 
     def delete(self, database: str, collection: str, ids: DataFrame) -> None:
         self.replace(database, collection, drop_documents(self.read(database, collection), ids))
 
     def collections(self, database: str) -> list[str]:
-        fs, p = self._fs(f"{self.root}/{database}")
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+        if not self.spark.catalog.databaseExists(database):
+            return []
+        return sorted(t.name.replace("__", ".") for t in self.spark.catalog.listTables(database))
 
     def drop(self, database: str, collection: str) -> bool:
-        fs, p = self._fs(self.path(database, collection))
-        return fs.delete(p, True)
+        there = self.exists(database, collection)
+        if there:
+            self.spark.sql(f"DROP TABLE {self.name(database, collection)}")
+        return there

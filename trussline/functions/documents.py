@@ -48,11 +48,12 @@ SEMANTIC = {
 
 
 def same_node(df: DataFrame, other: DataFrame, kind: str, a: str = "a", b: str = "b") -> Column:
-    """Null-safe equality of the semantic fields that both tables (aliased a and b) have."""
+    """Null-safe equality of the semantic fields of two tables (aliased a and b); a field that a table lacks is null in it."""
     same = F.lit(True)
     for c in SEMANTIC[kind]:
-        if c in df.columns and c in other.columns:
-            same = same & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        sides = [F.col(f"{name}.{c}") for name, table in ((a, df), (b, other)) if c in table.columns]
+        if sides:
+            same = same & sides[0].eqNullSafe(sides[1] if len(sides) == 2 else F.lit(None))
     return same
 
 

@@ -52,3 +52,8 @@ def dropped(df: DataFrame, column: str, deny: list[str]) -> DataFrame:
 def resolve_properties(properties: DataFrame) -> DataFrame:
     """(node, key) once: the direct property, else the nested, else the type-level one (rank)."""
     return properties.groupBy("node", "key").agg(F.min_by("value", F.struct("rank", "value")).alias("value"))
+
+
+def of_nodes(meta: DataFrame) -> DataFrame:
+    """(shared_id, meta_id): the metadata that name a node as a parent, one row each."""
+    return meta.select(F.explode("parents").alias("shared_id"), F.col("_id").alias("meta_id"))

@@ -133,3 +133,8 @@ def face_groups(faces: DataFrame, layer: str, material: str, fmt: str) -> DataFr
     joined back to their group, never gathered in it."""
     grouped = faces.groupBy(layer, material, fmt).agg(F.count("*").alias("n"))
     return grouped.withColumn("group", F.xxhash64(layer, material, fmt))
+
+
+def with_geometry(clusters: DataFrame, geometry: DataFrame) -> DataFrame:
+    """Rows of `clusters` (mesh, rev_id, ...) with the geometry of the same revision of their mesh."""
+    return clusters.join(geometry, ["mesh", "rev_id"])

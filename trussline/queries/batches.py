@@ -87,10 +87,15 @@ def supermesh_spatial_clusters(spark, sf):
     return packing.spatial_clusters(chunks, ["customer", "chunk"]).select("customer", "chunk", "id", "cluster")
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT o_custkey AS customer, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS v, CAST(floor(o_totalprice) AS BIGINT) // 2 AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+f AS (SELECT customer, id, n, 0 AS part, v AS uv, t AS ut FROM m WHERE n = 1
+UNION ALL SELECT m.customer, m.id, m.n, CASE WHEN f.uv + m.v > 500000 OR f.ut + m.t > 200000 THEN f.part + 1 ELSE f.part END,
+ CASE WHEN f.uv + m.v > 500000 OR f.ut + m.t > 200000 THEN m.v ELSE f.uv + m.v END, CASE WHEN f.uv + m.v > 500000 OR f.ut + m.t > 200000 THEN m.t ELSE f.ut + m.t END
+FROM f JOIN m ON m.customer = f.customer AND m.n = f.n + 1)
+SELECT customer, id, CAST(part AS BIGINT) AS part FROM f""")
 def mesh_rechunk(spark, sf):
     offsets = packing.mapping_offsets(_meshes(spark, sf), ["customer"], ["id"]).select("customer", "id", "vertices", "faces", "v_from")
-    return packing.rechunk(offsets, ["customer"], 500_000, 300_000).select("customer", "id", "part")
+    return packing.rechunk(offsets, ["customer"], 500_000, 200_000).select("customer", "id", "part")
 
 
 @query("SELECT o_custkey AS mesh, min('M' || o_orderkey) AS material FROM orders GROUP BY 1")

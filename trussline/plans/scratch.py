@@ -12,7 +12,7 @@ def folder(spark: SparkSession) -> str:
     """A folder of this application's own under spark.checkpoint.dir, else, in local mode, under the
     warehouse.  A cluster has to name its shared folder: the warehouse may be one machine's disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not found and not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     base = (found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
     return f"{base}/{spark.sparkContext.applicationId}"

@@ -716,3 +716,18 @@ def test_clashing_columns_keep_their_values(spark):
         rows = out.collect()
         assert rows and out.columns[: len(docs.columns)] == docs.columns
         assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+
+
+def test_own_names_are_replaced(spark):
+    docs = docs_of(spark, ["a b", None, "", "x y z " * 20])
+    bench = spark.createDataFrame([(1, "x y z"), (2, "no such")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    model = mixing.train(docs, labels)
+    for run in (
+        tokens.with_counts, licenses.scan, lambda d: quality.judge(d, None), lambda d: decontaminate.matches(d, bench), lambda d: decontaminate.matches(d, bench, most=1),
+        lambda d: mixing.with_posteriors(d, model), simhash.with_fingerprint,
+    ):
+        once = run(docs)
+        twice = run(once)
+        assert sorted(twice.columns) == sorted(once.columns)
+        assert sorted(map(str, twice.select(sorted(once.columns)).collect())) == sorted(map(str, once.select(sorted(once.columns)).collect()))

@@ -16,7 +16,7 @@ first) is dealt by a hash of its texts into parts with a pass each, whose hits a
 
 Defined cases: null, empty and wordless documents have no words and are clean; null and wordless
 items are no windows; items with equal texts are all reported; a null item_id is no item but its windows hit; repeated rows are scanned alike; an
-empty benchmark leaves every document clean; extra columns pass untouched, but for names of `matches`' own columns.
+empty benchmark leaves every document clean; extra columns pass, but for columns with the result's own names, which are replaced.
 """
 
 from __future__ import annotations
@@ -172,7 +172,8 @@ def scan(docs: DataFrame, files: tuple[str, ...], text: str = "text") -> DataFra
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", most: int = MOST_WORDS) -> DataFrame:
     """One row for each row of `docs`, with its columns, those of `scan`, and _spans: the original byte
-    ranges of the runs of hit words."""
+    ranges of the runs of hit words; earlier columns of these names are replaced."""
+    docs = docs.drop("_spans", *(f"{f.name}{k}" for f in _FOUND for k in ("", "2")))
     first, *more = published(benchmark, item, most=most)
     out = scan(docs, first, text)
     for part in more:

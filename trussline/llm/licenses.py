@@ -209,7 +209,8 @@ _ADDED = [
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with word and phrase counts, labels, the best coverage as score, and template spans
-    in words."""
+    in words; earlier columns of these names are replaced."""
+    docs = docs.drop(*(f.name for f in _ADDED))
     at = docs.columns.index(text)
 
     def batches(it):

@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
 
 
 def with_posteriors(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
-    """`docs` with _tokens and _p, the posterior over DOMAINS."""
+    """`docs` with _tokens and _p, the posterior over DOMAINS; earlier columns of these names are replaced."""
+    docs = docs.drop("_tokens", "_p")
     at = docs.columns.index(text)
     w, b = model[0].astype(np.float32), model[1]
     added = [T.StructField("_tokens", T.LongType()), T.StructField("_p", T.ArrayType(T.DoubleType()))]

@@ -8,7 +8,8 @@ of good quality below `THRESHOLD`.  Without any labelled document only the base
 
 Defined cases: null, empty and wordless texts have all counts 0 and fail the base rule (fewer than
 20 words); of a doc_id labelled more than once the lowest quality counts; labels that are null or of
-unknown documents are ignored; repeated rows are judged alike; extra columns pass untouched.
+unknown documents are ignored; repeated rows are judged alike; extra columns pass, but for columns with the
+result's own names, which are replaced.
 """
 
 from __future__ import annotations
@@ -138,9 +139,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", sample: int =
 
 
 def judge(docs: DataFrame, trees: Trees | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with the COUNTS as _<name>, _base_failed, _quality (probability) and _kept."""
-    at = docs.columns.index(text)
+    """`docs` with the COUNTS as _<name>, _base_failed, _quality (probability) and _kept; earlier columns of these names are replaced."""
     added = [*(T.StructField(f"_{c}", T.LongType()) for c in COUNTS), T.StructField("_base_failed", T.BooleanType()), T.StructField("_quality", T.DoubleType()), T.StructField("_kept", T.BooleanType())]
+    docs = docs.drop(*(f.name for f in added))
+    at = docs.columns.index(text)
 
     def batches(it):
         for batch in it:

@@ -70,7 +70,8 @@ def majority(h: np.ndarray) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "_fp", shingle: int = 3) -> DataFrame:
-    """`docs` and a long column `name` with the fingerprint of `text`; other columns pass untouched."""
+    """`docs` and a long column `name` with the fingerprint of `text`; an earlier column of that name is replaced."""
+    docs = docs.drop(name)
     at = docs.columns.index(text)
 
     def batches(it):

@@ -10,7 +10,7 @@ given to the library, each distinct string once a batch.
 
 Defined cases: null and empty texts have 0 tokens; texts of blanks only, very long words and special
 strings such as "<s>" inside a text are counted as the library counts them; repeated rows and extra
-columns pass.
+columns pass, but for columns with the result's own names, which are replaced.
 """
 
 from __future__ import annotations
@@ -76,9 +76,10 @@ class WordCounter:
 
 
 def with_counts(docs: DataFrame, text: str = "text", model: str = MODEL, over: int = OVER) -> DataFrame:
-    """`docs` with _n_bytes, _n_tokens and _over_limit of the whole `text`."""
-    at = docs.columns.index(text)
+    """`docs` with _n_bytes, _n_tokens and _over_limit of the whole `text`; earlier columns of these names are replaced."""
     added = [T.StructField("_n_bytes", T.LongType()), T.StructField("_n_tokens", T.LongType()), T.StructField("_over_limit", T.BooleanType())]
+    docs = docs.drop(*(f.name for f in added))
+    at = docs.columns.index(text)
 
     def batches(it):
         counter = WordCounter(public_tokenizers.path(model))

@@ -13,7 +13,8 @@ and cut at the fold's bounds.
 
 No key is hot: rows are counted and numbered within (cell, salt), where the salt, from a hash of the
 row's columns, spreads a repeated doc_id over `SALTS` parts; the counts are at most CELLS * SALTS rows.  Rows are
-numbered by doc_id and that hash, so where a row goes depends on the table's rows alone, not on how they are dealt.
+numbered in the order of that hash, so where a row goes depends on the table's rows alone, not on how they are
+dealt; rows equal in all columns are counted first and numbered in `PARTS` parts, which of them is which being all one.
 
 Defined cases: a null text has 0 bytes and a null checksum is that of the empty text; null and
 repeated doc_ids are placed like others; rows equal in all columns may part; an empty table gives an empty result;
@@ -32,6 +33,7 @@ SHARDS = 40
 NODES = 64
 CELLS = 1 << 14
 SALTS = 16
+PARTS = 16
 OVERHEAD = 16
 
 
@@ -111,11 +113,13 @@ def plan(counts: DataFrame, arcs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def assign(keys: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """`keys` (a materialized table) with _shard and _slot, gapless from 0 in every shard.
 
-    `keys` needs a column _hash of the row.
+    `keys` needs a column _hash of the row and a column _part in 0 to PARTS - 1 that is stored with it.
     """
     arcs = materialize(ring(keys.sparkSession, shards))
     placed = keys.withColumns({"_cell": _cell(F.xxhash64(F.col(doc_id))), "_salt": F.pmod("_hash", F.lit(SALTS)).cast("int")})
-    counts = placed.groupBy(F.col("_cell").alias("cell"), F.col("_salt").alias("salt")).agg(F.count("*").alias("n"))
+    alike = ["_cell", "_salt", "_hash", "_part"]
+    groups = placed.groupBy(*alike).agg(F.count("*").alias("_n"))
+    counts = groups.groupBy(F.col("_cell").alias("cell"), F.col("_salt").alias("salt")).agg(F.sum("_n").alias("n"))
     order = Window.partitionBy("arc").orderBy("cell", "salt").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialize(
         counts.join(F.broadcast(cells(arcs)), "cell").select(
@@ -123,20 +127,23 @@ def assign(keys: DataFrame, doc_id: str = "doc_id", shards: int = SHARDS) -> Dat
         )
     )
     pieces = materialize(plan(parts.groupBy("arc").agg(F.sum("n").alias("n")), arcs, shards))
-    within = Window.partitionBy("_cell", "_salt").orderBy(F.col(doc_id).asc_nulls_first(), "_hash")
-    ranked = placed.withColumn("_rank", F.row_number().over(within) - 1)
+    before = Window.partitionBy("_cell", "_salt").orderBy("_hash", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    based = groups.select(*alike, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    nth = placed.withColumn("_nth", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))) - 1)
+    ranked = nth.join(based, alike).withColumn("_rank", F.col("_base") + F.col("_nth"))
     # both tables are bounded by the ring's parameters, not by the rows
     parts = parts.select(F.col("arc").alias("_arc"), "_c", "_s", "_before")
     pieces = pieces.select(F.col("arc").alias("_of"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.col("shard").alias("_shard"), F.col("slot").alias("_first"))
     at = ranked.join(F.broadcast(parts), (F.col("_cell") == F.col("_c")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     hit = (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high"))
     placed_rows = at.join(F.broadcast(pieces), hit).withColumn("_slot", F.col("_first") + F.col("_rank") - F.col("_low"))
-    return placed_rows.select(*(c for c in keys.columns if c != "_hash"), "_shard", "_slot")
+    return placed_rows.select(*(c for c in keys.columns if c not in ("_hash", "_part")), "_shard", "_slot")
 
 
 def _keys(docs: DataFrame, *more: Column) -> DataFrame:
     hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return materialize(docs.select(*more, F.xxhash64(*hashed).alias("_hash")))
+    part = F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int").alias("_part")
+    return materialize(docs.select(*more, F.xxhash64(*hashed).alias("_hash"), part))
 
 
 @shielded

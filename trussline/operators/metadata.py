@@ -57,3 +57,10 @@ def resolve_properties(properties: DataFrame) -> DataFrame:
 def of_nodes(meta: DataFrame) -> DataFrame:
     """(shared_id, meta_id): the metadata that name a node as a parent, one row each."""
     return meta.select(F.explode("parents").alias("shared_id"), F.col("_id").alias("meta_id"))
+
+
+def tagged_branches(meta: DataFrame, key: str, order: str = "_id") -> DataFrame:
+    """(shared_id, branch): the value of `key` in the metadata (array of key, value) of each parent; of several the last by `order`."""
+    own = F.filter("metadata", lambda m: m["key"] == key)
+    found = meta.where(F.exists("metadata", lambda m: m["key"] == key)).select(F.explode("parents").alias("shared_id"), F.element_at(own, -1)["value"].alias("branch"), order)
+    return found.groupBy("shared_id").agg(F.max_by("branch", order).alias("branch"))

@@ -80,22 +80,25 @@ def clearance_min_segment(spark, sf):
     return clash.shortest(pairs).select("a", "b", F.round("distance", 9).alias("distance"))
 
 
-@query(f"WITH {BOXES_SQL} SELECT a.id AS a_id, b.id AS b_id, " + ", ".join(f"round(CASE WHEN a.hi{k} < b.lo{k} THEN a.hi{k} WHEN b.hi{k} < a.lo{k} THEN a.lo{k} ELSE (greatest(a.lo{k}, b.lo{k}) + least(a.hi{k}, b.hi{k})) / 2 END, 9) AS pa{k}" for k in range(3)) + " FROM boxes a JOIN boxes b ON b.id = a.id + 1")
+_NEAREST = ", ".join(f"round(CASE WHEN {x}.hi{k} < {y}.lo{k} THEN {x}.hi{k} WHEN {y}.hi{k} < {x}.lo{k} THEN {x}.lo{k} ELSE (greatest(a.lo{k}, b.lo{k}) + least(a.hi{k}, b.hi{k})) / 2 END, 9) AS p{x}{k}" for x, y in ("ab", "ba") for k in range(3))
+
+
+@query(f"WITH {BOXES_SQL} SELECT a.id AS a_id, b.id AS b_id, {_NEAREST} FROM boxes a JOIN boxes b ON b.id = a.id + 1")
 def box_closest_points(spark, sf):
     b = boxes(spark, sf).drop("composite")
     a = b.select(*(F.col(c).alias(f"a_{c}") for c in b.columns))
     pairs = a.join(b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns)), F.col("b_id") == F.col("a_id") + 1)
-    return pairs.select("a_id", "b_id", *spatial.closest_points()).select("a_id", "b_id", *(F.round(f"pa{k}", 9).alias(f"pa{k}") for k in range(3)))
+    return pairs.select("a_id", "b_id", *spatial.closest_points()).select("a_id", "b_id", *(F.round(f"p{x}{k}", 9).alias(f"p{x}{k}") for x in "ab" for k in range(3)))
 
 
 _DEPTH = ", ".join(f"least(a.hi{k} - b.lo{k}, b.hi{k} - a.lo{k})" for k in range(3))
 
 
-@query(f"WITH {BOXES_SQL} SELECT a.id AS a_id, b.id AS b_id, round(least({_DEPTH}), 9) AS depth FROM boxes a JOIN boxes b ON a.id < b.id AND {_OVERLAP}")
+@query(f"WITH {BOXES_SQL} SELECT a.id AS a_id, b.id AS b_id, round(least({_DEPTH}), 9) AS depth, CAST(list_position([{_DEPTH}], least({_DEPTH})) - 1 AS INTEGER) AS axis FROM boxes a JOIN boxes b ON a.id < b.id AND {_OVERLAP}")
 def min_separating_axis(spark, sf):
     b = boxes(spark, sf).drop("composite")
     pairs = spatial.overlap_join(b, b, CELL).where("a_id < b_id").select("a_id", "b_id", *spatial.separating_axis())
-    return pairs.select("a_id", "b_id", F.round("depth", 9).alias("depth"))
+    return pairs.select("a_id", "b_id", F.round("depth", 9).alias("depth"), "axis")
 
 
 @query("SELECT o_orderkey AS id, o_totalprice * 100 AS worst FROM orders WHERE o_totalprice * 100 > 8e6")

@@ -81,7 +81,7 @@ def vertex_direction_order(spark, sf):
     return frames.direction_order(v, ["label"]).select("id", "label", "place")
 
 
-@query("SELECT o_orderkey AS id, 2.0 * (o_custkey % 3) AS tx, 2.0 * (o_orderkey % 4) AS ty, 0.0 AS tz FROM orders")
+@query("SELECT o_orderkey AS id, CAST(2 * (o_custkey % 3) AS DOUBLE) AS tx, CAST(2 * (o_orderkey % 4) AS DOUBLE) AS ty, CAST(0 AS DOUBLE) AS tz FROM orders")
 def world_matrices(spark, sf):
     """A shift by (x, 0, y) of the z-up world, scaled by two: the turns around it show in the offset's part."""
     o = table(spark, sf, "orders")

@@ -117,3 +117,12 @@ def cluster_geometry(spark, sf):
     geometry = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("mesh"), F.lit("r1").alias("rev_id"), F.col("l_linenumber").alias("part"))
     older = geometry.withColumn("rev_id", F.lit("r0"))
     return packing.with_geometry(clusters, geometry.union(older)).select("cluster", "mesh", "part")
+
+
+@query("SELECT 'N' || c_nationkey AS shared_id, arg_max(c_mktsegment, c_custkey) AS branch FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def floor_tags(spark, sf):
+    """Branches that metadata with a floor tag give their parents; customers in debt have another tag."""
+    entry = lambda k, v: F.struct(k.alias("key"), v.alias("value"))
+    tags = F.array(entry(F.lit("Colour"), F.col("c_name")), entry(F.when(F.col("c_acctbal") > 0, "Floor").otherwise("Area"), F.col("c_mktsegment")))
+    meta = table(spark, sf, "customer").select(F.col("c_custkey").alias("_id"), F.array(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))).alias("parents"), tags.alias("metadata"))
+    return metadata.tagged_branches(meta, "Floor")

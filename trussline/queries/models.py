@@ -66,7 +66,7 @@ def ifc_properties(spark, sf):
     return ifc.properties(ifc.entities(statements(spark, sf)))
 
 
-@query("""SELECT p_brand AS model, 8 AS parent, (p_partkey + 100) * 10 + 1 AS child, 'IFCRELCONTAINEDINSPATIALSTRUCTURE' AS relation FROM part
+@query("""SELECT p_brand AS model, CAST(8 AS BIGINT) AS parent, (p_partkey + 100) * 10 + 1 AS child, 'IFCRELCONTAINEDINSPATIALSTRUCTURE' AS relation FROM part
 UNION ALL SELECT DISTINCT p_brand, 9, 8, 'IFCRELAGGREGATES' FROM part""")
 def ifc_tree(spark, sf):
     return ifc.tree(ifc.entities(statements(spark, sf)))

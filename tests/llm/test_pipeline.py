@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from test_operators import brute_fingerprint, union_find, words_alnum
+from test_operators import similar_texts, union_find, words_alnum
 
 from trussline.llm import quality, sharding
 from trussline.llm.common import materialize, table
@@ -23,10 +23,10 @@ def test_stages(spark, sf):
     assert not any(quality.base_failed(c[0], c[4]) for c in (quality.statistics(r.text.encode())[0] for r in good))
 
     raw, one = seen["SimHash near-dedup"]
-    fps = {r.doc_id: brute_fingerprint(r.text) for r in raw}
-    ids = sorted(fps)
-    root = union_find(ids, [(a, b) for n, a in enumerate(ids) for b in ids[:n] if bin(fps[a] ^ fps[b]).count("1") <= 2])
-    assert sorted(r.doc_id for r in one) == sorted(set(root.values()))
+    texts = {r.doc_id: r.text for r in raw}
+    ids = sorted(texts)
+    root = union_find(range(len(ids)), similar_texts([texts[i] for i in ids]))
+    assert sorted(r.doc_id for r in one) == sorted(ids[k] for k in set(root.values()))
 
     raw, clean = seen["benchmark decontamination"]
     windows = set()

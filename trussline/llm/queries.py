@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, licenses, lines, mixing, ppm, quality, sharding, simhash, tokens
+from . import audit, chat, decontaminate, licenses, lines, mixing, periodic, ppm, quality, sharding, simhash, tokens
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,9 @@ QUERIES = {
         decontaminate.op8_decontaminate,
         simhash.op9_simhash,
         mixing.op10_mixing,
+        audit.op12_filter_audit,
+        periodic.op13_periodic_runs,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.OP3_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_perspectives": chat.OP3_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op12_filter_audit": audit.OP12_SQL, "op13_periodic_runs": periodic.OP13_SQL}

@@ -1,50 +1,123 @@
-"""Candidate pairs of similar items: neighbours, in the order of their SimHash, under shared blocks.
+"""Classes of similar items: those that share a block meet, and links are verified.
 
-An item (a line, a document) is filed under a few block keys.  Under a block the items stand in the order of their
-SimHash; each meets the `NEAR` before it and the block's first, so candidates grow with the number of
-filings, however many items share a block, and a group of near copies is connected through neighbours,
-not through all its pairs.
+An item (a line, a document's set of shingles) is filed under a few block keys.  All pairs of a block would be
+a square, and most of them lie within one class, where they tell nothing new.  So:
 
-A block that a sample shows to be large is parted by bits of the SimHash and of the item's hash, and the
-parts' firsts meet again, so no block is one task's work; the sample decides about the parting alone.
+1. In each block every item meets the block's head.  Verified links give classes: a group of near copies is
+   a star around its head.  Filings are dealt by block once.  A block that a sample shows to be large is dealt in `PARTS` parts,
+   whose heads meet again, so no block is one task's work.
+2. What is left are pairs of different classes in one block.  A block that holds, besides its largest class, at most
+   `FEW` items has these meet all others of the block.
+3. In blocks with more of them (a template that many unlike items share) items meet exactly: by prefix filtering, under
+   their rarest tokens, so many that any two which are similar enough share one of them.  A token's items again meet only
+   across classes, and those outside its largest class meet all.
+
+So no pair of a block that could join two classes is left out, whatever the block's size, and the classes do not depend on what
+else the table holds: parts and `FEW` choose between ways of finding the same classes.  Rows that meet grow with the
+filings, but for tokens that are the rarest of many unlike items.  Tables that meet are stored first, so that
+Spark splits a block that holds many rows over several tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-
-#: Items before it in a block that an item meets.
-NEAR = 3
-#: Blocks are counted on one item of `EVERY`; those with more than 1 / SPLIT of the counted filings, SPLIT at most, are
-#: parted by `PART_BITS` leading bits of the SimHash and as many of the item's hash.
-EVERY, SPLIT, PART_BITS = 16, 2_000, 5
-
-
-def _meetings(filed: DataFrame, by: list[str], radius: int, ratio: float) -> DataFrame:
-    block = Window.partitionBy(*by).orderBy("_fp", "_id")
-    row = F.struct("_id", "_len", "_fp")
-    before = [F.lag(row, k).over(block) for k in range(1, NEAR + 1)]
-    first = F.first(row).over(block.rowsBetween(Window.unboundedPreceding, 0))
-    seen = filed.select("_id", "_len", "_fp", F.array(*before, first).alias("_seen")).where(F.col("_seen")[0].isNotNull())
-    met = seen.select("_id", "_len", "_fp", F.explode(F.array_distinct("_seen")).alias("o")).where("o is not null and _id <> o._id")
-    close = F.bit_count(F.col("_fp").bitwiseXOR(F.col("o._fp"))) <= radius
-    alike = F.least("_len", "o._len") >= ratio * F.greatest("_len", "o._len")
-    return met.where(close & alike).select(F.least("_id", "o._id").alias("x"), F.greatest("_id", "o._id").alias("y"))
-
-
-def candidates(made: DataFrame, radius: int, ratio: float) -> DataFrame:
-    """Candidate pairs (x, y), x < y, of the items of `made` (stored tables) with _id and _fp (long), _len, and _keys,
-    that differ in at most `radius` bits of _fp and whose _len are as `ratio` or closer."""
-    filed = made.select("_id", "_len", "_fp", F.explode("_keys").alias("_key"))
-    counted = made.where(F.pmod("_id", F.lit(EVERY)) == 0).select(F.explode("_keys").alias("_key"))
-    least = counted.count() // SPLIT + 64
-    hot = materialize(counted.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > least).select(F.col("_key").alias("_hot")))
-    if hot.isEmpty():
-        return _meetings(filed, ["_key"], radius, ratio).distinct()
-    at = F.shiftleft(F.shiftrightunsigned("_fp", 64 - PART_BITS), PART_BITS) + F.pmod("_id", F.lit(1 << PART_BITS))
-    parts = filed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), at))
-    firsts = parts.where("_hot is not null").groupBy("_key", "_part").agg(F.min(F.struct("_fp", "_id", "_len")).alias("f")).select("_key", "f.*")
-    return _meetings(parts, ["_key", "_part"], radius, ratio).union(_meetings(firsts, ["_key"], radius, ratio)).distinct()
+from .common import components, materialize, small
+
+#: Items outside a block's largest class that meet all its items; beyond, its items meet under their rarest tokens.
+FEW = 64
+#: Blocks are counted on one item of `EVERY`; those with more than 1 / MOST of the counted filings, MOST at most, are dealt in `PARTS`.
+EVERY, MOST, PARTS = 16, 2_000, 64
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+
+def _largest(rows: DataFrame, by: str) -> DataFrame:
+    """The keys that several classes share: largest class, and the number of rows outside it."""
+    each = rows.groupBy(by, "_class").agg(F.count("*").alias("n"))
+    whole = each.groupBy(by).agg(F.max(F.struct("n", "_class")).alias("m"), F.sum("n").alias("n"))
+    return materialize(whole.where("n > m.n").select(F.col(by).alias("_of"), F.col("m._class").alias("_main"), (F.col("n") - F.col("m.n")).alias("_others")))
+
+
+def _apart(a: str, b: str, alike: Callable[[str, str], Column]) -> Column:
+    return (F.col(f"{a}._class") != F.col(f"{b}._class")) & alike(a, b)
+
+
+def _met(items: DataFrame) -> DataFrame:
+    """Filings in blocks of more than one item: the item a, the head b of its block (or of its part), _key, and _filed, which
+    is false for the further rows in which heads of parts meet."""
+    own = [c for c in items.columns if c != "_keys"]
+    filed = items.select(F.struct(*own).alias("a"), F.explode("_keys").alias("_key"))
+    counted = items.where(F.pmod("_id", F.lit(EVERY)) == 0).select(F.explode("_keys").alias("_key"))
+    least = counted.count() // MOST + 64
+    hot = materialize(counted.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > least).select(F.col("_key").alias("_hot")))  # MOST rows at most
+    parts = filed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod("a._id", F.lit(PARTS))))
+    block = Window.partitionBy("_key", "_part")
+    head = F.min(F.struct(F.xxhash64("a._id").alias("_h"), "a")).over(block)
+    headed = parts.select("a", "_key", "_part", head.getField("a").alias("b"), F.count("*").over(block).alias("n")).where("n > 1 or _part is not null")
+    met = materialize(headed.select("a", "b", "_key", "_part", F.lit(True).alias("_filed")))
+    heads = met.where("_part is not null").groupBy("_key", "_part").agg(F.first("b").alias("a"))
+    firsts = materialize(heads.groupBy("_key").agg(F.min(F.struct(F.xxhash64("a._id").alias("_h"), F.col("a").alias("b"))).getField("b").alias("b")))  # a row a hot block
+    again = heads.join(F.broadcast(firsts), "_key").select("a", "b", "_key", "_part", F.lit(False).alias("_filed"))
+    return met.union(again)
+
+
+def _few(rows: DataFrame, alike) -> DataFrame:
+    a, b = rows.where("_class <> _main").alias("a"), rows.alias("b")
+    once = (F.col("b._class") == F.col("b._main")) | (F.col("a._id") < F.col("b._id"))
+    return a.join(b, (F.col("a._key") == F.col("b._key")) & _apart("a", "b", alike) & once).select(*_pair("a._id", "b._id"))
+
+
+def _many(rows: DataFrame, alike, prefixes) -> DataFrame:
+    """Pairs that share one of their rarest tokens."""
+    items = materialize(rows.drop("_key", "_of", "_main", "_others").distinct())
+    held = materialize(prefixes(items.select("_id")).select("_id", "_index", "_probe", F.explode("_set").alias("_token")))
+    common = materialize(held.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_token").alias("_t"), "_n"))
+    rarest = Window.partitionBy("_id").orderBy(F.coalesce("_n", F.lit(1)), "_token")  # an item's own tokens
+    ranked = held.join(common, F.col("_token") == F.col("_t"), "left").withColumn("_at", F.row_number().over(rarest))
+    filed = ranked.where("_at <= greatest(_index, _probe) and _n is not null").select(F.col("_id").alias("_item"), "_token", (F.col("_at") <= F.col("_index")).alias("_indexed"), (F.col("_at") <= F.col("_probe")).alias("_probes"))
+    met = materialize(filed.join(items, F.col("_item") == F.col("_id")).drop("_item"))
+    main = _largest(met, "_token")
+    open_rows = materialize(met.join(main, F.col("_token") == F.col("_of")))
+    a, b = open_rows.where("_indexed").alias("a"), open_rows.where("_probes").alias("b")
+    same = (F.col("a._token") == F.col("b._token")) & (F.col("a._len") <= F.col("b._len")) & (F.col("a._id") != F.col("b._id")) & _apart("a", "b", alike)
+    outside = a.where("_class <> _main").join(b, same)
+    inside = a.where("_class = _main").join(b.where("_class <> _main"), same)
+    return outside.select(*_pair("a._id", "b._id")).union(inside.select(*_pair("a._id", "b._id")))
+
+
+def classes(
+    items: DataFrame,
+    alike: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    prefixes: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """(node, root) of the classes of `items`, a stored table with a row each: _id (long), _len, _keys, and what `alike` reads.
+
+    `alike(a, b)` tells of two items under these aliases whether they may link.  `verify` gives the links of a table of pairs
+    (x, y).  `prefixes` gives, for a table of _id, the items' _set of distinct tokens and how many of the rarest of
+    them are looked up in longer items (_index) and in items not longer (_probe).
+    """
+    met = _met(items)
+    star = met.where((F.col("a._id") != F.col("b._id")) & alike("a", "b")).select(*_pair("a._id", "b._id"))
+    links = materialize(verify(materialize(star.distinct())))
+    roots = materialize(components(links, "x", "y"))
+    filed = met.where("_filed").select("a.*", "_key")
+    told = materialize(filed.join(small(roots), F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_id")).drop("node", "root"))
+    open_rows = materialize(told.join(small(_largest(told, "_key")), F.col("_key") == F.col("_of")))
+    pairs = _few(open_rows.where(F.col("_others") <= FEW), alike)
+    many = open_rows.where(F.col("_others") > FEW)
+    if not many.isEmpty():
+        pairs = pairs.union(_many(many, alike, prefixes))
+    stored = materialize(pairs.distinct())
+    if stored.isEmpty():
+        return roots
+    more = materialize(verify(stored))
+    if more.isEmpty():
+        return roots
+    return components(links.union(more), "x", "y")

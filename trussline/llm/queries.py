@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import audit, chat, decontaminate, licenses, lines, mixing, periodic, ppm, quality, sharding, simhash, tokens
+from . import audit, chat, decontaminate, licenses, lines, minmax, mixing, periodic, ppm, quality, sharding, simhash, tokens
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         decontaminate.op8_decontaminate,
         simhash.op9_simhash,
         mixing.op10_mixing,
+        minmax.op11_minmax,
         audit.op12_filter_audit,
         periodic.op13_periodic_runs,
     )

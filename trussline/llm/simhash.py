@@ -33,7 +33,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import candidates
+from . import minmax
+from .blocks import classes
 from .common import LOWER, components, materialize, shielded, small, table
 
 SEED = 42
@@ -43,9 +44,9 @@ BLOCK_BITS = 16
 #: A block pair shared by more fingerprints than this is linked through one-bit variants.
 HOT = 64
 RADIUS = 2
-#: Of near duplicates that `keep_one` drops: words of a shingle, Jaccard similarity, the most bits that their SimHashes
-#: differ in (2 in 1,000 random pairs are as close), and least shingles that candidates meet under.
-SHINGLE, SIMILAR, WIDE, KEYS = 5, 0.8, 20, 6
+#: Of near duplicates that `keep_one` drops: words of a shingle, percent of the union that their sets share, and the most
+#: bits that their SimHashes differ in (4 in 1,000 random pairs are as close).
+SHINGLE, PERCENT, WIDE = 5, 80, 21
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -143,61 +144,54 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(classes.join(named, "root").select("fp", "component_id"), "fp")
 
 
-def shingles(text: bytes | None, size: int = SHINGLE) -> tuple[int, np.ndarray]:
-    """(hash of the text's words, sorted distinct hashes of its word shingles); fewer words: the whole sequence."""
-    words = text.translate(LOWER).split() if text else []
-    pieces = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) > size else [b" ".join(words)] * bool(words)
-    whole = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    return whole, np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64))
-
-
 def sketches(docs: DataFrame, text: str) -> DataFrame:
-    """`docs` without `text` but with _id, a hash of its words, and of its set of shingles: their number
-    _len, their SimHash _fp, and the `KEYS` least as _keys."""
+    """`docs` without `text` but with _id, a hash of its set of shingles, the set's size _len and SimHash _fp, and block keys _keys
+    (bands of least and greatest images, as in `minmax`).  Texts without words have _id 0 and no keys."""
     at, kept = docs.columns.index(text), [f for f in docs.schema.fields if f.name != text]
     added = [T.StructField("_id", T.LongType()), T.StructField("_len", T.LongType()), T.StructField("_fp", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType()))]
 
     def batches(it):
         for batch in it:
-            found = [shingles(t) for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            wholes = np.array([w for w, _ in found], np.uint64).view(np.int64)
-            fps = np.array([majority(h) for _, h in found], np.uint64).view(np.int64)
-            keys = pa.array([h[:KEYS].view(np.int64) for _, h in found], pa.list_(pa.int64()))
+            found = [minmax.shingles(t, SHINGLE) for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in found], np.uint64).view(np.int64)
+            fps = np.array([majority(h) for h in found], np.uint64).view(np.int64)
+            keys = pa.array([minmax.bands(minmax.signature(h)).view(np.int64) if len(h) else [] for h in found], pa.list_(pa.int64()))
             own = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(wholes), pa.array([len(h) for _, h in found], pa.int64()), pa.array(fps), keys], names=[f.name for f in (*kept, *added)])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(ids), pa.array([len(h) for h in found], pa.int64()), pa.array(fps), keys], names=[f.name for f in (*kept, *added)])
 
     return docs.mapInArrow(batches, T.StructType([*kept, *added]))
 
 
-def similar_links(rows: DataFrame, made: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Links (x, y) of texts whose sets of shingles have a Jaccard similarity of `SIMILAR` or more.  `rows` has
-    _doc, _null, _row, _text, `made` their sketches, and `firsts` (_id, least) a row of each distinct text."""
-    distinct = materialize(made.groupBy("_id").agg(*(F.first(c).alias(c) for c in ("_len", "_fp", "_keys"))))
-    pairs = materialize(candidates(distinct, WIDE, SIMILAR))
-    wanted = materialize(pairs.select(F.explode(F.array("x", "y")).alias("_id")).distinct().join(firsts, "_id").select(F.col("least._doc").alias("_d"), F.col("least._row").alias("_r")))
-    read = rows.join(small(wanted), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("_text")
+def similar_classes(rows: DataFrame, made: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Classes (node, root) of texts whose sets of shingles share `PERCENT` of their union, also through others.  `rows` has
+    _doc, _null, _row, _text, `made` their sketches, and `firsts` (_id, least) a row of each distinct set."""
+    items = materialize(made.groupBy("_id").agg(*(F.first(c).alias(c) for c in ("_len", "_fp", "_keys"))))
 
-    def batches(it):
-        for batch in it:
-            found = [shingles(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([w for w, _ in found], np.uint64).view(np.int64)), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["_id", "_set"])
+    def alike(a: str, b: str) -> Column:
+        near = F.bit_count(F.col(f"{a}._fp").bitwiseXOR(F.col(f"{b}._fp"))) <= WIDE
+        return near & (100 * F.least(f"{a}._len", f"{b}._len") >= PERCENT * F.greatest(f"{a}._len", f"{b}._len"))
+
+    def load(ids: DataFrame) -> DataFrame:
+        wanted = materialize(firsts.join(ids.select(F.col("_id").alias("_want")).distinct(), F.col("_id") == F.col("_want")).select(F.col("least._doc").alias("_d"), F.col("least._row").alias("_r")))
+        texts = rows.join(small(wanted), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select("_text")
+        return materialize(minmax.sets(texts, SHINGLE))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return minmax.jaccard_links(pairs, load(pairs.select(F.explode(F.array("x", "y")).alias("_id"))), PERCENT)
 
-    sets = materialize(read.mapInArrow(batches, "_id long, _set array<long>").dropDuplicates(["_id"]))
-    both = pairs.join(sets.select(F.col("_id").alias("x"), F.col("_set").alias("a")), "x").join(sets.select(F.col("_id").alias("y"), F.col("_set").alias("b")), "y")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= SIMILAR * (F.size("a") + F.size("b") - shared)).select("x", "y")
+    return classes(items, alike, verify, lambda ids: minmax.jaccard_prefixes(load(ids).join(ids, "_id", "left_semi"), PERCENT))
 
 
 @shielded
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with one row of each group of near duplicates: the smallest doc_id (nulls last), ties settled by the row's hash.
 
-    Texts with the same words are duplicates; so are, also through others, texts whose sets of shingles of `SHINGLE` words
-    have a Jaccard similarity of `SIMILAR` or more.  Texts without words are duplicates of each other.
+    Texts whose sets of shingles of `SHINGLE` words share `PERCENT` of their union are duplicates, also through
+    others.  Texts without words are duplicates of each other.
 
-    Such texts differ in about ten and in up to twenty bits of a SimHash of 64, where neither pivots nor pairs of
-    bit blocks tell candidates from random pairs.  So candidates come from shared least shingles, SimHash
-    gives their neighbours and discards pairs beyond `WIDE` bits, and the shingle sets verify.
+    Such texts differ in about ten bits of a SimHash of 64, where neither pivots nor pairs of bit blocks tell
+    candidates from random pairs.  So texts meet under bands of least and greatest hashes (`minmax`), across
+    classes only (`blocks`); SimHash discards pairs beyond `WIDE` bits, and the sets verify.
     Rows equal in every column that can be hashed are one row's copies, of which one stays.
     """
     hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
@@ -205,7 +199,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     rows = tagged.select(F.col(doc_id).alias("_doc"), "_null", "_row", F.col(text).alias("_text"))
     made = materialize(sketches(rows, "_text"))
     firsts = materialize(made.groupBy("_id").agg(F.min(F.struct("_null", "_doc", "_row")).alias("least")))
-    roots = components(similar_links(rows, made, firsts), "x", "y")
+    roots = similar_classes(rows, made, firsts)
     heads = firsts.join(roots, firsts["_id"] == roots["node"], "left").groupBy(F.coalesce("root", "_id").alias("root")).agg(F.min("least").alias("k"))
     heads = heads.select(F.col("k._doc").alias("_k"), F.col("k._row").alias("_krow"))
     copies = made.groupBy(F.col("_doc").alias("_d"), F.col("_row").alias("_r")).agg(F.count("*").alias("_n"))

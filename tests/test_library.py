@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.functions import documents, linear
-from trussline.operators import clash, geometry, graph, packing, penetration, scenes, spatial, tree
+from trussline.operators import clash, geometry, graph, packing, partition, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
 from trussline.sources import ifc, readers, store
 from trussline.streaming import jobs
@@ -208,11 +208,68 @@ def test_filled(spark):
     assert sorted(((r.g or "", r.id), r.bin) for r in got) == [(("", 0), 0), (("", 1), 1), (("a", 0), 0), (("a", 1), 0), (("a", 2), 1), (("a", 3), 2), (("a", 4), 3), (("b", 0), 0), (("b", 1), 0)]
 
 
+def test_bins_close_at_the_limit(spark):
+    rows = [(1, i, v, float(i)) for i, v in enumerate([4, 6, 0, 9, 2, 5])] + [(None, 9, 3, 1.0)]
+    m = spark.createDataFrame(rows, "g int, id long, vertices long, efficiency double")
+    got = {(r.g, r.id): r.bin for r in packing.first_bins(m, ["g"], 10).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 1, (1, 3): 1, (1, 4): None, (1, 5): None, (None, 9): 0}
+    wide = {r.id: r.bin for r in packing.first_bins(m.where("g = 1"), ["g"], 10, 0.9).collect()}  # until 23 of 26 vertices
+    assert wide == {0: 0, 1: 0, 2: 1, 3: 1, 4: 1, 5: 2}
+
+
+def test_running_totals_in_parts(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if k % 50 == 0 else int(rng.integers(0, 3)), i, int(rng.integers(0, 9))) for i, k in enumerate(range(3000))]
+    df = spark.createDataFrame(rows, "g int, id long, n long").repartition(7)
+    ask = lambda whole: sorted(((r.g is None, r.g, r.id), r.total, r.rows) for r in partition.running(df, ["g"], ["id"], {"total": "n", "rows": F.lit(1)}, whole).collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert ask(1_000_000) == ask(0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert partition.running(df.limit(0), ["g"], ["id"], {"total": "n"}).count() == 0
+
+
 def test_clusters_hold_the_limit(spark):
-    rows = [(0, *r[1:], r[0], 10 + r[0] % 7) for r in random_boxes(200, 3)]
-    m = spark.createDataFrame(rows, "g int, " + ", ".join(f"{c} double" for c in spatial.CORNERS) + ", id long, vertices long")
-    got = packing.spatial_clusters(m, ["g"], 60).toPandas().groupby("cluster")["vertices"].sum()
-    assert (got < 60).all() and got.sum() == sum(r[-1] for r in rows)
+    boxes_ = [(0, *r[1:], r[0], 10 + r[0] % 7) for r in random_boxes(200, 3)]
+    spot = [(1, *boxes_[0][1:7], 1000 + k, 20) for k in range(40)] + [(2, *boxes_[1][1:7], 5000, 90), (None, *boxes_[2][1:7], 5001, 1)]  # one spot, a large mesh, a null group
+    m = spark.createDataFrame(boxes_ + spot, "g int, " + ", ".join(f"{c} double" for c in spatial.CORNERS) + ", id long, vertices long")
+    got = packing.spatial_clusters(m, ["g"], 60).toPandas()
+    assert sorted(got["id"]) == sorted(r[7] for r in boxes_ + spot)
+    got["node"] = got["node"].map(tuple)
+    sums = got.groupby(["g", "level", "node"], dropna=False)["vertices"].agg(["sum", "size"])
+    assert ((sums["sum"] < 60) | (sums["size"] == 1)).all()
+    part = got[got["g"] == 0]
+    assert 200 * 13 / 60 < part.groupby(["level", "node"]).ngroups < 200  # and parts are not single meshes
+
+
+def test_pack_leaves_what_is_to_be_split(spark):
+    m = spark.createDataFrame([("a", i, n) for i, n in enumerate([5, 4, 30, 1, 2])], "g string, id long, vertices long")
+    assert {r.id: r.batch for r in packing.pack(m, ["g"], 10).collect()} == {0: 0, 1: 0, 2: None, 3: 0, 4: 1}
+
+
+def test_split_meshes(spark):
+    """A grid of triangles, triangles in one spot, and a small mesh."""
+    n = 24
+    grid = []
+    for x in range(n):
+        for y in range(n):
+            v = x * (n + 1) + y
+            grid += [("grid", 2 * (x * n + y), [v, v + 1, v + n + 1], [x + 0.3, y + 0.3, 0.0]), ("grid", 2 * (x * n + y) + 1, [v + 1, v + n + 2, v + n + 1], [x + 0.7, y + 0.7, 0.0])]
+    spot = [("spot", k, [3 * k, 3 * k + 1, 3 * k + 2], [1.0, 1.0, 1.0]) for k in range(100)]
+    rows = grid + spot + [("small", 1, [7, 5, 7], [0.0, 0.0, 0.0])]
+    faces = spark.createDataFrame(rows, "mesh string, face long, vertices array<long>, centre array<double>")
+    got = packing.split_meshes(faces, 50).collect()
+    assert sorted((r.mesh, r.face, r.vertices) for r in got) == sorted(r[:3] for r in rows)
+    parts = {}
+    for r in got:
+        parts.setdefault((r.mesh, r.part), []).append(r)
+    for own in parts.values():
+        used = sorted({v for r in own for v in r.vertices})
+        assert len(used) <= 50 and all([used[k] for k in r.local] == r.vertices for r in own)
+    assert sorted(p for m, p in parts if m == "grid") == list(range(len([p for m, p in parts if m == "grid"])))
+    assert 625 / 50 <= len([p for m, p in parts if m == "grid"]) <= 60 and [p for m, p in parts if m == "small"] == [0]
+    assert packing.split_meshes(faces.limit(0)).count() == 0
 
 
 def scene(spark):

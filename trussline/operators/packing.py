@@ -6,12 +6,13 @@ is Python over sorted rows with sums for its only memory.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.scratch import materialize
+from .partition import SPACE, equal, coded, running, subtrees
+
 MAX_VERTICES = 1_200_000
 MAX_MESHES = 5_000
 LOW_CLUSTERING_RATIO = 0.0
@@ -29,30 +30,37 @@ def efficiency(vertices: Column, extents: list[Column]) -> Column:
 
 
 def first_bins(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES, ratio: float = LOW_CLUSTERING_RATIO) -> DataFrame:
-    """Adds before (vertices of more efficient meshes) and low: whether the mesh goes to the
-    efficiency bins (until they hold the limit) or to spatial clustering."""
-    order = Window.partitionBy(*keys).orderBy("efficiency", "id")
-    total = F.sum("vertices").over(Window.partitionBy(*keys))
-    before = F.coalesce(F.sum("vertices").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return meshes.withColumn("before", before).withColumn("low", F.col("before") < F.greatest(F.lit(limit).cast("double"), total * ratio))
+    """Adds before (vertices of the meshes ahead of it, by efficiency) and bin: efficiency bins take meshes until they hold the limit,
+    or `ratio` of the group if that is more, and close at `limit`; the other meshes (bin null) go to spatial clusters."""
+    order = ["efficiency", "id"]
+    ahead = running(meshes, keys, order, {"before": "vertices"})
+    if ratio:
+        totals = materialize(meshes.groupBy(*keys).agg(F.floor(F.sum("vertices") * ratio).alias("_share")))
+        ahead = ahead.join(totals, keys)
+    else:
+        ahead = ahead.withColumn("_share", F.lit(0))
+    low = F.col("before") <= F.greatest(F.lit(limit), F.col("_share"))
+    stored = materialize(ahead.select(*meshes.columns, "before", low.alias("_low")))
+    bins = filled(stored.where("_low").drop("_low"), keys, order, "bin", {"vertices": limit}, closing=True)
+    return bins.union(stored.where("not _low").drop("_low").withColumn("bin", F.lit(None).cast("long")))
 
 
 def capped(meshes: DataFrame, keys: list[str], order: list[str], most: int = MAX_MESHES) -> DataFrame:
     """Adds chunk: consecutive runs of at most `most` meshes of a cluster."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return meshes.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / most).cast("long"))
+    counted = running(meshes, keys, order, {"_before": F.lit(1)})
+    return counted.withColumn("chunk", F.floor(F.col("_before") / most).cast("long")).drop("_before")
 
 
 def mapping_offsets(meshes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds v_from, v_to, t_from, t_to: a mesh's vertex and face ranges in its batch."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    v, t = F.coalesce(F.sum("vertices").over(w), F.lit(0)), F.coalesce(F.sum("faces").over(w), F.lit(0))
-    return meshes.withColumns({"v_from": v, "v_to": v + F.col("vertices"), "t_from": t, "t_to": t + F.col("faces")})
+    ahead = running(meshes, keys, order, {"v_from": "vertices", "t_from": "faces"})
+    return ahead.select(*meshes.columns, "v_from", (F.col("v_from") + F.col("vertices")).alias("v_to"), "t_from", (F.col("t_from") + F.col("faces")).alias("t_to"))
 
 
-def filled(meshes: DataFrame, keys: list[str], order: list[str], name: str, caps: dict[str, int]) -> DataFrame:
+def filled(meshes: DataFrame, keys: list[str], order: list[str], name: str, caps: dict[str, int], closing: bool = False) -> DataFrame:
     """Adds `name`, the number of the bin that each row of a group falls in, in `order`: the next bin begins where one
-    of the columns in `caps` would pass its cap in sum; a row above a cap has a bin of its own.
+    of the columns in `caps` would pass its cap in sum; a row above a cap has a bin of its own.  If `closing`, a bin ends with
+    the row that brings it to a cap.
 
     A task reads its sorted rows once and remembers the running sums alone, so a group of any size fits, and many
     small groups share a batch.
@@ -67,7 +75,7 @@ def filled(meshes: DataFrame, keys: list[str], order: list[str], name: str, caps
             for key, sizes in zip(pdf[keys].itertuples(index=False, name=None), pdf[columns].itertuples(index=False, name=None), strict=True):
                 if key != now:
                     now, used, at = key, list(sizes), 0
-                elif any(used) and any(u + n > m for u, n, m in zip(used, sizes, most, strict=True)):
+                elif any(u >= m for u, m in zip(used, most, strict=True)) if closing else any(used) and any(u + n > m for u, n, m in zip(used, sizes, most, strict=True)):
                     used, at = list(sizes), at + 1
                 else:
                     used = [u + n for u, n in zip(used, sizes, strict=True)]
@@ -78,29 +86,55 @@ def filled(meshes: DataFrame, keys: list[str], order: list[str], name: str, caps
 
 
 def pack(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES) -> DataFrame:
-    """Adds batch: greedy packing of a chunk's meshes (`keys` should hold a chunk) in id order."""
-    return filled(meshes, keys, ["id"], "batch", {"vertices": limit})
+    """Adds batch: greedy packing of a cluster's meshes in id order.  Meshes above the limit are no part of it (batch null):
+    `split_meshes` cuts them; the batch that is open then goes on."""
+    fit = F.col("vertices") <= limit
+    packed = filled(meshes.where(fit), keys, ["id"], "batch", {"vertices": limit})
+    return packed.union(meshes.where(~F.coalesce(fit, F.lit(False))).withColumn("batch", F.lit(None).cast("long")))
 
 
 def spatial_clusters(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES) -> DataFrame:
-    """Adds cluster: median splits of a chunk's boxes until each part holds under `limit` vertices."""
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        mid = np.stack([(pdf[f"lo{k}"] + pdf[f"hi{k}"]).to_numpy() / 2 for k in range(3)], 1)
-        size, ids = pdf["vertices"].to_numpy(), pdf["id"].to_numpy()
-        cluster, todo, n = np.zeros(len(pdf), np.int64), [np.arange(len(pdf))], 0
-        while todo:
-            rows = todo.pop()
-            if len(rows) == 1 or size[rows].sum() < limit:
-                cluster[rows] = n
-                n += 1
-                continue
-            axis = int(np.ptp(mid[rows], axis=0).argmax())
-            rows = rows[np.lexsort((ids[rows], mid[rows, axis]))]
-            todo += [rows[len(rows) // 2 :], rows[: len(rows) // 2]]
-        return pdf.assign(cluster=cluster)
-
-    schema = T.StructType([*meshes.schema.fields, T.StructField("cluster", T.LongType())])
-    return meshes.groupBy(*keys).applyInPandas(split, schema)
+    """Adds level and node: the largest part of a hierarchy over all boxes of a group that holds less than `limit` vertices.
+
+    A group may have any size.  A mesh of `limit` vertices or more is a part by itself.
+    """
+    centre = [(F.col(f"lo{k}") + F.col(f"hi{k}")) / 2 for k in range(3)]
+    placed = materialize(coded(meshes, keys, centre, "id"))
+    found = subtrees(placed, keys, "vertices", limit - 1)
+    met = placed.alias("r").join(found.alias("o"), equal([*keys, "_code", "_tail"]))
+    return met.select(*(F.col(f"r.{c}") for c in meshes.columns), "o.level", "o.node")
+
+
+def clusters(meshes: DataFrame, keys: list[str], limit: int = MAX_VERTICES, most: int = MAX_MESHES, ratio: float = LOW_CLUSTERING_RATIO) -> DataFrame:
+    """Adds bin, level and node, and chunk: efficiency bins first, the rest clustered by space, then what has more than `most` meshes cut in order."""
+    binned = first_bins(meshes, keys, limit, ratio).drop("before")
+    low = binned.where("bin is not null").withColumns({"level": F.lit(None).cast("int"), "node": F.lit(None).cast("struct<head:bigint,tail:bigint>")})
+    both = low.unionByName(spatial_clusters(binned.where("bin is null"), keys, limit))
+    return capped(both, [*keys, "bin", "level", "node"], ["efficiency", "id"], most)
+
+
+def split_meshes(faces: DataFrame, limit: int = MAX_VERTICES) -> DataFrame:
+    """Cuts meshes into parts of at most `limit` vertices each.
+
+    `faces` has a row a face: mesh, face, vertices (array of the mesh's vertex numbers) and centre (array of three doubles).  Adds part,
+    numbered from 0 along the space-filling curve, and local: the face's vertices as numbers within the part, which count its different
+    vertices in order.  Parts are subtrees of a hierarchy over the faces, the largest with no more than `limit` different vertices;
+    a face is in one part only.  No mesh is gathered: only the numbering of one part's vertices, which `limit` bounds, is one task's work.
+    """
+    placed = materialize(coded(faces, ["mesh"], [F.get("centre", F.lit(k)) for k in range(3)], "face"))
+    corners = placed.select("mesh", "_code", "_tail", F.explode("vertices").alias("vertex"))
+    found = subtrees(corners, ["mesh"], "vertex", limit, distinct=True)
+    heads = found.select("mesh", "level", "node").distinct()
+    # a part's first place on the curve: its prefix, filled up with zeros
+    start = [F.call_function("shiftleft", F.col("node.head"), SPACE - F.least("level", F.lit(SPACE))), F.call_function("shiftleft", F.col("node.tail"), SPACE - F.greatest(F.col("level") - SPACE, F.lit(0)))]
+    told = running(heads.withColumns({"_a": start[0], "_b": start[1]}), ["mesh"], ["_a", "_b"], {"part": F.lit(1)})
+    parts = materialize(found.alias("r").join(told.alias("o"), equal(["mesh", "level", "node"])).select("r.mesh", "r._code", "r._tail", "o.part"))
+    own = materialize(placed.alias("r").join(parts.alias("o"), equal(["mesh", "_code", "_tail"])).select(*(F.col(f"r.{c}") for c in faces.columns), "o.part"))
+    used = own.select("mesh", "part", F.explode("vertices").alias("vertex")).distinct()
+    numbered = used.withColumn("_local", F.row_number().over(Window.partitionBy("mesh", "part").orderBy("vertex")) - 1)
+    uses = own.select("mesh", "part", "face", F.posexplode("vertices").alias("at", "vertex")).join(numbered, ["mesh", "part", "vertex"])
+    local = uses.groupBy("mesh", "part", "face").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "_local"))), lambda x: x["_local"].cast("long")).alias("local"))
+    return own.join(local, ["mesh", "part", "face"]).select(*faces.columns, "part", "local")
 
 
 def rechunk(batches: DataFrame, keys: list[str], max_vertices: int, max_faces: int) -> DataFrame:
@@ -110,8 +144,7 @@ def rechunk(batches: DataFrame, keys: list[str], max_vertices: int, max_faces: i
 
 def material_copies(uses: DataFrame, most: int = MATERIAL_USES) -> DataFrame:
     """Adds copy: a material (by checksum) is written again after every `most` uses."""
-    w = Window.partitionBy("checksum").orderBy("mesh")
-    return uses.withColumn("copy", F.floor((F.row_number().over(w) - 1) / most).cast("long"))
+    return capped(uses, ["checksum"], ["mesh"], most).withColumnRenamed("chunk", "copy")
 
 
 def first_material(nodes: DataFrame) -> DataFrame:

@@ -26,6 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
+#: Factors and moduli that place orders in space, no two in one spot.
+_SPOTS = ((7919, 100003), (104729, 99991), (1299709, 99989))
+
+
 def _meshes(spark, sf):
     """Orders as meshes: vertices from the price, extents from the key, grouped by priority."""
     c = F.col
@@ -33,11 +37,22 @@ def _meshes(spark, sf):
     vertices = F.floor(c("o_totalprice")).cast("long")
     return table(spark, sf, "orders").select(
         c("o_orderkey").alias("id"), c("o_orderpriority").alias("grouping"), c("o_custkey").alias("customer"), vertices.alias("vertices"), F.floor(vertices / 2).cast("long").alias("faces"),
-        packing.efficiency(vertices, extents).alias("efficiency"), *(((c("o_orderkey") * p) % 1000).cast("double").alias(f"lo{k}") for k, p in enumerate((7, 11, 13))), *((((c("o_orderkey") * p) % 1000) + extents[k]).alias(f"hi{k}") for k, p in enumerate((7, 11, 13))),
+        packing.efficiency(vertices, extents).alias("efficiency"), *(((c("o_orderkey") * p) % m).cast("double").alias(f"lo{k}") for k, (p, m) in enumerate(_SPOTS)), *((((c("o_orderkey") * p) % m) + extents[k]).alias(f"hi{k}") for k, (p, m) in enumerate(_SPOTS)),
     )
 
 
-_M = "m AS (SELECT o_orderkey AS id, o_orderpriority AS grouping, o_custkey AS customer, CAST(floor(o_totalprice) AS BIGINT) AS vertices, floor(o_totalprice) / ((1 + o_orderkey % 7) + (1 + o_orderkey % 5) + (1 + o_orderkey % 3)) AS efficiency FROM orders)"
+_M = "m AS (SELECT o_orderkey AS id, o_orderpriority AS grouping, o_custkey AS customer, CAST(floor(o_totalprice) AS BIGINT) AS vertices, floor(o_totalprice) / ((1 + o_orderkey % 7) + (1 + o_orderkey % 5) + (1 + o_orderkey % 3)) AS efficiency, " + ", ".join(f"(o_orderkey * {p}) % {m} + (1 + o_orderkey % {e}) / 2.0 AS c{k}" for k, ((p, m), e) in enumerate(zip(_SPOTS, (7, 5, 3)))) + " FROM orders)"
+
+
+def subtrees_sql(items: str, key: str, place: str, total: str, most: str, levels: int = 60) -> str:
+    """Tables coded and told (key, code, level, node): places on a curve of 20 bits an axis, and the largest subtree above each
+    whose total is small enough."""
+    cell = "CASE WHEN max(c{k}) OVER g > min(c{k}) OVER g THEN CAST(least(floor((c{k} - min(c{k}) OVER g) / (max(c{k}) OVER g - min(c{k}) OVER g) * 1048576), 1048575) AS BIGINT) ELSE 0 END AS q{k}"
+    bits = "list_sum(list_transform(range(20), lambda b: CAST(((q{k} >> b) & 1) << (3 * b + {up}) AS HUGEINT)))"
+    return f"""cells AS (SELECT *, {", ".join(cell.format(k=k) for k in range(3))} FROM {items} WINDOW g AS (PARTITION BY {key})),
+coded AS (SELECT *, CAST({" + ".join(bits.format(k=k, up=2 - k) for k in range(3))} AS BIGINT) AS code FROM cells),
+sums AS (SELECT {key}, level, code >> (60 - level) AS node, {total} AS total FROM coded, range(0, {levels} + 1) l(level) GROUP BY 1, 2, 3 HAVING {total} {most}),
+told AS (SELECT {key}, code, level, code >> (60 - level) AS node FROM (SELECT p.{key}, p.code, min(s.level) AS level FROM (SELECT DISTINCT {key}, code FROM {place}) p JOIN sums s ON p.{key} = s.{key} AND s.node = p.code >> (60 - s.level) GROUP BY 1, 2))"""
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'textured T' || (o_custkey % 3) WHEN o_orderstatus = 'F' THEN 'opaque' ELSE 'transparent' END || '; primitive ' || (2 + o_orderkey % 2) || '; ' || CASE WHEN o_orderkey % 4 = 0 THEN 'normals' ELSE 'no normals' END AS job FROM orders")
@@ -58,9 +73,12 @@ def cluster_efficiency_order(spark, sf):
     return _meshes(spark, sf).select("id", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query(f"WITH {_M} SELECT id, coalesce(sum(vertices) OVER (PARTITION BY customer ORDER BY efficiency, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1200000 AS low FROM m")
+_BINS = "ahead AS (SELECT *, coalesce(sum(vertices) OVER (PARTITION BY {0} ORDER BY efficiency, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM m), bins AS (SELECT *, CASE WHEN before < 1200000 THEN 0 WHEN before = 1200000 THEN 1 END AS bin FROM ahead)"
+
+
+@query(f"WITH {_M}, {_BINS.format('customer')} SELECT id, CAST(bin AS BIGINT) AS bin FROM bins")
 def cluster_first_bins(spark, sf):
-    return packing.first_bins(_meshes(spark, sf), ["customer"]).select("id", "low")
+    return packing.first_bins(_meshes(spark, sf), ["customer"]).select("id", "bin")
 
 
 @query(f"WITH {_M} SELECT id, CAST((row_number() OVER (PARTITION BY customer ORDER BY id) - 1) // 3 AS BIGINT) AS chunk FROM m")
@@ -81,10 +99,43 @@ def supermesh_pack(spark, sf):
     return packing.pack(packing.capped(_meshes(spark, sf), ["customer"], ["id"]), ["customer", "chunk"]).select("id", "batch")
 
 
-@query()
+@query(f"WITH {_M}, {subtrees_sql('m', 'grouping', 'coded', 'sum(vertices)', '< 1200000')} SELECT c.grouping, id, CAST(level AS INT) AS level, CAST(node AS BIGINT) AS node FROM coded c JOIN told t ON t.grouping = c.grouping AND t.code = c.code")
 def supermesh_spatial_clusters(spark, sf):
-    chunks = packing.capped(_meshes(spark, sf), ["customer"], ["efficiency", "id"])
-    return packing.spatial_clusters(chunks, ["customer", "chunk"]).select("customer", "chunk", "id", "cluster")
+    """Parts of a hierarchy over all boxes of a group, of less than 1.2 million vertices each."""
+    return packing.spatial_clusters(_meshes(spark, sf), ["grouping"]).select("grouping", "id", "level", F.col("node.head").alias("node"))
+
+
+@query(f"""WITH {_M}, {_BINS.format('grouping')}, far AS (SELECT * FROM bins WHERE bin IS NULL), {subtrees_sql('far', 'grouping', 'coded', 'sum(vertices)', '< 1200000')},
+both_ AS (SELECT id, grouping, efficiency, bin, NULL AS level, NULL AS node FROM bins WHERE bin IS NOT NULL
+UNION ALL SELECT id, c.grouping, efficiency, NULL, level, node FROM coded c JOIN told t ON t.grouping = c.grouping AND t.code = c.code)
+SELECT id, CAST(bin AS BIGINT) AS bin, CAST(level AS INT) AS level, CAST(node AS BIGINT) AS node, CAST((row_number() OVER (PARTITION BY grouping, bin, level, node ORDER BY efficiency, id) - 1) // 4 AS BIGINT) AS chunk FROM both_""")
+def mesh_clusters(spark, sf):
+    """Efficiency bins, then parts by space, then runs of four meshes."""
+    return packing.clusters(_meshes(spark, sf), ["grouping"], most=4).select("id", "bin", "level", F.col("node.head").alias("node"), "chunk")
+
+
+def _faces(spark, sf):
+    """Order lines as triangles of four large meshes."""
+    c = F.col
+    corners = F.array(c("l_partkey"), 100_000 + c("l_suppkey") * 7 + c("l_linenumber"), 200_000 + c("l_orderkey") % 5000)
+    centre = [(c("l_orderkey") % 997).cast("double"), (c("l_partkey") % 991).cast("double"), c("l_quantity") + c("l_linenumber") * 50]
+    face = c("l_orderkey") * 8 + c("l_linenumber")
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(k).alias(k) for k in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")))
+    return lines.select(F.concat("l_returnflag", "l_linestatus").alias("mesh"), face.alias("face"), corners.alias("vertices"), F.array(*centre).alias("centre"))
+
+
+_FACES = """l AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS s, min(l_quantity) AS q, min(l_returnflag) || min(l_linestatus) AS mesh FROM lineitem GROUP BY 1, 2),
+f AS (SELECT mesh, l_orderkey * 8 + l_linenumber AS face, [p, 100000 + s * 7 + l_linenumber, 200000 + l_orderkey % 5000] AS vertices, CAST(l_orderkey % 997 AS DOUBLE) AS c0, CAST(p % 991 AS DOUBLE) AS c1, q + l_linenumber * 50 AS c2 FROM l),
+corners AS (SELECT mesh, face, c0, c1, c2, unnest(vertices) AS vertex, generate_subscripts(vertices, 1) AS nth FROM f)"""
+
+
+@query(f"""WITH {_FACES}, {subtrees_sql('corners', 'mesh', 'coded', 'count(DISTINCT vertex)', '<= 400', 24)},
+parts AS (SELECT DISTINCT mesh, level, node, dense_rank() OVER (PARTITION BY mesh ORDER BY node << (60 - level)) - 1 AS part FROM told),
+own AS (SELECT c.mesh, c.face, c.vertex, c.nth, part, dense_rank() OVER (PARTITION BY c.mesh, part ORDER BY c.vertex) - 1 AS local FROM coded c JOIN told t ON t.mesh = c.mesh AND t.code = c.code JOIN parts p ON p.mesh = t.mesh AND p.level = t.level AND p.node = t.node)
+SELECT mesh, face, CAST(part AS BIGINT) AS part, string_agg(local, ',' ORDER BY nth) AS local FROM own GROUP BY 1, 2, 3""")
+def mesh_split(spark, sf):
+    """Faces of meshes that are too large, in parts of at most 400 vertices with numbers of their own."""
+    return packing.split_meshes(_faces(spark, sf), 400).select("mesh", "face", "part", F.array_join("local", ",").alias("local"))
 
 
 @query("""WITH RECURSIVE m AS (SELECT o_custkey AS customer, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS v, CAST(floor(o_totalprice) AS BIGINT) // 2 AS t, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),

@@ -6,14 +6,15 @@ a square, and most of them lie within one class, where they tell nothing new.  S
 1. In each block every item meets the block's head.  Verified links give classes: a group of near copies is
    a star around its head.  Filings are dealt by block once.  A block that a sample shows to be large is dealt in `PARTS` parts,
    whose heads meet again, so no block is one task's work.
-2. What is left are pairs of different classes in one block.  A block that holds, besides its largest class, at most
-   `FEW` items has these meet all others of the block.
-3. In blocks with more of them (a template that many unlike items share) items meet exactly: by prefix filtering, under
-   their rarest tokens, so many that any two which are similar enough share one of them.  A token's items again meet only
-   across classes, and those outside its largest class meet all.
+2. What is left are pairs of different classes in one block.  Where more than `FEW` items lie outside a block's largest
+   class, they meet some of that class first, `REPS` at a time, as long as that joins any, in `ROUNDS` rounds at most.
+3. Then a block that holds at most `FEW` items outside its largest class has these meet all others of the block.
+4. In blocks with more of them (a template that many unlike items share) items meet exactly: by prefix filtering, under
+   their rarest tokens, so many that any two which are similar enough share one of them, and where what follows the shared token
+   could still be enough.  A token's items again meet only across classes, and those outside its largest class meet all.
 
 So no pair of a block that could join two classes is left out, whatever the block's size, and the classes do not depend on what
-else the table holds: parts and `FEW` choose between ways of finding the same classes.  Rows that meet grow with the
+else the table holds: parts, rounds and `FEW` choose between ways of finding the same classes.  Rows that meet grow with the
 filings, but for tokens that are the rarest of many unlike items.  Tables that meet are stored first, so that
 Spark splits a block that holds many rows over several tasks.
 """
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import components, materialize, small
 
 #: Items outside a block's largest class that meet all its items; beyond, its items meet under their rarest tokens.
-FEW = 64
+FEW = 4
+#: Members of the largest class that the others of a block meet in a round, and rounds.
+REPS, ROUNDS = 4, 6
 #: Blocks are counted on one item of `EVERY`; those with more than 1 / MOST of the counted filings, MOST at most, are dealt in `PARTS`.
 EVERY, MOST, PARTS = 16, 2_000, 64
 
@@ -73,19 +76,29 @@ def _few(rows: DataFrame, alike) -> DataFrame:
     return a.join(b, (F.col("a._key") == F.col("b._key")) & _apart("a", "b", alike) & once).select(*_pair("a._id", "b._id"))
 
 
-def _many(rows: DataFrame, alike, prefixes) -> DataFrame:
+def _some(rows: DataFrame, alike, turn: int) -> DataFrame:
+    """Pairs of the items outside their block's largest class with some of that class."""
+    own = [c for c in rows.columns if c not in ("_key", "_of", "_main", "_others", "_class")]
+    picks = [F.min(F.struct(F.xxhash64("_id", F.lit(turn * REPS + k)).alias("_h"), *own)).alias(f"_p{k}") for k in range(REPS)]
+    reps = materialize(rows.where("_class = _main").groupBy("_key").agg(*picks).select(F.col("_key").alias("_block"), F.array_distinct(F.transform(F.array(*(f"_p{k}" for k in range(REPS))), lambda p: F.struct(*(p[c].alias(c) for c in own)))).alias("_reps")))
+    met = rows.where("_class <> _main").alias("a").join(reps, F.col("a._key") == F.col("_block")).select("a.*", F.explode("_reps").alias("b"))
+    return met.select(F.struct(*own).alias("a"), "b").where(alike("a", "b")).select(*_pair("a._id", "b._id")).distinct()
+
+
+def _many(rows: DataFrame, alike, prefixes, least_shared) -> DataFrame:
     """Pairs that share one of their rarest tokens."""
     items = materialize(rows.drop("_key", "_of", "_main", "_others").distinct())
-    held = materialize(prefixes(items.select("_id")).select("_id", "_index", "_probe", F.explode("_set").alias("_token")))
+    held = materialize(prefixes(items.select("_id")).select("_id", "_index", "_probe", F.size("_set").alias("_size"), F.explode("_set").alias("_token")))
     common = materialize(held.groupBy("_token").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_token").alias("_t"), "_n"))
     rarest = Window.partitionBy("_id").orderBy(F.coalesce("_n", F.lit(1)), "_token")  # an item's own tokens
     ranked = held.join(common, F.col("_token") == F.col("_t"), "left").withColumn("_at", F.row_number().over(rarest))
-    filed = ranked.where("_at <= greatest(_index, _probe) and _n is not null").select(F.col("_id").alias("_item"), "_token", (F.col("_at") <= F.col("_index")).alias("_indexed"), (F.col("_at") <= F.col("_probe")).alias("_probes"))
+    filed = ranked.where("_at <= greatest(_index, _probe) and _n is not null").select(F.col("_id").alias("_item"), "_token", "_size", (F.col("_size") - F.col("_at")).alias("_after"), (F.col("_at") <= F.col("_index")).alias("_indexed"), (F.col("_at") <= F.col("_probe")).alias("_probes"))
     met = materialize(filed.join(items, F.col("_item") == F.col("_id")).drop("_item"))
     main = _largest(met, "_token")
     open_rows = materialize(met.join(main, F.col("_token") == F.col("_of")))
     a, b = open_rows.where("_indexed").alias("a"), open_rows.where("_probes").alias("b")
-    same = (F.col("a._token") == F.col("b._token")) & (F.col("a._len") <= F.col("b._len")) & (F.col("a._id") != F.col("b._id")) & _apart("a", "b", alike)
+    enough = 1 + F.least("a._after", "b._after") >= least_shared("a", "b")  # at the first token that two share, all others follow
+    same = (F.col("a._token") == F.col("b._token")) & (F.col("a._len") <= F.col("b._len")) & (F.col("a._id") != F.col("b._id")) & enough & _apart("a", "b", alike)
     outside = a.where("_class <> _main").join(b, same)
     inside = a.where("_class = _main").join(b.where("_class <> _main"), same)
     return outside.select(*_pair("a._id", "b._id")).union(inside.select(*_pair("a._id", "b._id")))
@@ -96,24 +109,40 @@ def classes(
     alike: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
     prefixes: Callable[[DataFrame], DataFrame],
+    least_shared: Callable[[str, str], Column],
 ) -> DataFrame:
     """(node, root) of the classes of `items`, a stored table with a row each: _id (long), _len, _keys, and what `alike` reads.
 
     `alike(a, b)` tells of two items under these aliases whether they may link.  `verify` gives the links of a table of pairs
     (x, y).  `prefixes` gives, for a table of _id, the items' _set of distinct tokens and how many of the rarest of
-    them are looked up in longer items (_index) and in items not longer (_probe).
+    them are looked up in longer items (_index) and in items not longer (_probe); `least_shared(a, b)` is how many tokens two
+    items with _size tokens have to share at least.
     """
     met = _met(items)
     star = met.where((F.col("a._id") != F.col("b._id")) & alike("a", "b")).select(*_pair("a._id", "b._id"))
     links = materialize(verify(materialize(star.distinct())))
-    roots = materialize(components(links, "x", "y"))
     filed = met.where("_filed").select("a.*", "_key")
-    told = materialize(filed.join(small(roots), F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_id")).drop("node", "root"))
-    open_rows = materialize(told.join(small(_largest(told, "_key")), F.col("_key") == F.col("_of")))
-    pairs = _few(open_rows.where(F.col("_others") <= FEW), alike)
-    many = open_rows.where(F.col("_others") > FEW)
+
+    def opened(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The classes so far, and the filings in blocks that hold several."""
+        roots = materialize(components(links, "x", "y"))
+        told = materialize(filed.join(small(roots), F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_id")).drop("node", "root"))
+        return roots, materialize(told.join(small(_largest(told, "_key")), F.col("_key") == F.col("_of")))
+
+    roots, rows = opened(links)
+    for turn in range(ROUNDS):
+        crowded = rows.where(F.col("_others") > FEW)
+        if crowded.isEmpty():
+            break
+        more = materialize(verify(materialize(_some(crowded, alike, turn))))
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        roots, rows = opened(links)
+    pairs = _few(rows.where(F.col("_others") <= FEW), alike)
+    many = rows.where(F.col("_others") > FEW)
     if not many.isEmpty():
-        pairs = pairs.union(_many(many, alike, prefixes))
+        pairs = pairs.union(_many(many, alike, prefixes, least_shared))
     stored = materialize(pairs.distinct())
     if stored.isEmpty():
         return roots

@@ -9,10 +9,11 @@ automaton's patterns are those blocks and the short items: as many nodes as the
 not ten times as many.  A block found in a document is extended to both sides along the item; ten words or more
 are windows, and all of them are hit.
 
-The benchmark is written to the shared folder, from where Spark copies its files to each
-executor; every Python worker builds the automaton from them once.  It does not pass the driver.  It takes
-about 100 bytes of a worker's memory a benchmark word; a benchmark of more than `MOST_WORDS` words (counted
-first) is dealt by a hash of its texts into parts with a pass each, whose hits are united: the result is the same.
+A benchmark of up to `MOST_WORDS` words (counted first) is one automaton, of about 100 bytes of a worker's memory a word.
+Its words are broadcast, a size that the count bounds, and every Python worker builds the automaton from them once.  A
+larger benchmark is dealt by a hash into parts within that bound, each with a pass of its own: what a pass has found is stored before
+the next one begins, so a worker never holds two automata.  Hits are united, and the result is the same.  Items of more than
+`SEGMENT` words are cut into segments that overlap by a window less one word, which keeps every window.
 
 Defined cases: null, empty and wordless documents have no words and are clean; null and wordless
 items are no windows; items with equal texts are all reported; a null item_id is no item but its windows hit; repeated rows are scanned alike; an
@@ -21,16 +22,15 @@ empty benchmark leaves every document clean; extra columns pass, but for columns
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
-from functools import lru_cache
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +42,8 @@ WINDOW = 10
 BLOCK = WINDOW // 2
 #: Benchmark words that one automaton holds.
 MOST_WORDS = 5_000_000
+#: Words of an item that stay together.
+SEGMENT = 100_000
 _NOT_BLANK = bytes(0 if b == 0x20 else 1 for b in range(256))
 
 
@@ -102,25 +104,43 @@ class Scanner:
         return len(words), hit, items
 
 
-@lru_cache(maxsize=1)
-def scanner(files: tuple[str, ...]) -> Scanner:
-    """The automaton of files that Spark has copied to this executor."""
-    tables = (pq.read_table(SparkFiles.get(f), columns=["i", "t"]) for f in files)
-    return Scanner(row for part in tables for row in zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True))
+_KEPT: dict[str, Scanner] = {}
 
 
-def published(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = MOST_WORDS) -> list[tuple[str, ...]]:
-    """Names of the benchmark's files, copied to every executor, in parts of about `most` words."""
-    told = benchmark.where(F.col(text).isNotNull())
-    words = told.agg(F.coalesce(F.sum(F.size(F.split(text, "[^a-zA-Z0-9]+"))), F.lit(0)).alias("n")).first().n
-    rows = told.select(F.col(item).cast("string").alias("i"), F.col(text).cast("binary").alias("t"))
-    parts, names = max(1, -(-words // most)), []
-    for k in range(parts):
-        files = materialize(rows.where(F.pmod(F.xxhash64("t"), F.lit(parts)) == k)).inputFiles()
-        for f in files:
-            benchmark.sparkSession.sparkContext.addFile(f)
-        names.append(tuple(f.rsplit("/", 1)[1] for f in files))
-    return names
+def _scanner(name: str, held: Broadcast) -> Scanner:
+    """The automaton of a part; a worker keeps one."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        part = pa.ipc.open_stream(held.value).read_all()
+        _KEPT[name] = Scanner(zip(part.column("i").to_pylist(), part.column("t").to_pylist(), strict=True))
+    return _KEPT[name]
+
+
+def parts(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = MOST_WORDS) -> list[DataFrame]:
+    """Stored tables (i, t) of the benchmark's items and their words, of at most `most` words each (or one segment)."""
+    # words as the automaton has them: A-Z lower-cased, all that is not ASCII kept
+    low = F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    told = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string").alias("i"), words.alias("w"))
+    whole, step = F.size("w") <= SEGMENT, SEGMENT - WINDOW + 1
+    cut = F.when(whole, F.array("w")).otherwise(F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW, F.lit(step)), lambda k: F.slice("w", k + 1, SEGMENT)))
+    rows = materialize(told.where(F.size("w") > 0).select("i", F.explode(cut).alias("w")).select("i", F.array_join("w", " ").cast("binary").alias("t"), F.size("w").cast("long").alias("n")))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    number = max(1, -(-total // most))
+    while True:
+        dealt = F.pmod(F.xxhash64("t", "i"), F.lit(number))
+        sizes = rows.groupBy(dealt.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("c")).where((F.col("n") > most) & (F.col("c") > 1))
+        if sizes.isEmpty() or number > 4 * total:
+            return [rows.where(dealt == k).select("i", "t") for k in range(number)]
+        number *= 2
+
+
+def sent(part: DataFrame) -> Broadcast:
+    """One part's rows, for all workers."""
+    held, sink = part.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema) as stream:
+        stream.write_table(held)
+    return part.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
 
 def word_offsets(text: bytes) -> np.ndarray:
@@ -151,12 +171,13 @@ _FOUND = [
 ]
 
 
-def scan(docs: DataFrame, files: tuple[str, ...], text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, part: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with _n_words, _hit_words (word numbers) and _items, for a part of the benchmark."""
-    at = docs.columns.index(text)
+    at, held = docs.columns.index(text), sent(part)
+    name = uuid.uuid4().hex
 
     def batches(it):
-        find = scanner(files).find
+        find = _scanner(name, held).find
         for batch in it:
             n, hits, found = [], [], []
             for t in batch.column(at).cast(pa.binary()).to_pylist():
@@ -174,11 +195,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     """One row for each row of `docs`, with its columns, those of `scan`, and _spans: the original byte
     ranges of the runs of hit words; earlier columns of these names are replaced."""
     docs = docs.drop("_spans", *(f"{f.name}{k}" for f in _FOUND for k in ("", "2")))
-    first, *more = published(benchmark, item, most=most)
+    first, *more = parts(benchmark, item, most=most)
     out = scan(docs, first, text)
     for part in more:
         names = {f.name: f"{f.name}2" for f in _FOUND}
-        out = scan(out.withColumnsRenamed(names), part, text).select(
+        out = scan(materialize(out).withColumnsRenamed(names), part, text).select(
             *docs.columns,
             "_n_words",
             F.array_sort(F.array_union("_hit_words", "_hit_words2")).alias("_hit_words"),

@@ -135,6 +135,11 @@ def jaccard_prefixes(held: DataFrame, percent: int = PERCENT) -> DataFrame:
     return held.select("_id", "_set", (n - F.ceil(2 * percent * n / (100 + percent)) + 1).alias("_index"), (n - F.ceil(percent * n / 100) + 1).alias("_probe"))
 
 
+def jaccard_shared(percent: int = PERCENT):
+    """The least intersection of two sets, as `blocks.classes` asks for it."""
+    return lambda a, b: F.ceil(percent * (F.col(f"{a}._size") + F.col(f"{b}._size")) / (100 + percent))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, kept) for each row of `docs`."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -152,7 +157,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def prefixes(ids: DataFrame) -> DataFrame:
         return jaccard_prefixes(load(ids).join(ids, "_id", "left_semi"), percent)
 
-    roots = classes(items.drop("_least"), lambda a, b: close(a, b, percent), verify, prefixes)
+    roots = classes(items.drop("_least"), lambda a, b: close(a, b, percent), verify, prefixes, jaccard_shared(percent))
     rooted = materialize(items.select("_id", "_least").join(roots, F.col("_id") == F.col("node"), "left").select("_id", "_least", F.coalesce("root", "_id").alias("_root")))
     least = materialize(rooted.groupBy(F.col("_root").alias("_r")).agg(F.min("_least").alias("_component")))
     named = materialize(rooted.join(least, F.col("_root") == F.col("_r")).select(F.col("_id").alias("_of"), "_component"))

@@ -179,7 +179,7 @@ def similar_classes(rows: DataFrame, made: DataFrame, firsts: DataFrame) -> Data
     def verify(pairs: DataFrame) -> DataFrame:
         return minmax.jaccard_links(pairs, load(pairs.select(F.explode(F.array("x", "y")).alias("_id"))), PERCENT)
 
-    return classes(items, alike, verify, lambda ids: minmax.jaccard_prefixes(load(ids).join(ids, "_id", "left_semi"), PERCENT))
+    return classes(items, alike, verify, lambda ids: minmax.jaccard_prefixes(load(ids).join(ids, "_id", "left_semi"), PERCENT), minmax.jaccard_shared(PERCENT))
 
 
 @shielded

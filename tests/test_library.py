@@ -469,3 +469,54 @@ def test_own_properties_come_before_those_of_the_type(spark):
     assert got == {(1, "P", "A"): ("own", None), (1, "P", "B"): ("2.0", "ft"), (1, "Q", "Gross"): ("3.5", "m²")}
     names = {(r.object, r.name): r.value for r in ifc.object_attributes(found).collect()}
     assert names[1, "IFC Name"] == "d" and {o for o, _ in names} == {1, 8}
+
+
+def step_statements(text):
+    """Statements of STEP text, one character after the other."""
+    out, now, k, inside = [], "", 0, False
+    while k < len(text):
+        if not inside and text.startswith("/*", k):
+            end = text.find("*/", k + 2)
+            if end < 0:
+                now, k = now + text[k:], len(text)
+                continue
+            k = end + 2
+            continue
+        c = text[k]
+        inside ^= c == "'"
+        if c == ";" and not inside:
+            out, now = [*out, now], ""
+        else:
+            now += c
+        k += 1
+    return [s.strip(" \t\r\n\x0b\x0c") for s in [*out, now] if s.strip(" \t\r\n\x0b\x0c")]
+
+
+def test_step_statements_over_splits(spark, tmp_path):
+    rng = random.Random(12)
+    words = ["#1=A(1)", ";", ";\r\n", "\n", "'", "''", "/*", "*/", "'x;y'", "/* ; ' */", "#2=B('it''s; /*')", "é", " ", "(", "*", "/"]
+    texts = {f"m{k}.ifc": "".join(rng.choice(words) for _ in range(rng.randrange(400))) for k in range(12)}
+    texts |= {"empty.ifc": "", "open.ifc": "#1=A(1);'never; closed", "long.ifc": "#1=A('" + "; " * 3000 + "');\r\n" * 3 + "#2=B();"}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        lines = ifc.read(spark, str(tmp_path))
+        assert ifc.pieces(spark, str(tmp_path)).select("model", "at.block").distinct().count() > 40
+        got = {}
+        for r in sorted(lines.collect(), key=lambda r: (r.model, r.no)):
+            got.setdefault(r.model.rsplit("/", 1)[1], []).append(r.value)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {name: want for name, text in texts.items() if (want := step_statements(text))}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_step_file(spark, tmp_path, end):
+    text = end.join(["ISO-10303-21;", "HEADER;FILE_SCHEMA(('IFC4'));", "ENDSEC;", "DATA;", "#1=A(1); #2=B('x;y')", ";", "/* a; comment */ #3=C(#1,", "#2);#4=D(());", "#5=(E()F());", "#6=G(1;", "ENDSEC;END-ISO-10303-21;", ""])
+    (tmp_path / "a.ifc").write_bytes(text.encode())
+    lines = ifc.read(spark, str(tmp_path))
+    assert sorted(r.id for r in ifc.entities(lines).collect()) == [1, 2, 3, 4]
+    assert [r.args for r in ifc.entities(lines).where("id = 3").collect()] == [["#1", "#2"]]
+    assert sorted(r.value for r in ifc.malformed(lines).collect()) == ["#5=(E()F())", "#6=G(1"]
+    assert [r.schema for r in ifc.schema_of(lines).collect()] == ["IFC4"]

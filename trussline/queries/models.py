@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans import scratch
 from ..sources import ifc
 from .scene import table
 
@@ -92,3 +95,22 @@ def ifc_units(spark, sf):
 @query("SELECT DISTINCT p_brand AS model, 'IFC4' AS schema FROM part")
 def ifc_schema(spark, sf):
     return ifc.schema_of(statements(spark, sf))
+
+
+#: A part as tools write it: statements that share lines, strings and comments with semicolons and quotes, line ends within a statement.
+_WRITTEN = "#%d1=IFCWALL('%022d',$,'%s; ''(a, b)''',$); /* it's; one */ #%d2 =\r\n IFCPROPERTYSINGLEVALUE('Size',$,/* ; '' */ IFCINTEGER(%d),$);\r\n#%d3=IFCLABEL('/* no; comment */');#%d4=BROKEN('%s';"
+
+
+@query("""WITH k AS (SELECT p_partkey + 100 AS k, * FROM part)
+SELECT k * 10 + 1 AS id, 'IFCWALL' AS type, p_name || '; ''(a, b)''' AS value FROM k UNION ALL SELECT k * 10 + 2, 'IFCPROPERTYSINGLEVALUE', CAST(p_size AS VARCHAR) FROM k
+UNION ALL SELECT k * 10 + 3, 'IFCLABEL', '/* no; comment */' FROM k UNION ALL SELECT k * 10 + 4, 'malformed', '#' || (k * 10 + 4) || '=BROKEN(''' || p_name || '''' FROM k""")
+def ifc_statements(spark, sf):
+    """Models written as text and read back; what is no statement is reported."""
+    p = table(spark, sf, "part").withColumn("k", F.col("p_partkey") + 100)
+    path = f"{scratch.folder(spark)}/step-{uuid.uuid4().hex}"
+    p.select(F.format_string(_WRITTEN, "k", "k", "p_name", "k", "p_size", "k", "k", "p_name")).write.option("lineSep", "\r\n").text(path)
+    lines = ifc.read(spark, path)
+    found = ifc.entities(lines)
+    value = F.when(F.col("type") == "IFCLABEL", ifc.val(0)).otherwise(ifc.val(2))
+    wrong = ifc.malformed(lines).select(F.regexp_extract("value", r"^#(\d+)", 1).cast("long").alias("id"), F.lit("malformed").alias("type"), "value")
+    return found.select("id", "type", value.alias("value")).union(wrong)

@@ -1,14 +1,25 @@
 """Building models as STEP text (ISO 10303-21): statements, typed values, tree, properties, units, locations.
 
-A file is its lines, one statement (`#id = TYPE(arguments);`) a row after `statements`; everything else is
+A file is its statements (`#id = TYPE(arguments);`), one a row after `read`; everything else is
 joins over entities (model, id, type, args, values).  Geometry is not evaluated: that takes a CAD kernel.
+
+`read` takes a file in splits.  Pieces between semicolons are Spark's records; a semicolon within a string or a comment
+ends no statement, and whether a piece begins in one depends on all before it.  So each piece is told for three cases: that its split
+began in plain text, in a string, or in a comment.  What a split makes of each case is one row; put together in order they
+tell every split's case.  Statements are then numbered by a running count, and pieces of one number are joined.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.partition import running
+from ..plans.scratch import materialize
+
 #: Schemas that are read; others are refused.
 SCHEMAS = ("IFC2X3", "IFC4", "IFC4X1", "IFC4X2", "IFC4X3", "IFC4X3_TC1", "IFC4X3_ADD1", "IFC4X3_ADD2", "IFC2X3_TC1", "IFC4_ADD1", "IFC4_ADD2")
 #: Labels of SI units and prefixes.
@@ -19,7 +30,8 @@ SI_UNITS = {
     "VOLT": "V", "WATT": "W", "WEBER": "Wb",
 }
 SI_PREFIXES = {"EXA": "E", "PETA": "P", "TERA": "T", "GIGA": "G", "MEGA": "M", "KILO": "k", "HECTO": "h", "DECA": "da", "DECI": "d", "CENTI": "c", "MILLI": "m", "MICRO": "µ", "NANO": "n", "PICO": "p", "FEMTO": "f", "ATTO": "a"}
-#: Labels of units that files define by conversion, where they differ from the lower-case name.
+#: Labels of units that files define by conversion, where they differ from the lower-case name.  US pints and gallons have the
+#: label of UK ones, and "cubie inch" is spelled so, because results have to agree.
 NAMED_UNITS = {
     "inch": "in", "foot": "ft", "yard": "yd", "mile": "mi", "acre": "ac", "square inch": "in²", "square foot": "ft²", "square yard": "yd²",
     "square mile": "mi²", "cubie inch": "in³", "cubic foot": "ft³", "cubic yard": "yd³", "litre": "l", "fluid ounce uk": "fl oz(UK)",
@@ -34,9 +46,75 @@ for _ in range(3):
 _ARGUMENT = "((?:[^,()']++|" + _STRING + "|" + _NESTED + ")++)"
 
 
+#: Where text is read: plain, in a string, in a comment.
+_CASES = {"n": "", "s": "'", "c": "/*"}
+_QUOTED = re.compile(r"'[^']*(?P<s>'?)|/\*(?:.*?(?P<c>\*/)|.*)", re.DOTALL)
+#: Statements that are no entities.
+_FRAME = r"(?is)^(ISO-10303-21|END-ISO-10303-21|HEADER|DATA(\s*\(.*\))?|ENDSEC|(FILE_\w+|SCHEMA_POPULATION|SECTION_LANGUAGE|SECTION_CONTEXT)\s*\(.*\))$"
+_ENTITY = r"(?s)^\s*#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*;?\s*$"
+
+
+def case_after(case: str, text: str) -> str:
+    """Where one is after `text` that begins in `case`."""
+    last = None
+    for last in _QUOTED.finditer(_CASES[case] + text):
+        pass
+    if last is None or last["s"] or last["c"]:
+        return "n"
+    return "s" if last[0][0] == "'" else "c"
+
+
+def _told(batches):
+    """Adds to the pieces of splits, in order, where each ends if its split began in any of the cases."""
+    now, cases = None, []
+    for batch in batches:
+        end = []
+        for model, block, text in zip(*(batch.column(k).to_pylist() for k in ("model", "block", "value")), strict=True):
+            if (model, block) != now:
+                now, cases = (model, block), list(_CASES)
+            after = {c: case_after(c, text) for c in set(cases)}
+            cases = [after[c] for c in cases]
+            end.append("".join(cases))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(end, pa.string())], names=[*batch.schema.names, "end"])
+
+
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(model, no, at, value, closed): the text between semicolons, with the number of the statement that it is of; `closed` tells
+    that the piece does not end in a string or a comment."""
+    meta = lambda c: F.col(f"_metadata.{c}")
+    raw = spark.read.option("lineSep", ";").text(path).select(meta("file_path").alias("model"), meta("file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    told = materialize(raw.mapInArrow(_told, "model string, block long, n long, value string, end string"))
+    ends = told.groupBy("model", "block").agg(F.max_by("end", "n").alias("end"))  # a row a split
+    case_of = lambda cases, case: F.substring(cases, F.instr(F.lit("".join(_CASES)), case), F.lit(1))
+    whole = ends.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("block", "end"))).alias("all"))
+    start = F.struct(F.lit("n").alias("case"), F.array().cast("array<string>").alias("seen"))
+    cases = F.aggregate("all", start, lambda acc, b: F.struct(case_of(b["end"], acc["case"]).alias("case"), F.array_append(acc["seen"], acc["case"]).alias("seen")))
+    begun = whole.select("model", F.col("all.block").alias("blocks"), cases["seen"].alias("cases")).select("model", F.explode(F.arrays_zip("blocks", "cases")).alias("b"))
+    begun = materialize(begun.select(F.col("model").alias("of"), F.col("b.blocks").alias("at"), F.col("b.cases").alias("first")))
+    met = told.join(F.broadcast(begun), (F.col("model") == F.col("of")) & (F.col("block") == F.col("at")))  # as many rows as Spark has splits
+    known = met.select("model", "block", "n", "value", (case_of(F.col("end"), F.col("first")) == "n").alias("closed"))
+    counted = running(known, ["model"], ["block", "n"], {"no": F.col("closed").cast("long")})
+    return counted.select("model", "no", F.struct("block", "n").alias("at"), "value", "closed")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Statements (model, value) of the files at `path`; a statement ends with its line."""
-    return spark.read.option("lineSep", ";\n").text(path).select(F.input_file_name().alias("model"), "value")
+    """Statements (model, no, value) of the files at `path`, without comments and the blanks around them.
+
+    Any line ends, several statements a line, statements over several lines, and strings and comments with semicolons are read.  Text in
+    which a string or comment is still open at the file's end is one statement, which `malformed` reports.
+    """
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda p: p["value"]), ";")
+    whole = pieces(spark, path).groupBy("model", "no").agg(parts.alias("t"))
+    plain = F.regexp_replace("t", r"(?s)('[^']*+')|/\*.*?\*/", "$1")
+    return whole.select("model", "no", F.regexp_replace(plain, r"^\s+|\s+$", "").alias("value")).where("value <> ''")
+
+
+def malformed(lines: DataFrame) -> DataFrame:
+    """The statements that are neither an entity nor of a file's frame, such as complex instances, or text that a quote left open."""
+    rest = F.regexp_replace("value", "(?s)'[^']*'", "")
+    count = lambda c: F.length(rest) - F.length(F.replace(rest, F.lit(c), F.lit("")))
+    whole = ~F.contains(rest, F.lit("'")) & ~F.contains(rest, F.lit("/*")) & (count("(") == count(")"))
+    return lines.where(~((F.col("value").rlike(_ENTITY) | F.col("value").rlike(_FRAME)) & whole))
 
 
 def schema_of(lines: DataFrame) -> DataFrame:
@@ -53,9 +131,8 @@ def arguments(text: Column) -> Column:
 def entities(lines: DataFrame) -> DataFrame:
     """(model, id, type, args, values) of the statements (model, value) that define an entity: arguments as written, and
     as `value` reads them."""
-    pattern = r"(?s)^\s*#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*;?\s*$"
-    part = lambda k: F.regexp_extract("value", pattern, k)
-    return lines.where(F.col("value").rlike(pattern)).select("model", part(1).cast("long").alias("id"), F.upper(part(2)).alias("type"), arguments(part(3)).alias("args")).withColumn("values", F.transform("args", lambda x: value(x)))
+    part = lambda k: F.regexp_extract("value", _ENTITY, k)
+    return lines.where(F.col("value").rlike(_ENTITY)).select("model", part(1).cast("long").alias("id"), F.upper(part(2)).alias("type"), arguments(part(3)).alias("args")).withColumn("values", F.transform("args", lambda x: value(x)))
 
 
 def arg(k: int) -> Column:

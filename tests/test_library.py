@@ -5,6 +5,7 @@ import gzip
 import json
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from trussline.functions import documents, linear
 from trussline.operators import clash, geometry, graph, packing, partition, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
-from trussline.sources import ifc, readers, store
+from trussline.sources import container, ifc, readers, store
 from trussline.streaming import jobs
 
 
@@ -520,3 +521,43 @@ def test_step_file(spark, tmp_path, end):
     assert [r.args for r in ifc.entities(lines).where("id = 3").collect()] == [["#1", "#2"]]
     assert sorted(r.value for r in ifc.malformed(lines).collect()) == ["#5=(E()F())", "#6=G(1"]
     assert [r.schema for r in ifc.schema_of(lines).collect()] == ["IFC4"]
+
+
+def test_containers(spark, tmp_path):
+    """Files of several nodes: shared and unordered ranges, a second gzip member, textures with and without bytes, nodes that are no entities."""
+    rng = random.Random(3)
+    image = bytes(rng.randrange(256) for _ in range(200_000))
+    corners = struct.pack("<9d", 0, 0, 0, 1, 0, 0, 0, 1, 0)
+    data = image + corners + struct.pack("<3I", 2, 1, 0) + struct.pack("<9f", *[0, 0, 2] * 3) + struct.pack("<6f", 0, 0, 1, 0, 0, 1) + b"rest"
+    at = len(image)
+    geometry = {"vertices": [at, at + 72], "indices": [at + 72, at + 84], "normals": [at + 84, at + 120], "uv": [at + 120, at + 144], "material": 1}
+    move = [1, 0, 0, 10, 0, 0, -1, 20, 0, 1, 0, 30, 0, 0, 0, 1]  # a quarter turn about x
+    tree = {
+        "nodes": [{"id": 7, "name": "root"}, {"id": 3, "parent": 7, "name": ""}, {"id": 4, "parent": 3, "name": "", "transformation": move, "geometry": geometry}, {"id": 5, "parent": 3, "name": "b", "geometry": {"primitive": 2, "vertices": [at, at + 72], "indices": [at + 72, at + 80], "material": 0}, "metadata": {"sName": "x", "dSize": 1.5}}],
+        "materials": [{"diffuse": [1, 1, 1], "transparency": 0.25, "shininess": 2, "texture": -1}, {"texture": 9}],
+        "textures": [{"id": 9, "filename": "a.png", "width": 2, "height": 3, "imageBytes": [0, at]}, {"id": 8, "filename": "b.png", "width": 0, "height": 3, "imageBytes": [5, 9]}, {"id": 6, "filename": "c.png", "width": 1, "height": 1}],
+    }
+    for version in (2, 3, 4):
+        (tmp_path / f"v{version}.bim").write_bytes(container.packed(tree, data, version))
+    whole = gzip.decompress(container.packed(tree, data))
+    (tmp_path / "members.bim").write_bytes(gzip.compress(whole[:100]) + gzip.compress(whole[100:]))
+    found = container.records(spark, str(tmp_path))
+    starts = [r.start for r in found.where("text is null and model like '%v2.bim'").orderBy(F.monotonically_increasing_id()).collect()]
+    assert starts == sorted(starts) and len(starts) == 8 and found.select("model").distinct().count() == 4
+    meshes, offset = container.meshes(found)
+    assert {tuple(r.offset) for r in offset.collect()} == {(0.0, 0.0, 0.0)}
+    by = {}
+    for r in meshes.collect():
+        by.setdefault(r.model.rsplit("/", 1)[1], {})[r.id] = r
+    assert len(by) == 4
+    for own in by.values():
+        assert [list(v) for v in own[4].vertices] == [[10, 20, 30], [11, 20, 30], [10, 20, 31]] and own[4].entity == 4 and own[5].entity == 5
+        assert [[round(x, 6) for x in v] for v in own[4].normals] == [[0, -1, 0]] * 3 and own[4].uv == [[0, 0], [1, 0], [0, 1]]
+        assert own[4].faces == [[2, 1, 0]] and own[5].faces == [[2, 1]] and own[5].normals is None
+    assert {r.id: (r.parent, r.metadata) for r in container.nodes(found).where("model like '%v4.bim'").collect()}[5] == (3, {"Name": "x", "Size": "1.5"})
+    assert [(r.material, r.opacity, r.shininess, r.texture) for r in container.materials(found).where("model like '%v4.bim'").orderBy("material").collect()] == [(0, 0.75, 10.0, None), (1, 1.0, None, 9)]
+    assert {r.texture: r.image and len(r.image) for r in container.textures(found).where("model like '%v4.bim'").collect()} == {9: at, 8: None, 6: None}
+    with pytest.raises(ValueError, match="version"):
+        list(container.rows("x", gzip.compress(b"BIM009" + bytes(100))))
+    with pytest.raises(ValueError, match="data ends within"):
+        list(container.rows("x", container.packed(tree, data[:at])))

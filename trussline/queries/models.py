@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import scratch
-from ..sources import ifc
+from ..sources import container, ifc
 from .scene import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -114,3 +116,32 @@ def ifc_statements(spark, sf):
     value = F.when(F.col("type") == "IFCLABEL", ifc.val(0)).otherwise(ifc.val(2))
     wrong = ifc.malformed(lines).select(F.regexp_extract("value", r"^#(\d+)", 1).cast("long").alias("id"), F.lit("malformed").alias("type"), "value")
     return found.select("id", "type", value.alias("value")).union(wrong)
+
+
+def _containers(spark, sf) -> DataFrame:
+    """A container a nation: its customers are triangles under a group that is moved and scaled."""
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        nation, data = int(pdf["c_nationkey"].iloc[0]), b""
+        nodes = [{"id": 0, "name": "nation", "transformation": [2, 0, 0, nation, 0, 2, 0, 0, 0, 0, 2, 5, 0, 0, 0, 1]}, {"id": 1, "parent": 0, "name": ""}]
+        for key in sorted(pdf["c_custkey"].tolist()):
+            corners = [key % 1000, key % 7, 0, key % 1000 + 1, key % 7, 0, key % 1000, key % 7 + 1, key % 3]
+            at = len(data)
+            data += struct.pack("<9d", *corners) + struct.pack("<3I", 0, 1, 2)
+            nodes.append({"id": key + 2, "parent": 1, "name": "", "metadata": {"skey": f"C{key}"}, "geometry": {"material": key % 2, "numVertices": 3, "vertices": [at, at + 72], "indices": [at + 72, at + 84]}})
+        materials = [{"diffuse": [1, 0, 0], "transparency": 0.25, "shininess": 0.5}, {"diffuse": [0, 1, 0]}]
+        return pd.DataFrame({"path": [f"nation-{nation}"], "content": [container.packed({"nodes": nodes, "materials": materials, "textures": []}, data)]})
+
+    return table(spark, sf, "customer").select("c_nationkey", "c_custkey").groupBy("c_nationkey").applyInPandas(build, "path string, content binary")
+
+
+@query("""WITH v AS (SELECT c_nationkey, c_custkey, unnest([0, 1, 2]) AS nth, 2 * (c_custkey % 1000) + c_nationkey AS x, 2 * (c_custkey % 7) AS y FROM customer),
+p AS (SELECT c_nationkey, c_custkey, nth, CASE WHEN nth = 1 THEN x + 2 ELSE x END AS x, CASE WHEN nth = 2 THEN y + 2 ELSE y END AS y, CASE WHEN nth = 2 THEN 5 + 2 * (c_custkey % 3) ELSE 5 END AS z FROM v)
+SELECT 'nation-' || c_nationkey AS model, c_custkey + 2 AS id, 0 AS entity, nth, CAST(x - min(x) OVER w AS DOUBLE) AS x, CAST(y - min(y) OVER w AS DOUBLE) AS y, CAST(z - min(z) OVER w AS DOUBLE) AS z, CAST(CASE WHEN c_custkey % 2 = 0 THEN 0.75 ELSE 1.0 END AS DOUBLE) AS opacity
+FROM p WINDOW w AS (PARTITION BY c_nationkey)""")
+def container_meshes(spark, sf):
+    """Vertices of the meshes of scene containers, in the world less the scene's offset, with their material's opacity."""
+    found = container.unpacked(_containers(spark, sf))
+    meshes, _ = container.meshes(found)
+    rows = meshes.select("model", "id", "entity", "material", F.posexplode("vertices").alias("nth", "v")).join(container.materials(found).select("model", "material", "opacity"), ["model", "material"])
+    return rows.select("model", "id", F.col("entity").cast("int").alias("entity"), "nth", *(F.get("v", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")), "opacity")

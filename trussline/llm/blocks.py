@@ -7,7 +7,7 @@ a square, and most of them lie within one class, where they tell nothing new.  S
    a star around its head.  Filings are dealt by block once.  A block that a sample shows to be large is dealt in `PARTS` parts,
    whose heads meet again, so no block is one task's work.
 2. What is left are pairs of different classes in one block.  Where more than `FEW` items lie outside a block's largest
-   class, they meet some of that class first, `REPS` at a time, as long as that joins any, in `ROUNDS` rounds at most.
+   class, they meet some of that class first, `REPS` at a time, as long as that joins any and many are left, in `ROUNDS` rounds at most.
 3. Then a block that holds at most `FEW` items outside its largest class has these meet all others of the block.
 4. In blocks with more of them (a template that many unlike items share) items meet exactly: by prefix filtering, under
    their rarest tokens, so many that any two which are similar enough share one of them, and where what follows the shared token
@@ -30,8 +30,8 @@ from .common import components, materialize, small
 
 #: Items outside a block's largest class that meet all its items; beyond, its items meet under their rarest tokens.
 FEW = 4
-#: Members of the largest class that the others of a block meet in a round, and rounds.
-REPS, ROUNDS = 4, 6
+#: Members of the largest class that the others of a block meet in a round; rounds; and filings of crowded blocks that a round is worth.
+REPS, ROUNDS, WORTH = 4, 3, 20_000
 #: Blocks are counted on one item of `EVERY`; those with more than 1 / MOST of the counted filings, MOST at most, are dealt in `PARTS`.
 EVERY, MOST, PARTS = 16, 2_000, 64
 
@@ -132,7 +132,7 @@ def classes(
     roots, rows = opened(links)
     for turn in range(ROUNDS):
         crowded = rows.where(F.col("_others") > FEW)
-        if crowded.isEmpty():
+        if crowded.count() < WORTH:
             break
         more = materialize(verify(materialize(_some(crowded, alike, turn))))
         if more.isEmpty():

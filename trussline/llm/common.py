@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import materialize, remove
@@ -43,16 +43,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     longest chain.  Every step is a grouped minimum and a join; nothing is collected but a count
     and a checksum.  Roots themselves and nodes without an edge have no row.
     """
-    cur = materialize(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    )
+    def stored(df: DataFrame):
+        """The table, and what tells one state from another, taken as it is written."""
+        seen = Observation()
+        table_ = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return table_, (seen.get.get("n"), seen.get.get("h"))
 
-    def mark(df: DataFrame):
-        return tuple(
-            df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        )
-
-    seen = mark(cur)
+    cur, seen = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     if not seen[0]:
         return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(rounds):
@@ -68,8 +65,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
             .select(F.col("e.u").alias("u"), F.col("e.m").alias("v"))
             .where("u <> v")
         ).distinct()
-        new = materialize(small)
-        now = mark(new)
+        new, now = stored(small)
         remove(cur)
         cur = new
         if now == seen:

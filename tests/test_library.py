@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.functions import documents, linear
-from trussline.operators import clash, geometry, graph, packing, partition, penetration, scenes, spatial, tree
+from trussline.operators import clash, frames, geometry, graph, packing, partition, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
 from trussline.sources import container, ifc, readers, store
 from trussline.streaming import jobs
@@ -435,6 +435,62 @@ def test_tree_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "t/idMap")).count() == 6
 
 
+@pytest.mark.parametrize("most", [1 << 20, 700, 10])
+def test_nested_trees(spark, most):
+    """All nodes are in one document or another, children in order; the bound cuts, and what is cut is counted."""
+    rows = [("r", "1", "transformation", "root", [])] + [(f"t{k}", f"1{k}", "transformation", f"T{k % 2}", ["r"]) for k in range(4)]
+    rows += [(f"m{k}", f"2{k}", "mesh", ["b", "a", 'q"\\', "z (IFC Space)", ""][k % 5], [f"t{k % 3}"]) for k in range(15)]
+    nodes = spark.createDataFrame(rows, "shared_id string, _id string, type string, name string, parents array<string>").withColumn("hidden", F.lit(False))
+    meta = spark.createDataFrame([("x2", ["t1", "m4"]), ("x1", ["t1"])], "_id string, parents array<string>")
+    docs = tree.tree_documents(nodes, tree.toggle_states(nodes), "acc", "pro", meta, most).collect()
+    seen, kids = {}, {}
+
+    def visit(doc, parent):
+        assert doc["shared_id"] not in seen and (doc["account"], doc["project"]) == ("acc", "pro")
+        seen[doc["shared_id"]] = (doc.get("name", ""), doc["type"], doc["toggleState"], doc.get("meta", []), parent)
+        kids[doc["shared_id"]] = [c["shared_id"] for c in doc.get("children", [])]
+        for c in doc.get("children", []):
+            visit(c, doc["shared_id"])
+
+    for d in docs:
+        whole = json.loads(d.tree)
+        assert whole["shared_id"] == d.shared_id and len(d.tree) <= most + 400
+        visit(whole, d.parent)
+    names = {r[0]: r for r in rows}
+    assert {k: (v[0], v[1], v[4]) for k, v in seen.items()} == {r[0]: (r[3], r[2], r[4][0] if r[4] else None) for r in rows}
+    assert seen["t1"][3] == ["x1", "x2"] and seen["m4"][3] == ["x2"] and seen["m3"][2] == "invisible" and seen["t0"][2] == "parentOfInvisible" and seen["t3"][2] == "visible"
+    for own in kids.values():
+        assert own == sorted(own, key=lambda s: ("(IFC Space)" not in names[s][3], names[s][3], s))
+    assert len(docs) == 1 if most > 10_000 else len(docs) > 1
+    assert tree.tree_documents(nodes.limit(0), tree.toggle_states(nodes.limit(0))).count() == 0
+
+
+def test_sequences(spark, tmp_path):
+    """Intervals, deltas and buffers of a small animation; a second commit replaces the first."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = [("COLOR", 1, 1, "a", 4), ("COLOR", 1, 4, None, None), ("CLIP", 2, 1, "x", 2), ("CLIP", 2, 2, "x", None), ("COLOR", 3, 9, "late", None), ("CLIP", 5, 3, "between", 3)]
+    found = spark.createDataFrame(rows, "kind string, resource long, frame int, state string, until int")
+    line = spark.createDataFrame([(f,) for f in (1, 2, 4, 4, 7)], "frame int")
+    held = lambda f: {(k, r, s) for k, r, low, s, high in rows if s and low <= f and (high is None or f < high)}
+    got = {}
+    for r in frames.cache(found, line).collect():
+        got.setdefault(r.frame, set()).add((r.kind, r.resource, r.state))
+    assert got == {f: held(f) for f in (1, 2, 4, 7)}
+    frames.commit_sequence(found, line, str(tmp_path / "s"), "one", "old")
+    frames.commit_sequence(found, line, str(tmp_path / "s"), "one", "new", found)
+    frames.commit_sequence(found.where("frame < 3"), line, str(tmp_path / "s"), "two", "other")
+    read = lambda t: spark.read.parquet(str(tmp_path / "s" / t))
+    assert sorted((r.sequence, r.name, r.first, r.last, r.frames) for r in read("sequences").collect()) == [("one", "new", 1, 7, 4), ("two", "other", 1, 7, 4)]
+    named = {r.frame: (r.entries, r.buffer) for r in read("frames").where("sequence = 'one'").collect()}
+    for f in named:
+        assert named[f][0] == len(held(f)) and all((held(f) == held(g)) == (named[f][1] == named[g][1]) for g in named)
+    now, seen = set(), {}
+    for r in read("deltas").where("sequence = 'one'").orderBy("frame", "enters").collect():
+        (now.add if r.enters else now.discard)((r.kind, r.resource, r.state))
+        seen[r.frame] = set(now)
+    assert seen[4] == held(4) and now == held(7) and read("tasks").count() == len(rows)
+
+
 def test_normals_and_flags(spark):
     from trussline.functions import values
 

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.linear import IDENTITY, inverse, is_identity, matrix, multiply
+from ..plans.scratch import materialize
+from .partition import running
 
 CAMERA, CLIP, COLOUR, TRANSFORMATION, VISIBILITY = "CAMERA", "CLIP", "COLOR", "TRANSFORMATION", "VISIBILITY"
 #: Turns between the y-up and the z-up world.
 Z_UP = [1, 0, 0, 0, 0, 0, 1, 0, 0, -1, 0, 0, 0, 0, 0, 1]
 Y_UP = [1, 0, 0, 0, 0, 0, -1, 0, 0, 1, 0, 0, 0, 0, 0, 1]
-#: Distinct frames of an animation that `cache` spreads states over.
-MOST_FRAMES = 1_000_000
 
 
 def to_world(m: Column, offset: list[float], scale: float = 1.0) -> Column:
@@ -60,18 +60,69 @@ def states(tasks: DataFrame) -> DataFrame:
     return kept.select("kind", "resource", "frame", F.col("s.state").alias("state"), until.alias("until"))
 
 
+def positions(times: DataFrame, frames: DataFrame) -> DataFrame:
+    """(frame, position, real): the distinct times of both tables in order; position counts the frames before, real tells a frame."""
+    both = frames.select("frame", F.lit(1).alias("_real")).union(times.select("frame", F.lit(0).alias("_real")))
+    once = both.where("frame is not null").groupBy("frame").agg(F.max("_real").alias("_real"))
+    return materialize(running(once.withColumn("_all", F.lit(0)), ["_all"], ["frame"], {"position": "_real"}).select("frame", "position", (F.col("_real") == 1).alias("real")))
+
+
+def intervals(found: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The states of `found` (as of `states`) as intervals (kind, resource, state, low, high) of positions in the ordered `frames`, high not
+    included (null: to the end), and the table of `positions`.  States that no frame sees are left out."""
+    line = positions(found.select("frame").union(found.select("until")), frames)
+    from_ = line.select("frame", F.col("position").alias("low"))
+    to = line.select(F.col("frame").alias("until"), F.col("position").alias("high"))
+    placed = found.where("state is not null").join(from_, "frame").join(to, "until", "left")
+    last = F.col("high").isNull() | (F.col("low") < F.col("high"))
+    return placed.where(last).select("kind", "resource", "state", "low", "high"), line
+
+
 def cache(found: DataFrame, frames: DataFrame) -> DataFrame:
     """(frame, kind, state, resource): at every one of `frames` the resources that hold a state, one row each.
 
-    `found` is as of `states`; a row lives in the frames from its own to before its next.
+    `found` is as of `states`; a row lives in the frames from its own to before its next.  Its frames are a range of numbers, joined
+    to the ordered frames by equality: nothing looks at frames that a state does not live in.
+    """
+    spans, line = intervals(found, frames)
+    real = line.where("real").select("frame", "position")
+    ends = real.agg(F.max("position").alias("m")).first().m
+    spread = spans.where(F.col("low") <= F.lit(ends)).select("kind", "state", "resource", F.explode(F.sequence("low", F.coalesce(F.col("high") - 1, F.lit(ends)))).alias("position"))
+    return spread.join(real, "position").select("frame", "kind", "state", "resource")
+
+
+def deltas(spans: DataFrame, line: DataFrame) -> DataFrame:
+    """(frame, kind, resource, state, enters): what a frame's cache holds that the one before did not, and the other way round."""
+    changes = spans.select("kind", "resource", "state", F.explode(F.array(F.struct(F.col("low").alias("position"), F.lit(True).alias("enters")), F.struct(F.col("high").alias("position"), F.lit(False).alias("enters")))).alias("c"))
+    real = line.where("real").select("frame", "position")
+    return changes.select("kind", "resource", "state", "c.*").join(real, "position").select("frame", "kind", "resource", "state", "enters")
+
+
+def buffers(spans: DataFrame, line: DataFrame) -> DataFrame:
+    """(frame, position, entries, buffer): how many states a frame's cache holds, and a name that equal caches share.
+
+    The name is a sum of hashes that each state adds when it enters and takes away when it leaves, so that no cache is put together.
     """
-    many = frames.select("frame").distinct()
-    if (n := many.count()) > MOST_FRAMES:
-        raise ValueError(f"{n} frames are more than {MOST_FRAMES}")
-    line = many.agg(F.array_sort(F.collect_list("frame")).alias("_frames"))  # one row of at most MOST_FRAMES times
-    lived = found.where("state is not null").join(F.broadcast(line))
-    alive = F.filter("_frames", lambda f: (f >= F.col("frame")) & (F.col("until").isNull() | (f < F.col("until"))))
-    return lived.select(F.explode(alive).alias("frame"), "kind", "state", "resource")
+    low, high = (F.xxhash64("kind", "resource", "state", F.lit(k)).cast("decimal(20,0)") for k in (1, 2))
+    sign = F.when(F.col("enters"), 1).otherwise(-1)
+    each = deltas(spans, line).groupBy("frame").agg(F.sum(sign).alias("n"), F.sum(low * sign).alias("a"), F.sum(high * sign).alias("b"))
+    rows = line.where("real").select("frame", "position").join(each, "frame", "left").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("n", "a", "b")})
+    summed = running(rows.withColumn("_all", F.lit(0)), ["_all"], ["position"], {"_n": "n", "_a": "a", "_b": "b"})
+    text = F.concat_ws("-", *((F.col(f"_{c}") + F.col(c)).cast("string") for c in ("n", "a", "b")))
+    return summed.select("frame", "position", (F.col("_n") + F.col("n")).cast("long").alias("entries"), F.sha2(text, 256).alias("buffer"))
+
+
+def commit_sequence(found: DataFrame, frames: DataFrame, path: str, sequence: str, name: str, tasks: DataFrame | None = None) -> None:
+    """Writes a sequence below `path` as tables partitioned by its id, which a second commit of the same id replaces: `sequences` (name, first and last
+    frame, number of frames), `frames` (frame, buffer), `deltas` (what each frame changes; a buffer is their sum up to a frame
+    that has it) and, if given, `tasks`."""
+    spans, line = intervals(found, frames)
+    spans = materialize(spans)
+    listed = materialize(buffers(spans, line))
+    whole = listed.agg(F.min("frame").alias("first"), F.max("frame").alias("last"), F.count("*").alias("frames")).withColumn("name", F.lit(name))
+    for table, rows in (("deltas", deltas(spans, line)), ("tasks", tasks), ("frames", listed.select("frame", "entries", "buffer")), ("sequences", whole)):
+        if rows is not None:
+            rows.write.mode("overwrite").parquet(f"{path}/{table}/sequence={sequence}")
 
 
 def timeline(tasks: DataFrame, start: Column | None = None) -> DataFrame:

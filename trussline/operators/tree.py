@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .graph import paths
 
 SPACE = "(IFC Space)"
@@ -43,40 +43,62 @@ def model_properties(nodes: DataFrame) -> DataFrame:
     return hidden(nodes).select(F.col("shared_id").alias("hidden_node"))
 
 
-def tree_documents(nodes: DataFrame, states: DataFrame, depth: int) -> DataFrame:
-    """Nested JSON of the subtree below every node at `depth` of the tree, one row each.
+#: Bytes of children's text that a document holds.
+MOST_BYTES = 64 << 20
 
-    A whole scene's text has no bound, so it is cut at a depth whose subtrees fit a task; deeper
-    calls give smaller documents.  Siblings: spaces first, then by name and id.
-    """
-    routes = paths(nodes).withColumn("head", F.get("ids", F.lit(depth))).where("head is not null")
-    flat = routes.join(nodes.select("shared_id", "name", "type", F.get("parents", F.lit(0)).alias("parent")), "shared_id").join(states, "shared_id")
-
-    def nest(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["name", "shared_id"]).to_dict("records")
-        rows.sort(key=lambda r: SPACE not in (r["name"] or ""))
-        below: dict = {}
-        for r in rows:
-            below.setdefault(r["parent"], []).append(r)
-
-        def build(r) -> dict:
-            out = {"_id": r["shared_id"], "name": r["name"], "type": r["type"], "path": r["path"], "toggleState": r["state"]}
-            if r["shared_id"] in below:
-                out["children"] = [build(c) for c in below[r["shared_id"]]]
-            return out
 
-        head = pdf["head"].iloc[0]
-        top = next(r for r in rows if r["shared_id"] == head)
-        return pd.DataFrame({"shared_id": [head], "tree": [json.dumps(build(top))]})
+def _text(**columns) -> Column:
+    """The inside of a JSON object of these columns; nulls are left out."""
+    return F.regexp_extract(F.to_json(F.struct(*(F.coalesce(c, F.lit(None).cast("string")).alias(k) for k, c in columns.items()))), r"(?s)^\{(.*)\}$", 1)
 
-    return flat.select("head", "shared_id", "name", "type", "parent", "path", "state").groupBy("head").applyInPandas(nest, "shared_id string, tree string")
 
+def tree_documents(nodes: DataFrame, states: DataFrame, account: str = "", project: str = "", metadata: DataFrame | None = None, most: int = MOST_BYTES, routes: DataFrame | None = None) -> DataFrame:
+    """(shared_id, parent, tree): the nested JSON of the scene, a document a row.
 
-def write_documents(nodes: DataFrame, path: str, depth: int = 0) -> None:
+    Documents are folded from the deepest level up, a grouped aggregate a level: a node's text holds those of its children, spaces
+    first, then by name and id.  Where the children's text would be above `most` bytes (summed first), each stays a document of
+    its own, `parent` names their node, and its text counts them as `cutChildren`.  So no row is above the bound by more than a
+    node's own text, a node may have any number of children, and a scene that is small enough is one document.
+    `metadata` (_id, parents) is listed at the nodes it belongs to.
+    """
+    routes = paths(nodes) if routes is None else routes
+    own = routes.join(nodes.select("shared_id", "_id", "name", "type", F.get("parents", F.lit(0)).alias("parent")), "shared_id").join(states, "shared_id")
+    listed = None
+    if metadata is not None:
+        quoted = F.transform(F.array_sort(F.collect_list("_id")), lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+        listed = metadata.select("_id", F.explode("parents").alias("shared_id")).groupBy("shared_id").agg(F.concat(F.lit(',"meta":['), F.array_join(quoted, ","), F.lit("]")).alias("_meta"))
+    own = own.join(listed, "shared_id", "left") if listed is not None else own.withColumn("_meta", F.lit(None).cast("string"))
+    head = _text(account=F.lit(account), project=F.lit(project), type=F.col("type"), name=F.nullif("name", F.lit("")), path=F.col("path"), _id=F.col("_id"), shared_id=F.col("shared_id"))
+    tail = F.concat(F.coalesce("_meta", F.lit("")), F.lit(","), _text(toggleState=F.col("state")))
+    rows = materialize(own.select("shared_id", "parent", (F.size("ids") - 1).alias("depth"), F.when(F.contains("name", F.lit(SPACE)), 0).otherwise(1).alias("rank"), "name", head.alias("head"), tail.alias("tail")))
+    deepest = rows.agg(F.max("depth")).first()[0]
+    done, below = [], None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        if below is None:
+            inside = F.lit("")
+        else:
+            sizes = below.groupBy("parent").agg(F.sum(F.octet_length("tree") + 1).alias("bytes"), F.count("*").alias("n")).withColumnRenamed("parent", "_of")
+            sizes = materialize(sizes)
+            fit = below.join(sizes.where(F.col("bytes") <= most).select("_of"), F.col("parent") == F.col("_of")).drop("_of")
+            done.append(below.join(sizes.where(F.col("bytes") > most).select("_of"), F.col("parent") == F.col("_of")).select("shared_id", "parent", "tree"))
+            listed_ = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name", "shared_id", "tree"))), lambda c: c["tree"])
+            joined = fit.groupBy(F.col("parent").alias("_p")).agg(F.concat(F.lit(',"children":['), F.array_join(listed_, ","), F.lit("]")).alias("_children"))
+            level = level.join(joined, F.col("shared_id") == F.col("_p"), "left").join(sizes.where(F.col("bytes") > most), F.col("shared_id") == F.col("_of"), "left")
+            inside = F.coalesce(F.col("_children"), F.concat(F.lit(',"cutChildren":'), F.col("n").cast("string")), F.lit(""))
+        text = F.concat(F.lit("{"), F.col("head"), inside, F.col("tail"), F.lit("}"))
+        below = materialize(level.select("shared_id", "parent", "rank", "name", text.alias("tree")))
+    if below is None:
+        return rows.select("shared_id", "parent", F.col("head").alias("tree"))
+    return reduce(DataFrame.union, done, below.select("shared_id", "parent", "tree"))
+
+
+def write_documents(nodes: DataFrame, path: str, account: str = "", project: str = "", most: int = MOST_BYTES) -> None:
     """Writes fulltree, tree_path, idMap, idToMeshes and, if something is hidden, modelProperties as
     JSON lines in folders of these names."""
     routes = paths(nodes)
-    tree_documents(nodes, toggle_states(nodes, routes), depth).select("tree").write.text(f"{path}/fulltree")
+    routes = materialize(routes)
+    tree_documents(nodes, toggle_states(nodes, routes), account, project, most=most, routes=routes).select("tree").write.text(f"{path}/fulltree")
     routes.select("shared_id", "path").write.json(f"{path}/tree_path")
     id_map(nodes).write.json(f"{path}/idMap")
     id_to_meshes(nodes, routes).write.json(f"{path}/idToMeshes")

@@ -63,6 +63,28 @@ def frame_cache_sets(spark, sf):
     return frames.cache(frames.states(t), t)
 
 
+@query(f"""WITH {_TASKS}, f AS (SELECT DISTINCT frame FROM t), c AS (SELECT f.frame, kind, state, resource FROM f LEFT JOIN states s ON f.frame >= s.frame AND (until IS NULL OR f.frame < until) AND state IS NOT NULL),
+b AS (SELECT frame, count(state) AS entries, coalesce(string_agg(kind || ':' || coalesce(CAST(resource AS VARCHAR), '') || ':' || state, ',' ORDER BY kind, resource, state), '') AS held FROM c GROUP BY 1)
+SELECT frame, entries, min(frame) OVER (PARTITION BY held) AS first_alike FROM b""")
+def sequence_buffers(spark, sf):
+    """How many states each frame's cache holds, and the first frame with the same cache."""
+    t = _tasks(spark, sf)
+    found = frames.buffers(*frames.intervals(frames.states(t), t))
+    firsts = found.groupBy("buffer").agg(F.min("frame").alias("first_alike"))
+    return found.join(firsts, "buffer").select("frame", "entries", "first_alike")
+
+
+@query(f"""WITH {_TASKS}, f AS (SELECT frame, lag(frame) OVER (ORDER BY frame) AS before FROM (SELECT DISTINCT frame FROM t)), c AS (SELECT f.frame, kind, state, resource FROM states s JOIN f ON f.frame >= s.frame AND (until IS NULL OR f.frame < until) WHERE state IS NOT NULL),
+p AS (SELECT f.frame, kind, state, resource FROM c JOIN f ON f.before = c.frame)
+SELECT frame, kind, resource, state, true AS enters FROM (SELECT * FROM c EXCEPT SELECT * FROM p) UNION ALL SELECT frame, kind, resource, state, false FROM (SELECT * FROM p EXCEPT SELECT * FROM c)""")
+def sequence_deltas(spark, sf):
+    """What each frame changes in the cache; a state that a task sets again stays."""
+    t = _tasks(spark, sf)
+    d = frames.deltas(*frames.intervals(frames.states(t), t))
+    sign = F.sum(F.when(F.col("enters"), 1).otherwise(-1))
+    return d.groupBy("frame", "kind", "resource", "state").agg(sign.alias("n")).where("n <> 0").select("frame", "kind", "resource", "state", (F.col("n") > 0).alias("enters"))
+
+
 @query("SELECT DISTINCT date_trunc('day', ts) AS frame, false AS initial FROM events UNION ALL SELECT TIMESTAMP '2023-12-31', true")
 def frame_timeline(spark, sf):
     return frames.timeline(table(spark, sf, "events").select(F.date_trunc("day", "ts").alias("frame")), F.lit("2023-12-31").cast("timestamp_ntz"))

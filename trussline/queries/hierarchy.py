@@ -139,10 +139,31 @@ def hidden_nodes(spark, sf):
     return tree.model_properties(nodes(spark, sf))
 
 
-@query()
+_TREE_BYTES = 30_000
+
+
+def _json_sql(depth: int) -> str:
+    """Tables l4 to l0 of the documents of each level, bottom up, as text is cut."""
+    own = """'{"account":"a","project":"p","type":"' || type || CASE WHEN name <> '' THEN '","name":"' || name ELSE '' END || '","path":"' || path || '","_id":"id-' || shared_id || '","shared_id":"' || shared_id || '"'"""
+    end = """',"toggleState":"' || state || '"}'"""
+    out = [f"l{depth} AS (SELECT shared_id, parent, name, rank, {own} || {end} AS tree FROM n WHERE depth = {depth})"]
+    for k in range(depth - 1, -1, -1):
+        below = f"l{k + 1}"
+        out.append(f"s{k} AS (SELECT parent, sum(strlen(tree) + 1) AS bytes, count(*) AS c, string_agg(tree, ',' ORDER BY rank, name, shared_id) AS t FROM {below} GROUP BY 1)")
+        inside = f"""coalesce(CASE WHEN bytes <= {_TREE_BYTES} THEN ',"children":[' || t || ']' ELSE ',"cutChildren":' || c END, '')"""
+        out.append(f"l{k} AS (SELECT n.shared_id, n.parent, name, rank, {own} || {inside} || {end} AS tree FROM n LEFT JOIN s{k} s ON s.parent = n.shared_id WHERE depth = {k})")
+    cut = " UNION ALL ".join(f"SELECT l.shared_id, l.parent, tree FROM l{k + 1} l JOIN s{k} s ON s.parent = l.parent WHERE bytes > {_TREE_BYTES}" for k in range(depth))
+    return ", ".join(out) + f" SELECT shared_id, parent, tree FROM l0 UNION ALL {cut}"
+
+
+@query(f"""{TREE_SQL}, above AS (SELECT DISTINCT unnest(ids[:-2]) AS shared_id FROM tree WHERE {_HIDDEN}),
+n AS (SELECT t.shared_id, CASE WHEN len(ids) > 1 THEN ids[-2] END AS parent, type, name, path, depth, CASE WHEN contains(name, '(IFC Space)') THEN 0 ELSE 1 END AS rank,
+ CASE WHEN {_HIDDEN} THEN 'invisible' WHEN a.shared_id IS NOT NULL THEN 'parentOfInvisible' ELSE 'visible' END AS state FROM tree t LEFT JOIN above a USING (shared_id)),
+{_json_sql(4)}""")
 def selection_tree_json(spark, sf):
+    """The scene as nested documents of about 30,000 bytes at most."""
     n = nodes(spark, sf)
-    return tree.tree_documents(n, tree.toggle_states(n), 2)
+    return tree.tree_documents(n, tree.toggle_states(n), "a", "p", most=_TREE_BYTES)
 
 
 @query("SELECT CAST(NULL AS VARCHAR) AS shared_id, CAST(NULL AS VARCHAR) AS change WHERE false UNION ALL SELECT 'O' || o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'removed' ELSE 'modified' END FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 UNION ALL SELECT 'new', 'added'")

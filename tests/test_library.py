@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from trussline.functions import documents, linear
 from trussline.operators import clash, frames, geometry, graph, packing, partition, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
-from trussline.sources import container, ifc, readers, store
-from trussline.streaming import jobs
+from trussline.sources import container, files, ifc, readers, store
+from trussline.streaming import jobs, outbox
 
 
 @pytest.fixture(scope="module")
@@ -146,8 +146,9 @@ def gaps(a, b):
     return [max(a[1 + k] - b[4 + k], b[1 + k] - a[4 + k], 0.0) for k in range(3)]
 
 
-@pytest.mark.parametrize("cell", [0.02, 0.5, None])
-def test_box_joins(spark, cell):
+@pytest.mark.parametrize(("cell", "few"), [(0.02, 0), (0.5, 0), (None, 0), (None, spatial.FEW)])
+def test_box_joins(spark, monkeypatch, cell, few):
+    monkeypatch.setattr(spatial, "FEW", few)
     a, b = random_boxes(120, 1), [*random_boxes(100, 2), (999, -5.0, -5.0, -5.0, 5.0, 5.0, 5.0)]
     da, db = spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX)
     hit = [(r.a_id, r.b_id) for r in spatial.overlap_join(da, db, cell).collect()]
@@ -157,7 +158,8 @@ def test_box_joins(spark, cell):
     assert spatial.overlap_join(da.limit(0), db, cell).count() == 0
 
 
-def test_box_join_plan_has_no_nested_loop(spark):
+def test_box_join_plan_has_no_nested_loop(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "FEW", 0)
     d = spark.createDataFrame(random_boxes(10, 1), BOX)
     plan = spatial.overlap_join(d, d, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -617,3 +619,63 @@ def test_containers(spark, tmp_path):
         list(container.rows("x", gzip.compress(b"BIM009" + bytes(100))))
     with pytest.raises(ValueError, match="data ends within"):
         list(container.rows("x", container.packed(tree, data[:at])))
+
+
+def test_files_and_references(spark, tmp_path):
+    """Upload, re-upload, delete, and crashes between the steps."""
+    path = str(tmp_path / "store")
+    some = lambda *rows: spark.createDataFrame([(i, bytearray(b), {"n": i}) for i, b in rows], "_id string, content binary, metadata map<string,string>")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "_id string")
+    read = lambda *x: {r._id: bytes(r.content) for r in files.load(ids(*x), path).collect()}
+    assert files.references(spark, path).count() == 0 and files.sweep(spark, path) == 0
+    files.upload(some(("a", b"1"), ("b", b"22"), ("c", b"")), path)
+    assert read("a", "b", "c", "no") == {"a": b"1", "b": b"22", "c": b""}
+    files.upload(some(("a", b"new")), path)
+    assert read("a") == {"a": b"new"} and files.unreferenced(spark, path).count() == 1
+    lost = files.put(some(("b", b"never told")), path)  # a crash before the reference
+    assert read("b") == {"b": b"22"} and files.sweep(spark, path, before=3) == 1 and files.unreferenced(spark, path).count() == 1
+    files.tell(lost, path)  # it went on after all
+    assert read("b") == {"b": b"never told"}
+    assert {r._id: r.found for r in files.delete(ids("b", "no"), path).collect()} == {"b": True, "no": False}
+    assert read("b") == {} and {r._id for r in files.references(spark, path).collect()} == {"a", "c"}
+    files.upload(some(("b", b"again")), path)
+    assert files.sweep(spark, path) == 2 and read("a", "b", "c") == {"a": b"new", "b": b"again", "c": b""}
+    (tmp_path / "store/files").rename(tmp_path / "store/files-new")  # a crash between the renames of a sweep
+    files.recover(spark, path)
+    assert read("a", "b") == {"a": b"new", "b": b"again"}
+    import shutil
+
+    shutil.rmtree(tmp_path / "store/files")
+    with pytest.raises(Exception, match="no file for reference"):
+        read("a")
+
+
+def test_results_are_sent_once(spark, tmp_path):
+    """A batch that fails half way is handled again and sends one result a job; a finished one that is handed out again sends none."""
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    (inbox / "1.txt").write_text("import -f a.ifc\nprocessClash t c k\nnonsense\nimport -f crash.ifc\nimport -f a.ifc\n")
+    calls = []
+
+    def imports(jobs):
+        calls.append(sorted(r.argument for r in jobs.collect()))
+        return jobs.where("argument <> 'crash.ifc'").select("job", F.lit(0).alias("value"))
+
+    def clashes(jobs):
+        if len(calls) == 1:
+            raise RuntimeError("lost")
+        return jobs.select("job", F.lit(7).alias("value"))
+
+    run = lambda: outbox.work(jobs.job_stream(spark, str(inbox)).withColumn("job", F.sha2("value", 256)), {"import": imports, "processClash": clashes}, str(tmp_path / "out"), str(tmp_path / "check"))
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert {r.kind for r in outbox.messages(spark, str(tmp_path / "out")).collect()} == {"status"}
+    run()
+    want = [("clash", 7), ("import", 0), ("import", outbox.CRASHED), (None, outbox.UNKNOWN)]
+    results = lambda: sorted(((r.type, r.value) for r in outbox.messages(spark, str(tmp_path / "out")).where("kind = 'result'").collect()), key=str)
+    assert results() == sorted(want, key=str) and calls == [["a.ifc", "crash.ifc"]] * 2
+    outbox.handle({"import": imports, "processClash": clashes}, str(tmp_path / "out"))(jobs.decode(spark.createDataFrame([("import -f a.ifc", "x")], "message string, job string")), 0)
+    assert len(calls) == 2 and results() == sorted(want, key=str)
+    (inbox / "2.txt").write_text("import -f a.ifc\nimport -f b.ifc\n")  # delivered again in a later batch
+    run()
+    assert len(results()) == 5

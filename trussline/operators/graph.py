@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.linear import IDENTITY, matrix, multiply
-from ..plans.scratch import materialize
+from ..plans.scratch import counted, materialize
 
 MAX_DEPTH = 256
 
@@ -40,8 +40,8 @@ def walk(start: DataFrame, step, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Union of start, step(start), step(step(start)), ... until a level has no rows."""
     levels = [materialize(start)]
     while len(levels) <= max_depth:
-        following = materialize(step(levels[-1]))
-        if following.isEmpty():
+        following, n = counted(step(levels[-1]))
+        if not n:
             return reduce(DataFrame.unionByName, levels)
         levels.append(following)
     raise RecursionError(f"deeper than {max_depth} levels: is there a cycle?")

@@ -3,18 +3,17 @@
 An item (a line, a document's set of shingles) is filed under a few block keys.  All pairs of a block would be
 a square, and most of them lie within one class, where they tell nothing new.  So:
 
-1. In each block every item meets the block's head.  Verified links give classes: a group of near copies is
-   a star around its head.  Filings are dealt by block once.  A block that a sample shows to be large is dealt in `PARTS` parts,
+1. In each block every item meets the block's `HEADS` heads.  Verified links give classes: a group of near copies is
+   stars around its heads.  Filings are dealt by block once.  A block that a sample shows to be large is dealt in `PARTS` parts,
    whose heads meet again, so no block is one task's work.
-2. What is left are pairs of different classes in one block.  Where more than `FEW` items lie outside a block's largest
-   class, they meet some of that class first, `REPS` at a time, as long as that joins any and many are left, in `ROUNDS` rounds at most.
-3. Then a block that holds at most `FEW` items outside its largest class has these meet all others of the block.
-4. In blocks with more of them (a template that many unlike items share) items meet exactly: by prefix filtering, under
+2. What is left are pairs of different classes in one block.  A block that holds, besides its largest class, at most `FEW` items
+   has these meet all others of the block.
+3. In blocks with more of them (a template that many unlike items share) items meet exactly: by prefix filtering, under
    their rarest tokens, so many that any two which are similar enough share one of them, and where what follows the shared token
    could still be enough.  A token's items again meet only across classes, and those outside its largest class meet all.
 
 So no pair of a block that could join two classes is left out, whatever the block's size, and the classes do not depend on what
-else the table holds: parts, rounds and `FEW` choose between ways of finding the same classes.  Rows that meet grow with the
+else the table holds: parts, heads and `FEW` choose between ways of finding the same classes.  Rows that meet grow with the
 filings, but for tokens that are the rarest of many unlike items.  Tables that meet are stored first, so that
 Spark splits a block that holds many rows over several tasks.
 """
@@ -30,8 +29,8 @@ from .common import components, materialize, small
 
 #: Items outside a block's largest class that meet all its items; beyond, its items meet under their rarest tokens.
 FEW = 4
-#: Members of the largest class that the others of a block meet in a round; rounds; and filings of crowded blocks that a round is worth.
-REPS, ROUNDS, WORTH = 4, 3, 20_000
+#: Items of a block that all others meet first: those of least hash under as many seeds.
+HEADS = 4
 #: Blocks are counted on one item of `EVERY`; those with more than 1 / MOST of the counted filings, MOST at most, are dealt in `PARTS`.
 EVERY, MOST, PARTS = 16, 2_000, 64
 
@@ -52,8 +51,12 @@ def _apart(a: str, b: str, alike: Callable[[str, str], Column]) -> Column:
 
 
 def _met(items: DataFrame) -> DataFrame:
-    """Filings in blocks of more than one item: the item a, the head b of its block (or of its part), _key, and _filed, which
+    """Filings in blocks of more than one item: the item a, the heads b of its block (or of its part), _key, and _filed, which
     is false for the further rows in which heads of parts meet."""
+
+    def heads(item: str) -> Column:
+        return F.array_distinct(F.transform(F.array(*(F.min(F.struct(F.xxhash64(f"{item}._id", F.lit(k)).alias("_h"), F.col(item).alias("b"))) for k in range(HEADS))), lambda h: h["b"]))
+
     own = [c for c in items.columns if c != "_keys"]
     filed = items.select(F.struct(*own).alias("a"), F.explode("_keys").alias("_key"))
     counted = items.where(F.pmod("_id", F.lit(EVERY)) == 0).select(F.explode("_keys").alias("_key"))
@@ -61,12 +64,12 @@ def _met(items: DataFrame) -> DataFrame:
     hot = materialize(counted.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > least).select(F.col("_key").alias("_hot")))  # MOST rows at most
     parts = filed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod("a._id", F.lit(PARTS))))
     block = Window.partitionBy("_key", "_part")
-    head = F.min(F.struct(F.xxhash64("a._id").alias("_h"), "a")).over(block)
-    headed = parts.select("a", "_key", "_part", head.getField("a").alias("b"), F.count("*").over(block).alias("n")).where("n > 1 or _part is not null")
+    least = [F.min(F.struct(F.xxhash64("a._id", F.lit(k)).alias("_h"), "a")).over(block).getField("a") for k in range(HEADS)]
+    headed = parts.select("a", "_key", "_part", F.array_distinct(F.array(*least)).alias("b"), F.count("*").over(block).alias("n")).where("n > 1 or _part is not null")
     met = materialize(headed.select("a", "b", "_key", "_part", F.lit(True).alias("_filed")))
-    heads = met.where("_part is not null").groupBy("_key", "_part").agg(F.first("b").alias("a"))
-    firsts = materialize(heads.groupBy("_key").agg(F.min(F.struct(F.xxhash64("a._id").alias("_h"), F.col("a").alias("b"))).getField("b").alias("b")))  # a row a hot block
-    again = heads.join(F.broadcast(firsts), "_key").select("a", "b", "_key", "_part", F.lit(False).alias("_filed"))
+    firsts = met.where("_part is not null").groupBy("_key", "_part").agg(F.first("b").alias("b")).select("_key", "_part", F.explode("b").alias("a"))
+    whole = materialize(firsts.groupBy("_key").agg(heads("a").alias("b")))  # a row a hot block
+    again = firsts.join(F.broadcast(whole), "_key").select("a", "b", "_key", "_part", F.lit(False).alias("_filed"))
     return met.union(again)
 
 
@@ -76,15 +79,6 @@ def _few(rows: DataFrame, alike) -> DataFrame:
     return a.join(b, (F.col("a._key") == F.col("b._key")) & _apart("a", "b", alike) & once).select(*_pair("a._id", "b._id"))
 
 
-def _some(rows: DataFrame, alike, turn: int) -> DataFrame:
-    """Pairs of the items outside their block's largest class with some of that class."""
-    own = [c for c in rows.columns if c not in ("_key", "_of", "_main", "_others", "_class")]
-    picks = [F.min(F.struct(F.xxhash64("_id", F.lit(turn * REPS + k)).alias("_h"), *own)).alias(f"_p{k}") for k in range(REPS)]
-    reps = materialize(rows.where("_class = _main").groupBy("_key").agg(*picks).select(F.col("_key").alias("_block"), F.array_distinct(F.transform(F.array(*(f"_p{k}" for k in range(REPS))), lambda p: F.struct(*(p[c].alias(c) for c in own)))).alias("_reps")))
-    met = rows.where("_class <> _main").alias("a").join(reps, F.col("a._key") == F.col("_block")).select("a.*", F.explode("_reps").alias("b"))
-    return met.select(F.struct(*own).alias("a"), "b").where(alike("a", "b")).select(*_pair("a._id", "b._id")).distinct()
-
-
 def _many(rows: DataFrame, alike, prefixes, least_shared) -> DataFrame:
     """Pairs that share one of their rarest tokens."""
     items = materialize(rows.drop("_key", "_of", "_main", "_others").distinct())
@@ -119,26 +113,13 @@ def classes(
     items with _size tokens have to share at least.
     """
     met = _met(items)
-    star = met.where((F.col("a._id") != F.col("b._id")) & alike("a", "b")).select(*_pair("a._id", "b._id"))
+    star = met.select("a", F.explode("b").alias("b")).where((F.col("a._id") != F.col("b._id")) & alike("a", "b")).select(*_pair("a._id", "b._id"))
     links = materialize(verify(materialize(star.distinct())))
     filed = met.where("_filed").select("a.*", "_key")
 
-    def opened(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The classes so far, and the filings in blocks that hold several."""
-        roots = materialize(components(links, "x", "y"))
-        told = materialize(filed.join(small(roots), F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_id")).drop("node", "root"))
-        return roots, materialize(told.join(small(_largest(told, "_key")), F.col("_key") == F.col("_of")))
-
-    roots, rows = opened(links)
-    for turn in range(ROUNDS):
-        crowded = rows.where(F.col("_others") > FEW)
-        if crowded.count() < WORTH:
-            break
-        more = materialize(verify(materialize(_some(crowded, alike, turn))))
-        if more.isEmpty():
-            break
-        links = links.union(more)
-        roots, rows = opened(links)
+    roots = materialize(components(links, "x", "y"))
+    told = materialize(filed.join(small(roots), F.col("_id") == F.col("node"), "left").withColumn("_class", F.coalesce("root", "_id")).drop("node", "root"))
+    rows = materialize(told.join(small(_largest(told, "_key")), F.col("_key") == F.col("_of")))
     pairs = _few(rows.where(F.col("_others") <= FEW), alike)
     many = rows.where(F.col("_others") > FEW)
     if not many.isEmpty():

@@ -142,6 +142,58 @@ def rechunk(batches: DataFrame, keys: list[str], max_vertices: int, max_faces: i
     return filled(batches, keys, ["v_from"], "part", {"vertices": max_vertices, "faces": max_faces})
 
 
+def split_runs(faces: DataFrame, max_vertices: int, max_faces: int) -> DataFrame:
+    """Cuts meshes into runs of faces: adds piece and local to `faces` (mesh, face, vertices), in the order of face.
+
+    The next piece begins where a face could bring the piece's different vertices above `max_vertices` or where it has `max_faces`; local are the
+    face's vertices, numbered in their piece as they come.  A task reads its sorted faces once and remembers the vertices of the
+    open piece, `max_vertices` at most.
+    """
+    schema = T.StructType([*faces.schema.fields, T.StructField("piece", T.LongType()), T.StructField("local", T.ArrayType(T.LongType()))])
+
+    def fold(batches):
+        mesh, piece, number, seen = None, 0, {}, 0
+        for pdf in batches:
+            pieces, local = [], []
+            for m, corners in zip(pdf["mesh"], pdf["vertices"], strict=True):
+                if m != mesh:
+                    mesh, piece, number, seen = m, 0, {}, 0
+                elif len(number) + len(corners) > max_vertices or seen >= max_faces:
+                    piece, number, seen = piece + 1, {}, 0
+                local.append([number.setdefault(int(v), len(number)) for v in corners])
+                pieces.append(piece)
+                seen += 1
+            yield pdf.assign(piece=pieces, local=local)
+
+    return faces.repartition("mesh").sortWithinPartitions("mesh", "face").mapInPandas(fold, schema)
+
+
+def pieces_of(runs: DataFrame) -> DataFrame:
+    """(mesh, piece, vertices, faces): the sizes of the pieces of `split_runs`."""
+    counts = runs.select("mesh", "piece", F.array_max("local").alias("top")).groupBy("mesh", "piece")
+    return counts.agg((F.max("top") + 1).alias("vertices"), F.count("*").alias("faces"))
+
+
+def rechunk_map(meshes: DataFrame, keys: list[str], pieces: DataFrame, max_vertices: int, max_faces: int) -> DataFrame:
+    """The id map of re-chunked groups: (keys, mesh, piece, index, part, vertices, faces, v_from, t_from).
+
+    `meshes` has keys, mesh, place (its order in the group), vertices and faces; `pieces` those of meshes above a cap.  Meshes
+    in order share a part under both caps; one above a cap has the parts of its pieces for itself.  So a part's number is the
+    number of its bin and what the larger meshes before it have in pieces beyond one, a running total.  index numbers a group's meshes;
+    v_from and t_from are where a piece begins in its part.
+    """
+    large = (F.col("vertices") > max_vertices) | (F.col("faces") > max_faces)
+    binned = materialize(filled(meshes.select(*keys, "mesh", "place", "vertices", "faces"), keys, ["place"], "bin", {"vertices": max_vertices, "faces": max_faces}).withColumn("_large", large))
+    number = pieces.groupBy(F.col("mesh").alias("_m")).agg((F.count("*") - 1).alias("_more"))
+    sized = binned.join(number, (F.col("mesh") == F.col("_m")) & F.col("_large"), "left").withColumn("_more", F.coalesce("_more", F.lit(0))).drop("_m")
+    told = materialize(running(sized, keys, ["place"], {"_ahead": "_more", "index": F.lit(1)}).withColumn("part", F.col("bin") + F.col("_ahead")))
+    whole = told.where("not _large").select(*keys, "mesh", F.lit(0).cast("long").alias("piece"), "index", "part", "vertices", "faces")
+    cut = told.where("_large").drop("vertices", "faces").join(pieces, "mesh").select(*keys, "mesh", "piece", "index", (F.col("part") + F.col("piece")).alias("part"), "vertices", "faces")
+    # a part holds no more than its caps, so its running totals are one task's work
+    before = Window.partitionBy(*keys, "part").orderBy("index", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    return whole.union(cut).withColumns({"v_from": F.coalesce(F.sum("vertices").over(before), F.lit(0)), "t_from": F.coalesce(F.sum("faces").over(before), F.lit(0))})
+
+
 def material_copies(uses: DataFrame, most: int = MATERIAL_USES) -> DataFrame:
     """Adds copy: a material (by checksum) is written again after every `most` uses."""
     return capped(uses, ["checksum"], ["mesh"], most).withColumnRenamed("chunk", "copy")

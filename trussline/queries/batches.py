@@ -149,6 +149,44 @@ def mesh_rechunk(spark, sf):
     return packing.rechunk(offsets, ["customer"], 500_000, 200_000).select("customer", "id", "part")
 
 
+_RUNS = """WITH RECURSIVE f AS (SELECT l_partkey AS mesh, l_orderkey * 8 + l_linenumber AS face, [min(l_suppkey), 100 + l_orderkey % 13, 200 + l_linenumber] AS v FROM lineitem GROUP BY l_partkey, l_orderkey, l_linenumber),
+o AS (SELECT *, row_number() OVER (PARTITION BY mesh ORDER BY face) AS n FROM f),
+r AS (SELECT mesh, face, n, 0 AS piece, v AS seen, 1 AS faces, v FROM o WHERE n = 1
+UNION ALL SELECT o.mesh, o.face, o.n, CASE WHEN len(seen) + 3 > 24 OR faces >= 20 THEN piece + 1 ELSE piece END, CASE WHEN len(seen) + 3 > 24 OR faces >= 20 THEN o.v ELSE list_concat(seen, list_filter(o.v, lambda x: NOT list_contains(seen, x))) END,
+ CASE WHEN len(seen) + 3 > 24 OR faces >= 20 THEN 1 ELSE faces + 1 END, o.v FROM r JOIN o ON o.mesh = r.mesh AND o.n = r.n + 1)"""
+
+
+def _runs(spark, sf):
+    """Order lines as faces of their part, cut at 24 vertices and 20 faces."""
+    c = F.col
+    lines = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("s"))
+    faces = lines.select(c("l_partkey").alias("mesh"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("face"), F.array(c("s"), 100 + c("l_orderkey") % 13, (200 + c("l_linenumber")).cast("long")).alias("vertices"))
+    return packing.split_runs(faces, 24, 20)
+
+
+@query(f"{_RUNS} SELECT mesh, face, CAST(piece AS BIGINT) AS piece, array_to_string(list_transform(v, lambda x: list_position(seen, x) - 1), ',') AS local FROM r")
+def mesh_split_runs(spark, sf):
+    return _runs(spark, sf).select("mesh", "face", "piece", F.array_join("local", ",").alias("local"))
+
+
+@query(f"""{_RUNS}, pieces AS (SELECT mesh, piece, max(len(seen)) AS vertices, count(*) AS faces FROM r GROUP BY 1, 2),
+m AS (SELECT p_brand AS brand, p_partkey AS mesh, CASE WHEN p_size > 45 THEN 30 ELSE p_size % 11 + 1 END AS vertices, p_size % 7 + 1 AS faces, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)),
+b AS (SELECT brand, mesh, n, vertices, faces, 0 AS bin, vertices AS uv, faces AS uf FROM m WHERE n = 1
+UNION ALL SELECT m.brand, m.mesh, m.n, m.vertices, m.faces, CASE WHEN uv + m.vertices > 24 OR uf + m.faces > 20 THEN bin + 1 ELSE bin END, CASE WHEN uv + m.vertices > 24 OR uf + m.faces > 20 THEN m.vertices ELSE uv + m.vertices END,
+ CASE WHEN uv + m.vertices > 24 OR uf + m.faces > 20 THEN m.faces ELSE uf + m.faces END FROM b JOIN m ON m.brand = b.brand AND m.n = b.n + 1),
+k AS (SELECT mesh, count(*) AS k FROM pieces GROUP BY 1),
+p AS (SELECT brand, mesh, n, vertices, faces, vertices > 24 AS large, bin + coalesce(sum(CASE WHEN vertices > 24 THEN k - 1 ELSE 0 END) OVER (PARTITION BY brand ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM b JOIN k USING (mesh)),
+a AS (SELECT brand, mesh, 0 AS piece, n - 1 AS index, part, vertices, faces FROM p WHERE NOT large UNION ALL SELECT brand, mesh, piece, n - 1, part + piece, c.vertices, c.faces FROM p JOIN pieces c USING (mesh) WHERE large)
+SELECT brand, mesh, CAST(piece AS BIGINT) AS piece, CAST(index AS BIGINT) AS index, CAST(part AS BIGINT) AS part, CAST(vertices AS BIGINT) AS vertices, CAST(faces AS BIGINT) AS faces,
+ CAST(coalesce(sum(vertices) OVER w, 0) AS BIGINT) AS v_from, CAST(coalesce(sum(faces) OVER w, 0) AS BIGINT) AS t_from FROM a WINDOW w AS (PARTITION BY brand, part ORDER BY index, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def mesh_rechunk_map(spark, sf):
+    """Parts of brands re-chunked, those of the largest sizes cut into runs of faces."""
+    size = F.col("p_size")
+    known = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    meshes = table(spark, sf, "part").join(known, "p_partkey", "left_semi").select(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("mesh"), F.col("p_partkey").alias("place"), F.when(size > 45, 30).otherwise(size % 11 + 1).cast("long").alias("vertices"), (size % 7 + 1).cast("long").alias("faces"))
+    return packing.rechunk_map(meshes, ["brand"], packing.pieces_of(_runs(spark, sf)), 24, 20)
+
+
 @query("SELECT o_custkey AS mesh, min('M' || o_orderkey) AS material FROM orders GROUP BY 1")
 def material_first_match(spark, sf):
     m = table(spark, sf, "orders").select(F.concat(F.lit("M"), F.col("o_orderkey").cast("string")).alias("_id"), F.lit("material").alias("type"), F.array("o_custkey").alias("parents"))

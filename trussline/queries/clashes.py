@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from ..operators import clash, geometry, penetration, spatial
+from ..operators import clash, exact, geometry, penetration, spatial
 from .scene import BOXES_SQL, boxes, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -134,6 +134,24 @@ def triangle_intersects(spark, sf):
     return _triangles(spark, sf).select("id", geometry.intersects("s", "t").alias("hit"))
 
 
+@query(f"WITH {BOXES_SQL}, p AS (SELECT a.id AS a_id, b.id AS b_id, a.lo0 <= b.hi0 AND b.lo0 <= a.hi0 AND a.lo1 <= b.hi1 AND b.lo1 <= a.hi1 AND (a.lo2 + a.hi2) / 2 BETWEEN b.lo2 AND b.hi2 AS hit FROM boxes a JOIN boxes b ON b.id = a.id + 1) SELECT a_id, b_id, hit FROM p")
+def crossing_triangles(spark, sf):
+    """A box's middle plane as two triangles against an upright square in the next box, as the exact test has them: the SQL asks their intervals."""
+    b = boxes(spark, sf).drop("composite")
+    a = b.select(*(F.col(c).alias(f"a_{c}") for c in b.columns))
+    pairs = a.join(b.select(*(F.col(c).alias(f"b_{c}") for c in b.columns)), F.col("b_id") == F.col("a_id") + 1)
+    c = F.col
+    level = (c("a_lo2") + c("a_hi2")) / 2
+    corner = lambda x, y: [c(f"a_{x}0"), c(f"a_{y}1"), level]
+    flat = [F.array(*corner("lo", "lo"), *corner("hi", "lo"), *corner(*third)) for third in (("hi", "hi"),)] + [F.array(*corner("lo", "lo"), *corner("hi", "hi"), *corner("lo", "hi"))]
+    wall = lambda x, y, z: [c(f"b_{x}0"), c(f"b_{y}1"), c(f"b_{z}2")]
+    faces = []  # the walls of the other box, two triangles each, and its diagonal planes for what lies within
+    for p, q in ((("lo", "lo"), ("hi", "lo")), (("hi", "lo"), ("hi", "hi")), (("hi", "hi"), ("lo", "hi")), (("lo", "hi"), ("lo", "lo")), (("lo", "lo"), ("hi", "hi")), (("lo", "hi"), ("hi", "lo"))):
+        faces += [F.array(*wall(*p, "lo"), *wall(*q, "lo"), *wall(*q, "hi")), F.array(*wall(*p, "lo"), *wall(*q, "hi"), *wall(*p, "hi"))]
+    tests = pairs.select("a_id", "b_id", F.explode(F.array(*(F.struct(f.alias("s"), w.alias("t")) for f in flat for w in faces))).alias("p"))
+    return tests.select("a_id", "b_id", exact.triangle_test("p.s", "p.t").alias("r")).groupBy("a_id", "b_id").agg(F.max("r.hit").alias("hit"))
+
+
 @query()
 def clearance_clashes(spark, sf):
     """Broadphase on boxes of triangles, then the exact distance of the triangles themselves."""

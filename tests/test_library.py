@@ -430,6 +430,26 @@ def test_settings(spark, tmp_path):
         read_settings(spark, str(tmp_path / "bad.json"))
 
 
+def test_scenes_that_are_not_whole(spark):
+    n = scene(spark)
+    assert graph.root(n).first().shared_id == "r"
+    with pytest.raises(ValueError, match="more than one"):
+        graph.root(n.union(n.where("shared_id = 'r'").withColumn("shared_id", F.lit("r2"))))
+    with pytest.raises(ValueError, match="no root"):
+        graph.root(n.where("shared_id <> 'r'"))
+    meshes = n.where("type = 'mesh'").select("shared_id", F.get("parents", F.lit(0)).alias("parent"))
+    worlds = graph.world_transforms(n)
+    assert graph.in_world(meshes, worlds).where("world is not null").count() == 3
+    with pytest.raises(Exception, match="no transformation above mesh m2"):
+        graph.in_world(meshes, worlds.where("shared_id <> 'b'")).collect()
+    rows = [("x", "i1", "material", ["m1", "m2", "m3"]), ("y", "i0", "material", ["m2"]), ("t", "i2", "texture", ["x"])]
+    look = spark.createDataFrame(rows, "shared_id string, _id string, type string, parents array<string>")
+    assert {r.shared_id: r.material for r in packing.with_material(meshes, look).collect()} == {"m1": "i1", "m2": "i0", "m3": "i1"}
+    with pytest.raises(Exception, match="no material for mesh"):
+        packing.with_material(meshes, look.where("shared_id = 'y'")).collect()
+    assert sorted(tuple(r) for r in graph.textures_of(look, meshes).collect()) == [("m1", "t"), ("m2", "t"), ("m3", "t")]
+
+
 def test_tree_sinks(spark, tmp_path):
     tree.write_documents(scene(spark), str(tmp_path / "t"))
     names = sorted(p.name for p in (tmp_path / "t").iterdir())
@@ -501,6 +521,13 @@ def test_normals_and_flags(spark):
     assert r.n == [1, 0, 0, 0, 0, 1] and r.a and not r.b
 
 
+def test_complex_numbers(spark):
+    from trussline.functions import values
+
+    r = spark.range(1).select(values.complex_number(F.lit(1.5), F.lit(-2.0)).alias("a"), values.complex_number(F.lit(-1.0), F.lit(0.25)).alias("b")).first()
+    assert (r.a, r.b) == ("1.500000-2.000000i", "-1.000000+0.250000i")
+
+
 def test_step_values(spark):
     cases = {
         "$": None, "*": None, "#12": None, '"0F"': None, "()": None, "(#1,#2)": None, ".T.": "true", ".F.": "false", ".U.": "UNKNOWN", ".ELEMENT.": "ELEMENT",

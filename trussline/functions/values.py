@@ -125,7 +125,8 @@ def plane_angle(parts: Column) -> Column:
 
 
 def complex_number(re: Column, im: Column) -> Column:
-    return F.concat(F.format_string("%.6f", re), F.lit("+"), F.format_string("%.6f", im), F.lit("i"))
+    """Both parts with six decimals, each with its own sign."""
+    return F.concat(F.format_string("%.6f", re), F.format_string("%+.6f", im), F.lit("i"))
 
 
 #: Bytes of a vertex or normal, of a uv pair, of an index.

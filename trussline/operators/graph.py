@@ -68,6 +68,29 @@ def roots(nodes: DataFrame) -> DataFrame:
     return nodes.where((F.col("type") == "transformation") & (F.coalesce(F.size("parents"), F.lit(0)) <= 0))
 
 
+def root(nodes: DataFrame) -> DataFrame:
+    """The root of a scene; a scene without one, or with two, raises."""
+    found = materialize(roots(nodes))
+    n = found.limit(2).count()
+    if n != 1:
+        raise ValueError("the scene has no root" if not n else "the scene has more than one root")
+    return found
+
+
+def textures_of(nodes: DataFrame, meshes: DataFrame) -> DataFrame:
+    """(mesh, texture): the textures of the materials of `meshes` (shared_id), a row each; none for a mesh without."""
+    used = children_of(nodes, meshes, "material").select(F.col("parent").alias("mesh"), F.col("shared_id").alias("parent"))
+    textures = edges(nodes.where("type = 'texture'"))
+    return used.join(textures, "parent").select("mesh", F.col("child").alias("texture")).distinct()
+
+
+def in_world(meshes: DataFrame, worlds: DataFrame) -> DataFrame:
+    """`meshes` (with parent) and the world matrix of their parent; a mesh whose parent has none raises."""
+    found = meshes.join(worlds.select(F.col("shared_id").alias("_of"), F.col("world").alias("_world")), F.col("parent") == F.col("_of"), "left")
+    lost = F.raise_error(F.concat(F.lit("no transformation above mesh "), F.col("shared_id"))).cast("array<double>")
+    return found.withColumn("world", F.when(F.col("_of").isNull(), lost).otherwise(F.col("_world"))).drop("_of", "_world")
+
+
 def has_missing_nodes(nodes: DataFrame) -> DataFrame:
     """One row: does a node other than a transformation lack parents, or name one that is not there?"""
     orphan = nodes.where((F.col("type") != "transformation") & (F.coalesce(F.size("parents"), F.lit(0)) <= 0)).select(F.lit(1).alias("x"))

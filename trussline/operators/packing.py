@@ -205,6 +205,13 @@ def first_material(nodes: DataFrame) -> DataFrame:
     return uses.groupBy("mesh").agg(F.min("material").alias("material"))
 
 
+def with_material(meshes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`meshes` (shared_id) and the first material of each; a mesh without one raises."""
+    found = meshes.join(first_material(nodes).select(F.col("mesh").alias("_of"), F.col("material").alias("_material")), F.col("shared_id") == F.col("_of"), "left")
+    lost = F.raise_error(F.concat(F.lit("no material for mesh "), F.col("shared_id"))).cast("string")
+    return found.withColumn("material", F.when(F.col("_of").isNull(), lost).otherwise(F.col("_material"))).drop("_of", "_material")
+
+
 def assets(meshes: DataFrame, keys: list[str]) -> DataFrame:
     """One row a batch: its meshes, vertices, faces and bounds."""
     return meshes.groupBy(*keys).agg(

@@ -84,9 +84,8 @@ def _mesh_boxes(n):
     lo = [(k % 10).cast("double"), (k % 20).cast("double"), (k % 30).cast("double")]
     hi = [c + 1 + (k % 2) for c in lo]
     meshes = n.where("type = 'mesh'").select("shared_id", F.get("parents", F.lit(0)).alias("parent"), *(c.alias(f"lo{i}") for i, c in enumerate(lo)), *(c.alias(f"hi{i}") for i, c in enumerate(hi)))
-    world = graph.world_transforms(n).select(F.col("shared_id").alias("parent"), "world")
     low, high = linear.box_transformed(F.col("world"), [F.col(f"lo{i}") for i in range(3)], [F.col(f"hi{i}") for i in range(3)])
-    return meshes.join(world, "parent").select("shared_id", "parent", *(c.alias(f"lo{i}") for i, c in enumerate(low)), *(c.alias(f"hi{i}") for i, c in enumerate(high)))
+    return graph.in_world(meshes, graph.world_transforms(n)).select("shared_id", "parent", *(c.alias(f"lo{i}") for i, c in enumerate(low)), *(c.alias(f"hi{i}") for i, c in enumerate(high)))
 
 
 _BOXES = TREE_SQL + """, mesh AS (

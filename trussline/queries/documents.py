@@ -166,9 +166,9 @@ def add_parents(spark, sf):
     return store.add_parents(nodes, change).select("_id", F.array_join(F.array_sort("parents"), ",").alias("parents"))
 
 
-@query("SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS _id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def drop_documents(spark, sf):
-    ids = table(spark, sf, "orders").select(F.col("o_custkey").alias("_id")).distinct()
+    ids = table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("_id")).distinct()
     return store.drop_documents(_customers(spark, sf).select("_id", "name"), ids)
 
 

@@ -203,10 +203,12 @@ def metadata_attach_propagate(spark, sf):
     return metadata.propagate(metadata.attach_by_name(n, _meta(spark, sf), exact=False), n, tree.id_to_meshes(n))
 
 
-@query(f"""WITH {NODES_SQL}, leaf AS (SELECT parent FROM nodes WHERE parent IS NOT NULL GROUP BY parent HAVING bool_and(type = 'mesh' AND name = ''))
+@query(f"""WITH {NODES_SQL}, leaf AS (SELECT parent FROM nodes WHERE parent IS NOT NULL GROUP BY parent HAVING bool_and(type = 'mesh' AND name NOT LIKE 'Room%'))
 SELECT 'meta-' || n.parent AS meta_id, n.shared_id AS mesh FROM nodes n JOIN leaf USING (parent)""")
 def leaf_metadata_parents(spark, sf):
-    n = nodes(spark, sf).select("shared_id", "_id", "type", "name", "parents")
+    """Meshes without a name, all but rooms here, take the metadata of a parent that has no other children."""
+    plain = (F.col("type") == "mesh") & ~F.col("name").startswith("Room")
+    n = nodes(spark, sf).select("shared_id", "_id", "type", F.when(plain, "").otherwise(F.col("name")).alias("name"), "parents")
     meta = n.where("shared_id like 'C%'").select(F.concat(F.lit("M"), "shared_id").alias("shared_id"), F.concat(F.lit("meta-"), "shared_id").alias("_id"), F.lit("meta").alias("type"), F.lit("m").alias("name"), F.array("shared_id").alias("parents"))
     return metadata.leaf_parents(n.union(meta))
 
@@ -215,13 +217,14 @@ def leaf_metadata_parents(spark, sf):
 SELECT 'O' || o_orderkey AS mesh, min(t) AS texture FROM orders LEFT JOIN mat ON mesh = 'O' || o_orderkey LEFT JOIN tex USING (m) GROUP BY 1""")
 def texture_for_mesh(spark, sf):
     """Mesh to first material to first texture, along two parent links."""
-    p = table(spark, sf, "part")
     of = lambda prefix, k: F.concat(F.lit(prefix), k.cast("string"))
     k = F.col("p_partkey")
-    materials = p.select(of("mat", k).alias("material"), of("O", k * 3).alias("mesh")).groupBy("mesh").agg(F.min("material").alias("material"))
-    textures = p.select(of("tex", k).alias("texture"), of("mat", k * 2).alias("material")).groupBy("material").agg(F.min("texture").alias("texture"))
-    meshes = table(spark, sf, "orders").select(of("O", F.col("o_orderkey")).alias("mesh"))
-    return meshes.join(materials, "mesh", "left").join(textures, "material", "left").select("mesh", "texture")
+    p = table(spark, sf, "part")
+    node = lambda kind, own, above: p.select(of(own, k).alias("shared_id"), F.lit(kind).alias("type"), F.array(above).alias("parents"))
+    n = node("material", "mat", of("O", k * 3)).union(node("texture", "tex", of("mat", k * 2)))
+    meshes = table(spark, sf, "orders").select(of("O", F.col("o_orderkey")).alias("shared_id"))
+    found = graph.textures_of(n, meshes).groupBy("mesh").agg(F.min("texture").alias("texture"))
+    return meshes.withColumnRenamed("shared_id", "mesh").join(found, "mesh", "left").select("mesh", "texture")
 
 
 @query("SELECT p_brand AS node, p_type AS key, min_by(p_name, CAST(p_size % 3 AS VARCHAR) || p_name) AS value FROM part GROUP BY 1, 2")

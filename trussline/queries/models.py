@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import scratch
-from ..sources import container, ifc
+from ..sources import container, ifc, meshes
 from .scene import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -145,3 +145,16 @@ def container_meshes(spark, sf):
     meshes, _ = container.meshes(found)
     rows = meshes.select("model", "id", "entity", "material", F.posexplode("vertices").alias("nth", "v")).join(container.materials(found).select("model", "material", "opacity"), ["model", "material"])
     return rows.select("model", "id", F.col("entity").cast("int").alias("entity"), "nth", *(F.get("v", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")), "opacity")
+
+
+_OBJ = "o part %d\nusemtl %s\nv %d 0 0\nv %d 1 0\nv %d 1 1\nv 0 0 %d\nf -4 -3 -2 -1"
+
+
+@query("""SELECT 'part ' || p_partkey AS name, p_type AS material, CAST(2 AS BIGINT) AS faces, CAST(4 AS BIGINT) AS vertices, CAST(p_partkey AS DOUBLE) AS widest, CAST(greatest(1, p_size) AS DOUBLE) AS highest FROM part""")
+def obj_groups(spark, sf):
+    """Parts written as groups of OBJ files and read back."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    path = f"{scratch.folder(spark)}/obj-{uuid.uuid4().hex}"
+    p.select(F.format_string(_OBJ, k, "p_type", k, k, k, "p_size")).write.text(path)
+    found = meshes.obj_meshes(spark, path)
+    return found.select("name", "material", "faces", "vertices", F.get("hi", F.lit(0)).alias("widest"), F.get("hi", F.lit(2)).alias("highest"))

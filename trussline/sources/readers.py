@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions.values import guess_cast
 
 #: Extension to reader name; formats that need a proprietary kit are not read here.
-READERS = {".csv": "csv_metadata", ".obj": "obj_mesh", ".ply": "ply_mesh", ".json": "clash_config"}
+READERS = {".csv": "csv_metadata", ".obj": "obj_mesh", ".ply": "ply_mesh", ".json": "clash_config", ".ifc": "ifc", ".stl": "stl_facets", ".bim": "container"}
 
 
 def reader_for(path: str) -> str | None:
@@ -19,6 +19,22 @@ def reader_for(path: str) -> str | None:
     return READERS.get(path[dot:].lower()) if dot >= 0 else None
 
 
+def supported() -> list[str]:
+    """The extensions that are read."""
+    return sorted(READERS)
+
+
+def open_model(spark: SparkSession, path: str) -> DataFrame:
+    """What the reader of the path's extension gives; another extension raises."""
+    from . import container, ifc, meshes
+
+    name = reader_for(path)
+    if name is None:
+        raise ValueError(f"{path} is not read; supported are {', '.join(supported())}")
+    readers = {"csv_metadata": csv_metadata, "obj_mesh": meshes.obj_meshes, "ply_mesh": ply_mesh, "clash_config": clash_config, "ifc": ifc.read, "stl_facets": meshes.stl_facets, "container": container.records}
+    return readers[name](spark, path)
+
+
 def csv_metadata(spark: SparkSession, path: str, delimiter: str = ",", headers: list[str] | None = None) -> DataFrame:
     """One row a line: name (token 0) and metadata [{key, tag, value}], typed by `guess_cast`.
 

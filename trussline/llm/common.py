@@ -76,6 +76,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of so many rows, so that a worker holds the texts and results of few at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shielded(stage):
     """For functions from documents (and more) to documents: columns of theirs that begin with an
     underscore, as the operators' own do, are renamed on the way in and named back on the way out."""

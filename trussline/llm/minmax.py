@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import classes
-from .common import LOWER, materialize, small, table
+from .common import LOWER, materialize, slices, small, table
 
 SEED = 42
 #: Words of a shingle of the query; percent of the union that linked sets share.
@@ -96,7 +96,7 @@ def sketched(docs: DataFrame, text: str, size: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             found = list(map(one, batch.column(at).cast(pa.binary()).to_pylist()))
             cols = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), *cols], names=[*kept, *_COLUMNS])
@@ -108,7 +108,7 @@ def sets(texts: DataFrame, size: int) -> DataFrame:
     """(_id, _set) of a table of one column of texts; empty sets have no row."""
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             found = [h for t in batch.column(0).cast(pa.binary()).to_pylist() if len(h := shingles(t, size))]
             ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))], names=["_id", "_set"])

@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from . import minmax
 from .blocks import classes
-from .common import LOWER, components, materialize, shielded, small, table
+from .common import LOWER, components, materialize, shielded, slices, small, table
 
 SEED = 42
 #: Reference fingerprints; their distances to a fingerprint fill the eight bytes of a long.
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     added = [T.StructField("_id", T.LongType()), T.StructField("_len", T.LongType()), T.StructField("_fp", T.LongType()), T.StructField("_keys", T.ArrayType(T.LongType()))]
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             found = [minmax.shingles(t, SHINGLE) for t in batch.column(at).cast(pa.binary()).to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) if len(h) else 0 for h in found], np.uint64).view(np.int64)
             fps = np.array([majority(h) for h in found], np.uint64).view(np.int64)

@@ -58,15 +58,21 @@ def _met(items: DataFrame) -> DataFrame:
         return F.array_distinct(F.transform(F.array(*(F.min(F.struct(F.xxhash64(f"{item}._id", F.lit(k)).alias("_h"), F.col(item).alias("b"))) for k in range(HEADS))), lambda h: h["b"]))
 
     own = [c for c in items.columns if c != "_keys"]
-    filed = items.select(F.struct(*own).alias("a"), F.explode("_keys").alias("_key"))
+    filed = items.select(*own, F.explode("_keys").alias("_key"))
     counted = items.where(F.pmod("_id", F.lit(EVERY)) == 0).select(F.explode("_keys").alias("_key"))
     least = counted.count() // MOST + 64
     hot = materialize(counted.groupBy("_key").agg(F.count("*").alias("n")).where(F.col("n") > least).select(F.col("_key").alias("_hot")))  # MOST rows at most
-    parts = filed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left").withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod("a._id", F.lit(PARTS))))
-    block = Window.partitionBy("_key", "_part")
-    least = [F.min(F.struct(F.xxhash64("a._id", F.lit(k)).alias("_h"), "a")).over(block).getField("a") for k in range(HEADS)]
-    headed = parts.select("a", "_key", "_part", F.array_distinct(F.array(*least)).alias("b"), F.count("*").over(block).alias("n")).where("n > 1 or _part is not null")
+    by = ["_key"]
+    if not hot.isEmpty():
+        met = filed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
+        filed, by = met.withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod("_id", F.lit(PARTS)))).drop("_hot"), ["_key", "_part"]
+    block = Window.partitionBy(*by)
+    least = [F.min(F.struct(F.xxhash64("_id", F.lit(k)).alias("_h"), F.struct(*own).alias("a"))).over(block).getField("a") for k in range(HEADS)]
+    part = F.col("_part") if len(by) > 1 else F.lit(None).cast("bigint")
+    headed = filed.select(F.struct(*own).alias("a"), "_key", part.alias("_part"), F.array_distinct(F.array(*least)).alias("b"), F.count("*").over(block).alias("n")).where("n > 1 or _part is not null")
     met = materialize(headed.select("a", "b", "_key", "_part", F.lit(True).alias("_filed")))
+    if len(by) == 1:
+        return met
     firsts = met.where("_part is not null").groupBy("_key", "_part").agg(F.first("b").alias("b")).select("_key", "_part", F.explode("b").alias("a"))
     whole = materialize(firsts.groupBy("_key").agg(heads("a").alias("b")))  # a row a hot block
     again = firsts.join(F.broadcast(whole), "_key").select("a", "b", "_key", "_part", F.lit(False).alias("_filed"))

@@ -66,6 +66,7 @@ def _met(items: DataFrame) -> DataFrame:
     if not hot.isEmpty():
         met = filed.join(F.broadcast(hot), F.col("_key") == F.col("_hot"), "left")
         filed, by = met.withColumn("_part", F.when(F.col("_hot").isNotNull(), F.pmod("_id", F.lit(PARTS)))).drop("_hot"), ["_key", "_part"]
+    filed = filed.repartition(*by)  # before the heads' columns are made, which would be dealt too
     block = Window.partitionBy(*by)
     least = [F.min(F.struct(F.xxhash64("_id", F.lit(k)).alias("_h"), F.struct(*own).alias("a"))).over(block).getField("a") for k in range(HEADS)]
     part = F.col("_part") if len(by) > 1 else F.lit(None).cast("bigint")

@@ -268,7 +268,10 @@ def job_stream_available_now(spark, sf):
 SELECT customer, count(*) AS submeshes, CAST(sum(v) AS BIGINT) AS vertices, CAST(sum(v // 2) AS BIGINT) AS faces, min((k * 7) % 1000)::DOUBLE AS lo0, min((k * 11) % 1000)::DOUBLE AS lo1, min((k * 13) % 1000)::DOUBLE AS lo2,
 max((k * 7) % 1000 + 1 + k % 7)::DOUBLE AS hi0, max((k * 11) % 1000 + 1 + k % 5)::DOUBLE AS hi1, max((k * 13) % 1000 + 1 + k % 3)::DOUBLE AS hi2 FROM m GROUP BY 1""")
 def supermesh_assets(spark, sf):
-    return packing.assets(_meshes(spark, sf), ["customer"])
+    """Bounds of a customer's orders, which lie in a cube of their own, a thousand wide."""
+    low = [(F.col("id") * p % 1000).cast("double") for p in (7, 11, 13)]
+    place = {f"{side}{k}": at if side == "lo" else at + 1 + F.col("id") % m for k, (at, m) in enumerate(zip(low, (7, 5, 3), strict=True)) for side in ("lo", "hi")}
+    return packing.assets(_meshes(spark, sf).withColumns(place), ["customer"])
 
 
 @query("SELECT l_suppkey AS layer, l_returnflag AS material, l_linenumber % 2 AS fmt, count(*) AS n FROM lineitem GROUP BY ALL")

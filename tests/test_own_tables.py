@@ -48,3 +48,10 @@ def test_map_of_pieces_that_name_a_vertex_twice(spark, given):
     part = spark.createDataFrame([(1, "B", 50), (2, "B", 49), (3, "B", 7)], "p_partkey long, p_brand string, p_size int")
     got, want = given("mesh_rechunk_map", lineitem=_lines(spark), part=part)
     assert got == want and got
+
+
+def test_drop_takes_the_customers_of_all_orders(spark, given):
+    customer = spark.createDataFrame([(k, f"c{k}", 1, "a", "BUILDING", "1", 0.0, "") for k in (1, 2, 3)], "c_custkey long, c_name string, c_nationkey int, c_address string, c_mktsegment string, c_phone string, c_acctbal double, c_comment string")
+    orders = spark.createDataFrame([(1, 1, "P"), (2, 2, "F")], "o_orderkey long, o_custkey long, o_orderstatus string")
+    got, want = given("drop_documents", customer=customer, orders=orders)
+    assert got == want == [(3, "c3")]

@@ -1,23 +1,28 @@
 """Cutting large groups: running totals in parts, and hierarchies over space cut where a subtree is small enough.
 
 A hierarchy is given by codes: the bits of a space-filling (Morton) curve through a group's boxes, then bits of a
-hash, which part what lies in one spot.  A node is a prefix of such codes, its halves are the two longer ones, so all sums of
-a level are one grouped aggregate, and no group passes through one task.  Levels are taken `STEP` at a time, and only what is
-still above the limit goes on to the next ones.
+hash, which part what lies in one spot.  A node is a prefix of such codes, its halves are the two longer ones.  Nodes of a bounded number of
+rows are one task's work; larger groups are parted by their prefixes, `STEP` levels at a time, so no group passes through one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.scratch import materialize
 
 #: Bits of a code for each axis; a code has three times as many, its hash another `SPACE`.
 AXIS = 20
 SPACE = 3 * AXIS
-#: Levels that one pass sums.
+#: Levels after which a node that is too large for a task is parted, and rows of a task.
 STEP = 12
+TASK = 500_000
 #: Rows of a group that one task orders; running totals of larger groups are taken in parts.
 WHOLE = 1_000_000
 
@@ -74,6 +79,11 @@ def coded(items: DataFrame, keys: list[str], centre: list[Column], id_: str) ->
     return met.select(*(F.col(f"r.{c}") for c in items.columns), code.alias("_code"), F.shiftrightunsigned(F.xxhash64(F.col(f"r.{id_}")), 64 - SPACE).alias("_tail"))
 
 
+def _filled(level: int) -> dict[str, Column]:
+    """A prefix of so many bits, in _code and _tail, filled up with zeros."""
+    return {"_code": F.shiftleft("_code", max(SPACE - level, 0)), "_tail": F.shiftleft("_tail", SPACE - max(level - SPACE, 0))}
+
+
 def _prefix(level: Column) -> Column:
     """The first `level` bits of _code and _tail, as one number a half."""
     head = F.call_function("shiftrightunsigned", F.col("_code"), F.lit(SPACE) - F.least(level, F.lit(SPACE)))
@@ -81,34 +91,98 @@ def _prefix(level: Column) -> Column:
     return F.struct(head.cast("long").alias("head"), tail.cast("long").alias("tail"))
 
 
-def subtrees(items: DataFrame, keys: list[str], measure: str, most: int, distinct: bool = False) -> DataFrame:
-    """(keys, _code, _tail, level, node) of every place of `items` (as of `coded`): the largest node above it whose total is `most` or less.
+def _levels(rows: pd.DataFrame, keys: list[str], base: int, most: int, distinct: bool) -> pd.DataFrame:
+    """The places of `rows` (keys, _code, _tail, _m), whole nodes of level `base`: the first level whose node holds `most` or less, and
+    whether the node of level `base` holds more.
 
-    The total is the sum of `measure` or, if `distinct`, the number of its different values.  A place that is above
-    `most` by itself is a node of its own, at the last level.
+    Places in order make each node a stretch of them; by value, then place, the equal values of a node stand together.
     """
-    place = [*keys, "_code", "_tail"]
+    group = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+    code, tail = rows["_code"].to_numpy(), rows["_tail"].to_numpy()
+    order = np.lexsort((tail, code, group))
+    group, code, tail = group[order], code[order], tail[order]
+    new = np.r_[True, (group[1:] != group[:-1]) | (code[1:] != code[:-1]) | (tail[1:] != tail[:-1])]
+    at, head = np.cumsum(new) - 1, np.flatnonzero(new)
     if distinct:
-        cells = materialize(items.select(*place, F.col(measure).alias("_m")).distinct())
+        value = pd.factorize(rows["_m"], use_na_sentinel=False)[0][order]
+        by = np.lexsort((at, value))
+        at, value = at[by], value[by]
     else:
-        cells = materialize(items.groupBy(*place).agg(F.sum(measure).alias("_m")))
-    told, left, depth = [], cells, 2 * SPACE
-    for low in range(0, depth + 1, STEP):
-        levels = F.sequence(F.lit(low), F.lit(min(low + STEP - 1, depth)))
-        wide = left.select("*", F.explode(levels).alias("level")).withColumn("node", _prefix(F.col("level")))
+        value, told = rows["_m"].fillna(0).to_numpy()[order], rows["_m"].notna().to_numpy()[order]
+    group, code, tail = group[head], code[head], tail[head]
+    level, heavy, place = np.full(len(head), 2 * SPACE, np.int32), np.zeros(len(head), bool), np.arange(len(head))
+    for now in range(base, 2 * SPACE):
+        front, back = code >> max(SPACE - now, 0), tail >> (SPACE - max(now - SPACE, 0))
+        node = np.cumsum(np.r_[True, (group[1:] != group[:-1]) | (front[1:] != front[:-1]) | (back[1:] != back[:-1])]) - 1
+        own = node[at]
         if distinct:
-            total = wide.select(*keys, "level", "node", "_m").distinct().groupBy(*keys, "level", "node").agg(F.count("*").alias("_n"))
+            once = np.r_[True, (value[1:] != value[:-1]) | (own[1:] != own[:-1])]
+            total = np.bincount(own[once], minlength=node[-1] + 1)
+            small = total <= most
+        else:
+            total = np.zeros(node[-1] + 1, value.dtype)
+            np.add.at(total, own, value)
+            small = (total <= most) & (np.bincount(own, told, node[-1] + 1) > 0)
+        if now == base:
+            heavy = (total > most)[node]
+        done = small[node]
+        level[place[done]] = now
+        left = ~done
+        if not left.any():
+            break
+        kept, moved = left[at], np.cumsum(left) - 1
+        at, value = moved[at[kept]], value[kept]
+        told = told[kept] if not distinct else None
+        group, code, tail, place = group[left], code[left], tail[left], place[left]
+    return rows.iloc[order[head]][[*keys, "_code", "_tail"]].assign(level=level, _heavy=heavy)
+
+
+def subtrees(items: DataFrame, keys: list[str], measure: str, most: int, distinct: bool = False, task: int = TASK) -> DataFrame:
+    """(keys, _code, _tail, level, node) of every place of `items` (as of `coded`): the largest node above it whose total is `most` or less.
+
+    The total is the sum of `measure`, which is not negative, or, if `distinct`, the number of its different values.  A place that is above
+    `most` by itself is a node of its own, at the last level.
+
+    Nodes of up to `task` rows are looked through by one task each, several together; larger ones are parted `STEP` levels further on.
+    What such a part holds is no more than what the nodes above it hold, so only parts of `most` or less can have a larger node, and only
+    their rows are summed on the levels above.
+    """
+    place = [*keys, "_code", "_tail"]
+    rows = materialize(items.select(*place, F.col(measure).alias("_m")))
+    depth = 2 * SPACE
+    kinds = T.StructType([*rows.select(*place).schema.fields, T.StructField("level", T.IntegerType()), T.StructField("_heavy", T.BooleanType())])
+    told, left = [], rows
+    for base in range(0, depth + 1, STEP):
+        node = left.withColumn("_node", _prefix(F.lit(base)))
+        now = crowded = None
+        if base < depth:
+            sizes = node.groupBy(*keys, "_node").agg(F.count("*").alias("_rows"))
+            crowded = materialize(sizes.where(F.col("_rows") > task).drop("_rows"))
+            if crowded.isEmpty():
+                crowded, now = None, node
+            else:
+                now = node.alias("r").join(F.broadcast(crowded.alias("o")), equal([*keys, "_node"]), "left_anti")
+            buckets = max(1, 2 * left.count() // task)
+            dealt = now.withColumn("_bucket", F.pmod(F.xxhash64(*keys, "_node"), F.lit(buckets))).drop("_node")
+            found = dealt.repartition(buckets, "_bucket").groupBy("_bucket").applyInPandas(lambda pdf: _levels(pdf, keys, base, most, distinct), kinds)
         else:
-            total = wide.groupBy(*keys, "level", "node").agg(F.sum("_m").alias("_n"))
-        small = materialize(total.where((F.col("_n") <= most) | (F.col("level") == depth)).drop("_n"))
-        places = wide.select(*place, "level", "node").distinct() if distinct else wide
-        found = places.alias("r").join(small.alias("o"), equal([*keys, "level", "node"]), "left_semi").groupBy(*place).agg(F.min(F.struct("level", "node")).alias("h"))
-        found = materialize(found.select(*place, "h.*"))
-        told.append(found)
-        left = materialize(left.alias("r").join(found.alias("o"), equal(place), "left_anti"))
-        if left.isEmpty():
+            total = F.count_distinct(F.struct("_m")) if distinct else F.sum("_m")
+            found = left.groupBy(*place).agg(total.alias("_n")).select(*place, F.lit(depth).alias("level"), F.coalesce(F.col("_n") > most, F.lit(False)).alias("_heavy"))
+        told.append((base, materialize(found)))
+        if crowded is None:
             break
-    out = told[0]
-    for more in told[1:]:
-        out = out.union(more)
-    return out
+        left = materialize(node.alias("r").join(F.broadcast(crowded.alias("o")), equal([*keys, "_node"]), "left_semi").drop("_node"))
+    out = reduce(DataFrame.union, (t for _, t in told))
+    if len(told) > 1:
+        above = lambda t, base: t.select("*", F.explode(F.sequence(F.lit(0), F.lit(base - 1))).alias("_up")).withColumn("_node", _prefix(F.col("_up")))
+        lower = [(base, t) for base, t in told if base]
+        heavy = materialize(reduce(DataFrame.union, (above(t.where("_heavy").select(*keys, (n := _prefix(F.lit(base)))["head"].alias("_code"), n["tail"].alias("_tail")).distinct().withColumns(_filled(base)), base) for base, t in lower)).select(*keys, "_up", "_node").distinct())
+        light = reduce(DataFrame.union, (above(t.where("not _heavy").select(*place), base) for base, t in lower))
+        may = materialize(light.alias("r").join(heavy.alias("o"), equal([*keys, "_up", "_node"]), "left_anti"))
+        if not may.isEmpty():
+            summed = may.alias("r").join(rows.alias("o"), equal(place)).select(*(F.col(f"r.{c}") for c in (*keys, "_up", "_node")), "o._m")
+            total = F.count_distinct(F.struct("_m")) if distinct else F.sum("_m")
+            small = materialize(summed.groupBy(*keys, "_up", "_node").agg(total.alias("_n")).where(F.col("_n") <= most).drop("_n"))
+            first = may.alias("r").join(small.alias("o"), equal([*keys, "_up", "_node"]), "left_semi").groupBy(*place).agg(F.min("_up").alias("_first"))
+            out = out.alias("r").join(materialize(first).alias("o"), equal(place), "left").select(*(F.col(f"r.{c}") for c in place), F.coalesce("o._first", "r.level").alias("level"))
+    return out.select(*place, "level", _prefix(F.col("level")).alias("node"))

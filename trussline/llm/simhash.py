@@ -162,6 +162,19 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     return docs.mapInArrow(batches, T.StructType([*kept, *added]))
 
 
+def print_pairs(items: DataFrame) -> DataFrame:
+    """Pairs (x, y) of `items` (_id, _len, _fp) whose SimHashes link, as `links` finds them: blocks propose, pivot distances discard.
+
+    Items of one fingerprint meet the least of them, and those the least of each fingerprint linked to theirs.
+    """
+    sized = items.where("_len > 0").select("_id", F.col("_fp").alias("fp"))
+    prints = materialize(sized.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("n")))
+    same = sized.join(prints.where("n > 1"), "fp").where("_id <> least").select(F.col("_id").alias("p"), F.col("least").alias("q"))
+    of = lambda end: prints.select(F.col("fp").alias(end), F.col("least").alias("p" if end == "a" else "q"))
+    apart = links(prints.select("fp")).join(of("a"), "a").join(of("b"), "b").select("p", "q")
+    return materialize(same.union(apart).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct())
+
+
 def similar_classes(rows: DataFrame, made: DataFrame, firsts: DataFrame) -> DataFrame:
     """Classes (node, root) of texts whose sets of shingles share `PERCENT` of their union, also through others.  `rows` has
     _doc, _null, _row, _text, `made` their sketches, and `firsts` (_id, least) a row of each distinct set."""
@@ -179,7 +192,18 @@ def similar_classes(rows: DataFrame, made: DataFrame, firsts: DataFrame) -> Data
     def verify(pairs: DataFrame) -> DataFrame:
         return minmax.jaccard_links(pairs, load(pairs.select(F.explode(F.array("x", "y")).alias("_id"))), PERCENT)
 
-    return classes(items, alike, verify, lambda ids: minmax.jaccard_prefixes(load(ids).join(ids, "_id", "left_semi"), PERCENT), minmax.jaccard_shared(PERCENT))
+    found = materialize(classes(items, alike, verify, lambda ids: minmax.jaccard_prefixes(load(ids).join(ids, "_id", "left_semi"), PERCENT), minmax.jaccard_shared(PERCENT)))
+    near = print_pairs(items)
+    if near.isEmpty():
+        return found
+    # what the bands have put in one class already tells nothing new
+    root = lambda end: found.select(F.col("node").alias(f"_{end}"), F.col("root").alias(f"_{end}root"))
+    met = near.join(root("x"), F.col("x") == F.col("_x"), "left").join(root("y"), F.col("y") == F.col("_y"), "left")
+    open_ = materialize(met.where(F.coalesce("_xroot", "x") != F.coalesce("_yroot", "y")).select("x", "y"))
+    if open_.isEmpty():
+        return found
+    more = materialize(verify(open_))
+    return components(found.select(F.col("node").alias("x"), F.col("root").alias("y")).union(more), "x", "y")
 
 
 @shielded
@@ -191,7 +215,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     Such texts differ in about ten bits of a SimHash of 64, where neither pivots nor pairs of bit blocks tell
     candidates from random pairs.  So texts meet under bands of least and greatest hashes (`minmax`), across
-    classes only (`blocks`); SimHash discards pairs beyond `WIDE` bits, and the sets verify.
+    classes only (`blocks`), where SimHash discards pairs beyond `WIDE` bits.  Texts whose SimHashes differ in `RADIUS` bits or
+    fewer meet through blocks and pivots (`links`).  The sets verify both.
     Rows equal in every column that can be hashed are one row's copies, of which one stays.
     """
     hashed = [F.col(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]

@@ -757,3 +757,18 @@ def test_own_names_are_replaced(spark):
         twice = run(once)
         assert sorted(twice.columns) == sorted(once.columns)
         assert sorted(map(str, twice.select(sorted(once.columns)).collect())) == sorted(map(str, once.select(sorted(once.columns)).collect()))
+
+
+def test_every_line_that_links_shares_a_run(spark):
+    """Edits at even distances leave no run longer than they must; none of the links is missed."""
+    rng = random.Random(11)
+    texts = []
+    for n in [5, 6, 7, 9, 10, 11, 14, 15, 16, 19, 20, 21, 25, 40, 64, 120] * 6:
+        base = [f"e{rng.randrange(10**6)}" for _ in range(n)]
+        d, cut = n // 5, list(base)
+        for k in range(d):
+            at = (k + 1) * n // (d + 1) - (k % 2)
+            cut[min(at, n - 1)] = f"f{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(cut)]
+    got = {r.doc_id: r.class_doc for r in lines.classes(docs_of(spark, texts)).collect()}
+    assert [p for p in range(0, len(texts), 2) if got[p] != got[p + 1]] == []

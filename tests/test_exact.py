@@ -118,3 +118,26 @@ def test_depth_and_columns(spark):
     assert [(r.x.hit, r.x.depth) for r in got] == [(True, 0.25), (False, 0.0)]
     assert [(r.r.hit, r.r.edge) for r in got] == [(True, False), (True, True)]
     assert exact.ulp(np.array([1.0, -1.0, 0.0])).tolist() == [2**-52, 2**-52, 5e-324]
+
+
+def test_pairs_that_meet_in_every_position_are_not_tried(monkeypatch):
+    from trussline.operators import penetration
+
+    corners = np.array([(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)], float)
+    faces = np.array([(0, 2, 1), (0, 3, 2), (4, 5, 6), (4, 6, 7), (0, 1, 5), (0, 5, 4), (1, 2, 6), (1, 6, 5), (2, 3, 7), (2, 7, 6), (3, 0, 4), (3, 4, 7)])
+    rng = np.random.default_rng(3)
+    pairs = [(corners * size + at, faces, corners, faces) for size, at in zip(rng.uniform(0.2, 1, 60), rng.uniform(-0.9, 0.9, (60, 3)), strict=True)]
+    pairs.append((corners * 0.5 + 0.2, faces[1:], corners, faces))  # open
+    two = np.concatenate([corners * 0.3 + 0.3, corners * 0.3 + 5])
+    pairs.append((two, np.concatenate([faces, faces + 8]), corners, faces))  # of two pieces, of which one is within
+    pairs.append((corners * 0.02 + 0.4, faces, corners, faces))  # smaller than the tolerance
+    known = penetration.meet_always(pairs, 0.05)
+    assert known.sum() > 20 and not known[60:].any()
+    with_proof = penetration.depths(pairs, 0.05)
+    assert penetration.contacts([(penetration.positions(a, fa, 0.05)[0], fa, b, fb) for (a, fa, b, fb), k in zip(pairs, known, strict=True) if k])[0].all()
+    tried = []
+    run = penetration.contacts
+    monkeypatch.setattr(penetration, "contacts", lambda jobs: tried.append(len(jobs)) or run(jobs))
+    assert penetration.depths(pairs, 0.05) == with_proof and tried == [len(pairs) - known.sum()]
+    monkeypatch.setattr(penetration, "meet_always", lambda pairs, tolerance: np.zeros(len(pairs), bool))
+    assert penetration.depths(pairs, 0.05) == with_proof

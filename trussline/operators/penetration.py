@@ -6,20 +6,24 @@ pair's positions are tested for contact in one batch.  No contact where it is: d
 parts the boxes bounds the depth; if that is not below the tolerance, the widest shift without contact is taken, or the
 first shrinking without.
 
+No position moves a vertex by more than the tolerance.  So where both meshes are closed and of one piece, a point that lies in the one mesh deeper
+than the tolerance, and in the other, lies in both in every position: all are in contact, and the positions need not be tried.  A point is
+proposed for each pair of a batch, and proven against all triangles; pairs without a proven point are tested as said.
+
 A depth above the tolerance is possible only where the boxes overlap by more than the tolerance along every axis,
 which is a filter on columns before any mesh is read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .geometry import inside_mesh, triangle_points
+from .geometry import inside_mesh, point_triangle, triangle_points
 
 SHIFTS = 5
 SHRINK = 0.05
@@ -130,9 +134,66 @@ def positions(va, fa, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     return tried, np.concatenate([[0.0], by, np.linalg.norm(shrunk, axis=2).max(1)])
 
 
+@lru_cache(maxsize=4096)
+def _whole(faces: bytes, dtype: str) -> bool:
+    """Is the mesh of these faces closed and of one piece?"""
+    f = np.frombuffer(faces, dtype).reshape(-1, 3)
+    label = np.arange(f.max() + 1 if len(f) else 0)
+    while len(f):
+        least = label[f].min(1)
+        now = label.copy()
+        for k in range(3):
+            np.minimum.at(now, f[:, k], least)
+        if (now == label).all():
+            break
+        label = now
+    return bool(len(f)) and closed(f) and len(np.unique(label[f])) == 1
+
+
+def _depth_inside(points: np.ndarray, triangles: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How far points lie from the surface of their own closed mesh: the triangles with `owner` (in order) their number; -1 outside, and where
+    the ray that tells grazes an edge or a plane."""
+    p, (a, b, c) = points[owner], triangles.swapaxes(0, 1)
+    near = point_triangle(p, a, b, c)
+    first = np.searchsorted(owner, np.arange(len(points)))
+    far = np.sqrt(np.minimum.reduceat(((near - p) ** 2).sum(1), first))
+    ab, ac, ray = b - a, c - a, np.array([0.36, 0.48, 0.8]) + np.array([0.01, -0.02, 0.0075])
+    n = np.cross(ab, ac)
+    nn, den = (n * n).sum(1), n @ ray
+    flat = np.abs(den) <= 1e-9 * np.sqrt(nn)
+    t = np.divide(((a - p) * n).sum(1), den, out=np.full(len(den), -1.0), where=~flat)
+    x = p + ray * t[:, None] - a
+    u, v = (np.divide((w * n).sum(1), nn, out=np.zeros_like(nn), where=nn > 0) for w in (np.cross(x, ac), np.cross(ab, x)))
+    edge = np.minimum(np.minimum(u, v), 1 - u - v)
+    unsure = np.add.reduceat((flat | (np.abs(edge) < 1e-9) & (t > -1e-9)).astype(int), first) > 0
+    odd = np.add.reduceat(((edge > 0) & (t > 0)).astype(int), first) % 2 == 1
+    return np.where(odd & ~unsure, far, -1.0)
+
+
+def meet_always(pairs: list[tuple], tolerance: float) -> np.ndarray:
+    """Which pairs are seen to be in contact wherever the first mesh moves by up to `tolerance`; others may be."""
+    out = np.array([_whole(fa.tobytes(), fa.dtype.str) and _whole(fb.tobytes(), fb.dtype.str) for _, fa, _, fb in pairs], bool)
+    tried = np.flatnonzero(out)
+    if not len(tried):
+        return out
+    box = np.array([(va.min(0) + tolerance, va.max(0) - tolerance, vb.min(0), vb.max(0)) for va, _, vb, _ in (pairs[k] for k in tried)])
+    points = (np.maximum(box[:, 0], box[:, 2]) + np.minimum(box[:, 1], box[:, 3])) / 2
+    deep = []
+    for mesh in (0, 2):
+        own = [pairs[k][mesh][pairs[k][mesh + 1]] for k in tried]
+        deep.append(_depth_inside(points, np.concatenate(own), np.repeat(np.arange(len(own)), [len(t) for t in own])))
+    slack = 1e-9 * (tolerance + np.abs(box).max((1, 2)))
+    out[tried] = (deep[0] > tolerance + slack) & (deep[1] > slack)
+    return out
+
+
 def depths(pairs: list[tuple], tolerance: float) -> list[float]:
     """Depth of each pair (vertices, faces, vertices, faces), the first mesh giving way."""
     best = [float(np.minimum(va.max(0) - vb.min(0), vb.max(0) - va.min(0)).min()) for va, _, vb, _ in pairs]
+    known = meet_always(pairs, tolerance)
+    if known.any():
+        rest = iter(depths([p for p, k in zip(pairs, known, strict=True) if not k], tolerance)) if not known.all() else iter(())
+        return [b if k else next(rest) for b, k in zip(best, known, strict=True)]
     tried = [positions(va, fa, tolerance) if b >= tolerance else (va[None], np.zeros(1)) for b, (va, fa, _, _) in zip(best, pairs, strict=True)]
     met = contacts([(moved, fa, vb, fb) for (moved, _), (_, fa, vb, fb) in zip(tried, pairs, strict=True)])
     return [b if m.all() else max(0.0, min(b, float(d[np.argmin(m)]))) for b, m, (_, d) in zip(best, met, tried, strict=True)]

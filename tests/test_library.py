@@ -706,3 +706,20 @@ def test_results_are_sent_once(spark, tmp_path):
     (inbox / "2.txt").write_text("import -f a.ifc\nimport -f b.ifc\n")  # delivered again in a later batch
     run()
     assert len(results()) == 5
+
+
+def test_crowded_cells_are_dealt(spark, monkeypatch):
+    rng = random.Random(4)
+    at = [[rng.random() for _ in range(3)] for _ in range(400)] + [[50.0 + 9 * k, 0.0, 0.0] for k in range(40)]
+    rows = [(k, *p, *(x + 0.2 for x in p)) for k, p in enumerate(at)]
+    boxes = spark.createDataFrame(rows, "id long, " + ", ".join(f"{c} double" for c in spatial.CORNERS))
+    want = {(a[0], b[0]) for a in rows for b in rows if all(a[1 + k] <= b[4 + k] and b[1 + k] <= a[4 + k] for k in range(3))}
+    monkeypatch.setattr(spatial, "FEW", 0)
+    monkeypatch.setattr(spatial, "DENSE", 30)
+    got = spatial.overlap_join(boxes, boxes, 0.25).select("a_id", "b_id").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    left, right = (spatial._cells(boxes, side, 0.25, [0], 0.0) for side in "ab")
+    dealt, whole = spatial._dealt(left, right, 30)
+    largest = lambda df, *by: max(r["count"] for r in df.groupBy(*by).count().collect())
+    assert largest(dealt, *spatial.CELLS, "_part") <= 30 < largest(left, *spatial.CELLS)
+    assert whole.where("_c0 >= 200").select("_part").distinct().count() == 1  # cells of few boxes are not

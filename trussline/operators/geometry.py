@@ -139,10 +139,13 @@ def mesh_contains(points: pd.Series, triangles: pd.Series) -> pd.Series:
 
 
 def edge_uses(faces):
-    """faces (mesh, face_no, v array<int>) to undirected edges with their number of uses."""
+    """faces (mesh, face_no, v array<int>) to undirected edges with their number of uses.
+
+    Edges are dealt before they are counted: most occur twice, so a count before would hold nearly all edges of a task's input and spare little."""
     corner = lambda i: F.get("v", F.lit(i))
     sides = F.array(*(F.struct(F.least(corner(i), corner((i + 1) % 3)).alias("lo"), F.greatest(corner(i), corner((i + 1) % 3)).alias("hi")) for i in range(3)))
-    return faces.select("mesh", F.explode(sides).alias("e")).groupBy("mesh", "e.lo", "e.hi").agg(F.count("*").alias("uses"))
+    edges = faces.select("mesh", F.explode(sides).alias("e")).select("mesh", "e.lo", "e.hi")
+    return edges.repartition("mesh", "lo").groupBy("mesh", "lo", "hi").agg(F.count("*").alias("uses"))
 
 
 def closed_and_manifold(faces):

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trussline.functions import documents, linear
-from trussline.operators import clash, frames, geometry, graph, packing, partition, penetration, scenes, spatial, tree
+from trussline.operators import clash, frames, geometry, graph, metadata, packing, partition, penetration, scenes, spatial, tree
 from trussline.plans.filters import All, ElemMatch, Eq, Exists, Projection, any_of, condition, project
 from trussline.sources import container, files, ifc, readers, store
 from trussline.streaming import jobs, outbox
@@ -723,3 +723,37 @@ def test_crowded_cells_are_dealt(spark, monkeypatch):
     largest = lambda df, *by: max(r["count"] for r in df.groupBy(*by).count().collect())
     assert largest(dealt, *spatial.CELLS, "_part") <= 30 < largest(left, *spatial.CELLS)
     assert whole.where("_c0 >= 200").select("_part").distinct().count() == 1  # cells of few boxes are not
+
+
+def _plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_edges_are_dealt_before_they_are_counted(spark):
+    faces = spark.createDataFrame([(m, k, v) for m in (1, 2) for k, v in enumerate([[0, 1, 2], [0, 3, 1], [1, 3, 2], [2, 3, 0]]) if (m, k) != (2, 3)], "mesh long, face_no int, v array<int>")
+    assert {tuple(r) for r in geometry.closed_and_manifold(faces).collect()} == {(1, True), (2, False)}
+    assert _plan(geometry.edge_uses(faces)).count("Exchange") == 1 and "REPARTITION" in _plan(geometry.edge_uses(faces))
+
+
+def test_statements_are_parsed_once_for_properties(spark):
+    lines = spark.createDataFrame([("m", "#1=IFCPROPERTYSINGLEVALUE('a',$,IFCLABEL('x'),$)"), ("m", "#2=IFCPROPERTYSET('g',$,'Own',$,(#1))"), ("m", "#3=IFCRELDEFINESBYPROPERTIES('g',$,$,$,(#9),#2)")], "model string, value string")
+    found = ifc.properties(ifc.entities(lines))
+    assert [tuple(r) for r in found.collect()] == [("m", 9, "Own", "a", "x", None)]
+    assert "ExistingRDD" not in _plan(found) and "regexp_extract_all(value" not in _plan(found)
+
+
+def test_selection_tree_walks_once(spark, sf, monkeypatch):
+    from trussline.queries import hierarchy
+
+    walked, run = [], graph.walk
+    monkeypatch.setattr(graph, "walk", lambda *a, **k: walked.append(1) or run(*a, **k))
+    assert hierarchy.selection_tree_json(spark, sf).count() and walked == [1]
+
+
+def test_metadata_moves_in_one_join(spark):
+    nodes = spark.createDataFrame([("t", "transformation"), ("e", "transformation"), ("a", "mesh"), ("b", "mesh")], "shared_id string, type string")
+    below = spark.createDataFrame([("t", "a"), ("t", "b"), ("a", "a"), ("b", "b"), ("a", "b")], "shared_id string, mesh string")
+    attached = spark.createDataFrame([("m1", "t"), ("m1", "a"), ("m2", "e"), ("m3", "a"), ("m4", "gone")], "meta_id string, shared_id string")
+    out = metadata.propagate(attached, nodes, below)
+    assert sorted(tuple(r) for r in out.collect()) == [("m1", "a"), ("m1", "b"), ("m2", "e"), ("m3", "a"), ("m4", "gone")]
+    assert "LeftAnti" not in _plan(out)

@@ -55,7 +55,7 @@ _MODEL = (
 
 def statements(spark, sf) -> DataFrame:
     """(model, value): a model a brand, with its parts as walls of one storey."""
-    p = table(spark, sf, "part").withColumn("k", F.col("p_partkey") + 100)
+    p = table(spark, sf, "part").repartition("p_partkey").withColumn("k", F.col("p_partkey") + 100)  # a small file is one split: its text is much larger
     k, s = F.col("k"), F.col("p_size")
     given = ([k, k, "p_name"], [k, s], [k, s], [k, "p_type"], [k, k, k, k, k], [k, k, k, k], [k, k, k])
     lines = F.array(*(F.format_string(text, *values) for text, values in zip(_PART, given, strict=True)))

@@ -278,7 +278,8 @@ def property_values(found: DataFrame) -> DataFrame:
 
 def properties(found: DataFrame) -> DataFrame:
     """(model, object, group, name, value, unit): what property sets and quantities say of each object; an object's own
-    sets come before those of its type, and of equal ones the last defined counts."""
+    sets come before those of its type, and of equal ones the last defined counts.  Text is parsed once: `found` is stored."""
+    found = materialize(found)
     groups = found.where("type = 'IFCPROPERTYSET'").select("model", F.col("id").alias("set"), F.coalesce(val(2), F.lit("IfcPropertySet")).alias("group"), F.explode(references(arg(4))).alias("property"))
     amounts = found.where("type = 'IFCELEMENTQUANTITY'").select("model", F.col("id").alias("set"), F.coalesce(val(2), F.lit("IfcElementQuantity")).alias("group"), F.explode(references(arg(5))).alias("property"))
     own = found.where("type = 'IFCRELDEFINESBYPROPERTIES'").select("model", F.explode(references(arg(4))).alias("object"), reference(arg(5)).alias("set"), F.lit(0).alias("rank"))

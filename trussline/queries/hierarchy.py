@@ -162,7 +162,8 @@ n AS (SELECT t.shared_id, CASE WHEN len(ids) > 1 THEN ids[-2] END AS parent, typ
 def selection_tree_json(spark, sf):
     """The scene as nested documents of about 30,000 bytes at most."""
     n = nodes(spark, sf)
-    return tree.tree_documents(n, tree.toggle_states(n), "a", "p", most=_TREE_BYTES)
+    routes = graph.paths(n)
+    return tree.tree_documents(n, tree.toggle_states(n, routes), "a", "p", most=_TREE_BYTES, routes=routes)
 
 
 @query("SELECT CAST(NULL AS VARCHAR) AS shared_id, CAST(NULL AS VARCHAR) AS change WHERE false UNION ALL SELECT 'O' || o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'removed' ELSE 'modified' END FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 UNION ALL SELECT 'new', 'added'")

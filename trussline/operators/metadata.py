@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 
 def attach_by_name(nodes: DataFrame, meta: DataFrame, exact: bool = True) -> DataFrame:
     """(meta_id, shared_id): metadata on nodes of its name.
@@ -22,11 +24,11 @@ def propagate(attached: DataFrame, nodes: DataFrame, below: DataFrame) -> DataFr
 
     `below` is (shared_id, mesh) as `tree.id_to_meshes` gives it.
     """
-    transformations = nodes.where("type = 'transformation'").select("shared_id")
-    on_transformation = attached.join(transformations, "shared_id", "left_semi")
-    moved = on_transformation.join(below, "shared_id").select("meta_id", F.col("mesh").alias("shared_id"), F.col("shared_id").alias("_from"))
-    stays = attached.join(moved.select("meta_id", F.col("_from").alias("shared_id")).distinct(), ["meta_id", "shared_id"], "left_anti")
-    return stays.unionByName(moved.drop("_from")).distinct()
+    transformations = nodes.where("type = 'transformation'").select(F.col("shared_id").alias("_at"), F.lit(True).alias("_moves"))
+    told = materialize(attached.join(transformations, F.col("shared_id") == F.col("_at"), "left").drop("_at"))
+    lower = below.where("shared_id <> mesh").select(F.col("shared_id").alias("_at"), "mesh")  # a mesh is no transformation
+    moved = told.where("_moves").join(lower, F.col("shared_id") == F.col("_at"), "left").select("meta_id", F.coalesce("mesh", "shared_id").alias("shared_id"))
+    return told.where("_moves is null").select("meta_id", "shared_id").unionByName(moved).distinct()
 
 
 def leaf_parents(nodes: DataFrame) -> DataFrame:

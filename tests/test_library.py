@@ -757,3 +757,24 @@ def test_metadata_moves_in_one_join(spark):
     out = metadata.propagate(attached, nodes, below)
     assert sorted(tuple(r) for r in out.collect()) == [("m1", "a"), ("m1", "b"), ("m2", "e"), ("m3", "a"), ("m4", "gone")]
     assert "LeftAnti" not in _plan(out)
+
+
+def test_container_json_in_pieces():
+    """Records come one at a time, wherever the text is cut, and before the rest of it is read."""
+    tree = {"version": 12, "nodes": [{"id": 7, "name": "café \\\" ]}", "x": [1, {"y": []}]}, {"id": 3}], "other": {"nodes": [1]}, "materials": [], "textures": [{"id": 9, "w": 1.5}], "last": 34}
+    want = [(part[:-1], k, record) for part in container.PARTS for k, record in enumerate(tree[part])]
+    for text in (json.dumps(tree), json.dumps(tree, ensure_ascii=False, indent=1)):
+        for step in (1, 2, 7, 10_000):
+            assert list(container.members(text[k : k + step] for k in range(0, len(text), step))) == want
+        for wrong in (text[:-1], text + "x", text.replace("[", "", 1)):
+            with pytest.raises(ValueError):
+                list(container.members([wrong]))
+    taken = []
+
+    def endless():
+        yield '{"nodes": ['
+        for k in range(1000):
+            taken.append(k)
+            yield f'{{"id": {k}}}, '
+
+    assert next(container.members(endless()))[2] == {"id": 0} and len(taken) < 5

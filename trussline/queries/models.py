@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 
@@ -122,15 +123,18 @@ def _containers(spark, sf) -> DataFrame:
     """A container a nation: its customers are triangles under a group that is moved and scaled."""
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        nation, data = int(pdf["c_nationkey"].iloc[0]), b""
-        nodes = [{"id": 0, "name": "nation", "transformation": [2, 0, 0, nation, 0, 2, 0, 0, 0, 0, 2, 5, 0, 0, 0, 1]}, {"id": 1, "parent": 0, "name": ""}]
-        for key in sorted(pdf["c_custkey"].tolist()):
+        nation, data = int(pdf["c_nationkey"].iloc[0]), bytearray()
+        group = [{"id": 0, "name": "nation", "transformation": [2, 0, 0, nation, 0, 2, 0, 0, 0, 0, 2, 5, 0, 0, 0, 1]}, {"id": 1, "parent": 0, "name": ""}]
+        text = bytearray(b'{"nodes": ' + json.dumps(group)[:-1].encode())  # written a node at a time: as bytes they take a fraction
+        for key in map(int, pdf["c_custkey"].sort_values()):
             corners = [key % 1000, key % 7, 0, key % 1000 + 1, key % 7, 0, key % 1000, key % 7 + 1, key % 3]
             at = len(data)
             data += struct.pack("<9d", *corners) + struct.pack("<3I", 0, 1, 2)
-            nodes.append({"id": key + 2, "parent": 1, "name": "", "metadata": {"skey": f"C{key}"}, "geometry": {"material": key % 2, "numVertices": 3, "vertices": [at, at + 72], "indices": [at + 72, at + 84]}})
+            node = {"id": key + 2, "parent": 1, "name": "", "metadata": {"skey": f"C{key}"}, "geometry": {"material": key % 2, "numVertices": 3, "vertices": [at, at + 72], "indices": [at + 72, at + 84]}}
+            text += b", " + json.dumps(node).encode()
         materials = [{"diffuse": [1, 0, 0], "transparency": 0.25, "shininess": 0.5}, {"diffuse": [0, 1, 0]}]
-        return pd.DataFrame({"path": [f"nation-{nation}"], "content": [container.packed({"nodes": nodes, "materials": materials, "textures": []}, data)]})
+        text += b'], "materials": ' + json.dumps(materials).encode() + b', "textures": []}'
+        return pd.DataFrame({"path": [f"nation-{nation}"], "content": [container.packed(bytes(text), bytes(data))]})
 
     return table(spark, sf, "customer").select("c_nationkey", "c_custkey").groupBy("c_nationkey").applyInPandas(build, "path string, content binary")
 

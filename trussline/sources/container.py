@@ -1,19 +1,24 @@
 """Gzipped binary scene containers: a JSON tree of nodes, materials and textures, and the bytes that its ranges point into.
 
 A file is, once unzipped: six characters of version, a block of sizes whose length depends on the version, the JSON, and the data.
-Gzip cannot be entered half way, so a file is one task, which unzips it once: ranges are read in the order of their start, a
-buffer of one range at a time, and leave the task as rows.  Everything after that (typed records, the tree's world
+Gzip cannot be entered half way, so a file is one task, which unzips it once: the JSON is read a record at a time, of which
+only the places of its ranges are kept (32 bytes each); ranges are read in the order of their start, a buffer of one range at a time.
+Records and ranges leave the task as rows.  Everything after that (typed records, the tree's world
 matrices, transformed vertices, the scene's offset) is joins and columns over all files.
 """
 
 from __future__ import annotations
 
+import codecs
 import gzip
 import io
 import json
 import struct
 import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +29,22 @@ from ..plans.scratch import materialize
 
 #: Characters of the version, and bytes of the block of sizes by version number; the first eight are the JSON's size.
 VERSION, SIZES = 6, {2: 56, 3: 72, 4: 72}
-#: Bytes of ranges that leave a task at once.
-FLUSH = 16 << 20
+#: Bytes of rows that leave a task at once, and what a row takes besides its text and data.
+FLUSH, ROW = 16 << 20, 1 << 10
+#: Bytes of JSON that are read at once.
+PIECE = 1 << 20
 _SCHEMA = "model string, part string, id long, attribute string, start long, text string, data binary"
 RANGES = ("vertices", "indices", "normals", "uv")
+PARTS = ("nodes", "materials", "textures")
+#: What a range is of, in the order in which ranges of one place are read.
+_OF = (*(("node", name) for name in sorted(RANGES)), ("texture", "image"))
 
 
 class Unzipped(io.RawIOBase):
     """The bytes of gzip members, unzipped as they are read."""
 
     def __init__(self, data: bytes):
-        self.rest, self.open, self.ready = memoryview(data), zlib.decompressobj(31), b""
+        self.rest, self.open, self.ready = memoryview(data), zlib.decompressobj(31), memoryview(b"")
 
     def read(self, n: int) -> bytes:
         out = bytearray()
@@ -47,7 +57,7 @@ class Unzipped(io.RawIOBase):
                 piece = self.open.unconsumed_tail
                 if not piece:
                     piece, self.rest = bytes(self.rest[: 1 << 16]), self.rest[1 << 16 :]
-                self.ready = self.open.decompress(piece, 1 << 20)
+                self.ready = memoryview(self.open.decompress(piece, 1 << 20))
                 continue
             wanted = n - len(out)
             out += self.ready[:wanted]
@@ -55,19 +65,96 @@ class Unzipped(io.RawIOBase):
         return bytes(out)
 
 
-def ranges(tree: dict) -> list[tuple[int, int, str, int, str]]:
-    """(start, end, part, id, attribute) of all that the JSON points at, in the order of the data."""
-    out = []
-    for node in tree.get("nodes", []):
-        for name in RANGES:
-            low, high = (node.get("geometry") or {}).get(name) or (0, 0)
+def _pieces(stream: Unzipped, size: int) -> Iterator[str]:
+    """The next `size` bytes as text."""
+    coder = None
+    while size > 0 and (data := stream.read(min(size, PIECE))):
+        size -= len(data)
+        coder = coder or codecs.getincrementaldecoder(json.detect_encoding(data))("surrogatepass")
+        yield coder.decode(data, final=not size)
+
+
+class _Json:
+    """A JSON text that comes in pieces: values are taken off its start, and what is taken is let go."""
+
+    def __init__(self, pieces: Iterable[str]):
+        self.pieces, self.text, self.at, self.decoder = iter(pieces), "", 0, json.JSONDecoder()
+
+    def more(self) -> bool:
+        """At least as much again as is held, so that a value longer than a piece is tried a few times only."""
+        held = [self.text[self.at :]]
+        least, got = len(held[0]), 0
+        while got <= least and (piece := next(self.pieces, None)) is not None:
+            held.append(piece)
+            got += len(piece)
+        self.text, self.at = "".join(held), 0
+        return got > 0
+
+    def peek(self) -> str:
+        """The next character that is not blank, or "" at the end."""
+        while True:
+            while self.at < len(self.text) and self.text[self.at] in " \t\r\n":
+                self.at += 1
+            if self.at < len(self.text) or not self.more():
+                return self.text[self.at : self.at + 1]
+
+    def take(self, wanted: str) -> str:
+        c = self.peek()
+        if not c or c not in wanted:
+            raise ValueError(f"JSON: {c!r} in place of one of {wanted!r}")
+        self.at += 1
+        return c
+
+    def value(self):
+        self.peek()
+        while True:
+            try:
+                found, end = self.decoder.raw_decode(self.text, self.at)
+                if end < len(self.text):
+                    self.at = end
+                    return found
+                if not self.more():  # else a number may go on
+                    self.at = len(self.text)
+                    return found
+            except json.JSONDecodeError:
+                if not self.more():
+                    raise
+
+    def items(self, close: str) -> Iterator[None]:
+        """Stops before each item of an array or object that is open."""
+        if self.peek() == close:
+            self.at += 1
+            return
+        while True:
+            yield
+            if self.take("," + close) == close:
+                return
+
+
+def members(pieces: Iterable[str]) -> Iterator[tuple[str, int, dict]]:
+    """(part, place, record) of the nodes, materials and textures of a tree, as its text comes."""
+    text = _Json(pieces)
+    text.take("{")
+    for _ in text.items("}"):
+        name = text.value()
+        text.take(":")
+        if name not in PARTS:
+            text.value()
+            continue
+        text.take("[")
+        for place, _ in enumerate(text.items("]")):
+            yield name[:-1], place, text.value()
+    if text.peek():
+        raise ValueError("JSON: there is more after its end")
+
+
+def _ranges(part: str, record: dict) -> Iterator[tuple[int, int, int, int]]:
+    """(start, end, id, place in _OF) of what a record points at."""
+    for k, (of, name) in enumerate(_OF):
+        if of == part:
+            low, high = (record.get("imageBytes") if of == "texture" else (record.get("geometry") or {}).get(name)) or (0, 0)
             if high > low:
-                out.append((low, high, "node", node["id"], name))
-    for texture in tree.get("textures", []):
-        low, high = texture.get("imageBytes") or (0, 0)
-        if high > low:
-            out.append((low, high, "texture", texture["id"], "image"))
-    return sorted(out)
+                yield low, high, record["id"], k
 
 
 def rows(model: str, content: bytes):
@@ -78,12 +165,17 @@ def rows(model: str, content: bytes):
     if version[:3] != "BIM" or not number.isdigit() or int(number) not in SIZES:
         raise ValueError(f"{model}: version {version!r} is not read")
     (size,) = struct.unpack_from("<q", stream.read(SIZES[int(number)]))
-    tree = json.loads(stream.read(size))
-    for part in ("nodes", "materials", "textures"):
-        for place, record in enumerate(tree.get(part, [])):
-            yield model, part[:-1], record.get("id", place), None, place, json.dumps(record), None
+    found = array("q")
+    for part, place, record in members(_pieces(stream, size)):
+        for own in _ranges(part, record):
+            found.extend(own)
+        yield model, part, record.get("id", place), None, place, json.dumps(record), None
+    places = np.frombuffer(found, np.int64).reshape(-1, 4)
+    image = places[:, 3] == len(RANGES)
     at, held = 0, b""  # bytes read of the data, and those of them that later ranges may share
-    for low, high, part, id_, name in ranges(tree):
+    for k in np.lexsort((places[:, 3], places[:, 2], image, places[:, 1], places[:, 0])):
+        low, high, id_, of = places[k].tolist()
+        part, name = _OF[of]
         skip = low - at
         while skip > 0 and (gone := stream.read(min(skip, 1 << 20))):
             skip -= len(gone)
@@ -97,9 +189,9 @@ def rows(model: str, content: bytes):
         yield model, part, id_, name, low, None, data
 
 
-def packed(tree: dict, data: bytes, version: int = 4) -> bytes:
-    """A container of this tree and data."""
-    text = json.dumps(tree).encode()
+def packed(tree: dict | bytes, data: bytes, version: int = 4) -> bytes:
+    """A container of this tree, or its JSON, and data."""
+    text = tree if isinstance(tree, bytes) else json.dumps(tree).encode()
     sizes = struct.pack("<qq", len(text), len(data)).ljust(SIZES[version], b"\0")
     return gzip.compress(b"BIM%03d" % version + sizes + text + data, 1, mtime=0)
 
@@ -117,10 +209,10 @@ def unpacked(files: DataFrame) -> DataFrame:
         schema = pa.schema([("model", pa.string()), ("part", pa.string()), ("id", pa.int64()), ("attribute", pa.string()), ("start", pa.int64()), ("text", pa.string()), ("data", pa.binary())])
         out, size = [], 0
         for batch in it:
-            for model, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in rows(model, content):
+            for model, content in zip(*batch.columns[:2], strict=True):
+                for row in rows(model.as_py(), content.as_buffer()):  # no copy of the other files' contents
                     out.append(row)
-                    size += len(row[5] or "") + len(row[6] or b"")
+                    size += ROW + len(row[5] or "") + len(row[6] or b"")
                     if size > FLUSH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                         out, size = [], 0

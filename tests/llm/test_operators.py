@@ -772,3 +772,14 @@ def test_every_line_that_links_shares_a_run(spark):
         texts += [" ".join(base), " ".join(cut)]
     got = {r.doc_id: r.class_doc for r in lines.classes(docs_of(spark, texts)).collect()}
     assert [p for p in range(0, len(texts), 2) if got[p] != got[p + 1]] == []
+
+
+def test_lines_are_filed_without_python(spark):
+    """Blocks and sketches are DataFrame functions alone, and linked lines share a block though an edit stands in each fifth word."""
+    base = [f"g{k}" for k in range(57)]
+    cut = [f"h{k}" if k % 5 == 4 else w for k, w in enumerate(base)]
+    found = lines.lines(docs_of(spark, [" ".join(base), " ".join(cut)]))
+    filed = lines.filings(found.select("_id", "_norm"))
+    assert filed.groupBy("_key").count().where("count > 1").count() > 0 and filed.count() <= 2 * (2 * 11 + 1)
+    for made in (filed, lines.sketches(found)):
+        assert "Arrow" not in (plan := made._jdf.queryExecution().toString()) and "Python" not in plan

@@ -783,3 +783,24 @@ def test_lines_are_filed_without_python(spark):
     assert filed.groupBy("_key").count().where("count > 1").count() > 0 and filed.count() <= 2 * (2 * 11 + 1)
     for made in (filed, lines.sketches(found)):
         assert "Arrow" not in (plan := made._jdf.queryExecution().toString()) and "Python" not in plan
+
+
+def test_lines_that_share_a_pair_of_words_by_chance_do_not_meet(spark):
+    """Linked lines agree in several blocks, whichever words are edited; of small blocks only pairs that do are kept."""
+    rng = random.Random(12)
+    texts = []
+    for n in [4, 5, 6, 7, 8, 9, 10, 14, 15, 19, 20, 24, 25, 40, 64, 120] * 4:
+        base = [f"e{rng.randrange(10**6)}" for _ in range(n)]
+        cut = list(base)
+        if n == 4:
+            cut.insert(rng.randrange(5), "f")
+        for k in range(n // 5):
+            cut[min((k + 1) * n // (n // 5 + 1) - (k % 2), n - 1)] = f"f{rng.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(cut)]
+    texts += [f"{' '.join(f'c{p}w{k}s{side}' for k in range(20))} shared{p} pair{p}" for p in range(50) for side in range(2)]
+    texts += ["w w w w w w", "w w w w w w w", "a b a b a b a b a b", "a b a b a b a b a c"]
+    once = lines.lines(docs_of(spark, texts)).select(lines.F.col("doc_id").alias("_id"), "_norm")
+    agreed, larger = lines._candidates(lines.materialize(once))
+    got = {(r.x, r.y) for r in agreed.collect()}
+    assert larger.count() == 0 and got >= {(x, x + 1) for x in [*range(0, 128, 2), 228, 230]}
+    assert not any(x in range(128, 228) for x, _ in got)

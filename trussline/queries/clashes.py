@@ -49,7 +49,7 @@ def duplicate_mesh_ids(spark, sf):
 
 @query(f"WITH {_PAIRS} SELECT a_id, b_id FROM pairs WHERE g0 = 0 AND g1 = 0 AND g2 = 0")
 def broadphase_overlap_inter(spark, sf):
-    return clash.candidate_pairs(_parts(spark, sf), partial(spatial.overlap_join, cell=CELL)).select("a_id", "b_id")
+    return sweep.close_pairs(_parts(spark, sf), sweep.without_gap(), cell=CELL, within=["C"])
 
 
 @query(f"WITH {BOXES_SQL} SELECT a.id AS a_id, b.id AS b_id FROM boxes a JOIN boxes b ON a.id < b.id AND {_OVERLAP}")

@@ -10,6 +10,10 @@ No position moves a vertex by more than the tolerance.  So where both meshes are
 than the tolerance, and in the other, lies in both in every position: all are in contact, and the positions need not be tried.  A point is
 proposed for each pair of a batch, and proven against all triangles; pairs without a proven point are tested as said.
 
+For most pairs that is told without their triangles: each mesh is given, once, a box that is proven to lie within it (`solids`), and where that of the
+one, less the tolerance, and that of the other share a point, all positions are in contact and the boxes give the depth.  These
+pairs are found, told and returned by tiles (see `sweep`), so no pair is shuffled; only the others are, with their meshes.
+
 A depth above the tolerance is possible only where the boxes overlap by more than the tolerance along every axis,
 which is a filter on columns before any mesh is read.
 """
@@ -23,7 +27,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import counted, materialize
+from . import sweep
 from .geometry import inside_mesh, point_triangle, triangle_points
+from .spatial import AXES, overlaps
 
 SHIFTS = 5
 SHRINK = 0.05
@@ -206,7 +213,13 @@ def hard_clashes(pairs: DataFrame, meshes: DataFrame, tolerance: float) -> DataF
     """
     left, right = meshes.toDF("a_id", "av", "af"), meshes.toDF("b_id", "bv", "bf")
     deep = reduce(Column.__and__, (F.least(F.col(f"a_hi{k}") - F.col(f"b_lo{k}"), F.col(f"b_hi{k}") - F.col(f"a_lo{k}")) > tolerance for k in range(3)))
-    rows = pairs.where(deep).select("a_composite", "b_composite", "a_id", "b_id").join(left, "a_id").join(right, "b_id").select("a_composite", "b_composite", "a_id", "b_id", "av", "af", "bv", "bf")
+    rows = pairs.where(deep).select("a_composite", "b_composite", "a_id", "b_id").join(left, "a_id").join(right, "b_id")
+    return _tested(rows, tolerance)
+
+
+def _tested(rows: DataFrame, tolerance: float) -> DataFrame:
+    """As `hard_clashes`, of pairs (a_composite, b_composite, a_id, b_id) with the meshes av, af, bv, bf."""
+    rows = rows.select("a_composite", "b_composite", "a_id", "b_id", "av", "af", "bv", "bf")
 
     def test(it):
         for pdf in it:
@@ -219,7 +232,93 @@ def hard_clashes(pairs: DataFrame, meshes: DataFrame, tolerance: float) -> DataF
             out = pdf[["a_composite", "b_composite", "a_id", "b_id"]].set_axis(["a", "b", "a_id", "b_id"], axis=1).assign(depth=found, positions=centres)
             yield out[out["depth"] > tolerance]
 
-    kinds = dict(pairs.dtypes)
+    kinds = dict(rows.dtypes)
     schema = f"a {kinds['a_composite']}, b {kinds['b_composite']}, a_id {kinds['a_id']}, b_id {kinds['b_id']}, depth double, positions array<array<double>>"
     # pairs differ in cost by orders of magnitude: spread them evenly, whatever their meshes
     return rows.repartition(F.xxhash64("a_id", "b_id")).mapInPandas(test, schema)
+
+
+def _size(v: np.ndarray) -> float:
+    return np.linalg.norm(np.ptp(v, axis=0))
+
+
+def within(meshes: list[tuple[np.ndarray, np.ndarray]], slack: float) -> np.ndarray:
+    """For each mesh (vertices, faces) a box (lo, hi) all points of which lie in it, at least `slack` of the coordinates' size below its surface; lo is above hi
+    where none is proven.  Boxes around the middle are tried: no triangle reaches into one, and its middle is inside."""
+    out = np.tile([1.0, 1.0, 1.0, -1.0, -1.0, -1.0], (len(meshes), 1))
+    tried = [k for k, (v, f) in enumerate(meshes) if np.isfinite(v).all() and _whole(f.tobytes(), f.dtype.str)]
+    if not tried:
+        return out
+    triangles = [meshes[k][0][meshes[k][1]] for k in tried]
+    middle = np.array([(v.min(0) + v.max(0)) / 2 for v, _ in (meshes[k] for k in tried)])
+    inside = _depth_inside(middle, np.concatenate(triangles), np.repeat(np.arange(len(tried)), [len(t) for t in triangles])) > 0
+    for k, c, t in (x for x, ok in zip(zip(tried, middle, triangles, strict=True), inside, strict=True) if ok):
+        v = meshes[k][0]
+        ends, small = np.array([v.min(0), v.max(0)]), slack * (1 + np.abs(v).max())
+        n = _unit(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]))
+        off, low, high = np.abs(((t[:, 0] - c) * n).sum(1)), t.min(1), t.max(1)
+        for share in (1.0, 0.9, 0.75, 0.5, 0.25, 0.1):
+            box = ends if share == 1 else c + (ends - c) * share
+            apart = ((high <= box[0]) | (low >= box[1])).any(1) | (n.any(1) & (off > np.abs(n) @ ((box[1] - box[0]) / 2) + small))
+            if apart.all():
+                out[k] = [*(box[0] + small), *(box[1] - small)]
+                break
+    return out
+
+
+def solids(meshes: DataFrame, slack: float = 1e-9) -> DataFrame:
+    """`meshes` with v and f replaced by size, which tells the smaller mesh, the middle of its box (mid0 to 2), and the box `within` (in0 to 5)."""
+    rest = [c for c in meshes.columns if c not in ("v", "f")]
+    kinds = dict(meshes.dtypes)
+
+    def told(it):
+        for pdf in it:
+            shapes = [(np.array(v, float).reshape(-1, 3), np.array(f, int).reshape(-1, 3)) for v, f in zip(pdf["v"], pdf["f"], strict=True)]
+            middle = np.array([(v.min(0) + v.max(0)) / 2 for v, _ in shapes]).reshape(-1, 3)
+            box = within(shapes, slack)
+            yield pdf[rest].assign(size=[_size(v) for v, _ in shapes], **{f"mid{k}": middle[:, k] for k in AXES}, **{f"in{k}": box[:, k] for k in range(6)})
+
+    numbers = ["size", *(f"mid{k}" for k in AXES), *(f"in{k}" for k in range(6))]
+    return meshes.mapInPandas(told, ", ".join([*(f"{c} {kinds[c]}" for c in rest), *(f"{c} double" for c in numbers)]))
+
+
+def clashing(boxes: DataFrame, tolerance: float, places: int = 9, cell: float | None = None) -> DataFrame:
+    """`hard_clashes` of all pairs of `boxes` (id, composite, part A or B, corners, and each box's mesh v, f) of both parts and of different composites; depth and
+    positions are to `places`."""
+    stored, _ = counted(boxes.withColumn("_key", F.monotonically_increasing_id()))
+    told = solids(stored).withColumns({f"mid{k}": F.round(f"mid{k}", places) for k in AXES})
+    told = materialize(told)
+    inner = [f"in{k}" for k in range(6)]
+
+    def widths(x, y, x_by, y_by, least, greatest):
+        return [least(x(f"in{k + 3}") - x_by, y(f"in{k + 3}") - y_by) - greatest(x(f"in{k}") + x_by, y(f"in{k}") + y_by) for k in AXES]
+
+    def sure(x, y):
+        """The smaller mesh moves, the pair's a of two as large."""
+        moves = (x["size"] < y["size"]) | (x["size"] == y["size"]) & x["_first"]
+        common = widths(x.get, y.get, np.where(moves, tolerance, 0.0), np.where(moves, 0.0, tolerance), np.minimum, np.maximum)
+        return (common[0] > 0) & (common[1] > 0) & (common[2] > 0)
+
+    def deep(m):
+        return (m[0] > tolerance) & (m[1] > tolerance) & (m[2] > tolerance)
+
+    a, b = (lambda c, s=s: F.col(f"{s}_{c}") for s in "ab")
+    moves = a("size") <= b("size")
+    common = widths(a, b, F.when(moves, tolerance).otherwise(0.0), F.when(moves, 0.0).otherwise(tolerance), F.least, F.greatest)
+    is_sure = reduce(Column.__and__, (w > 0 for w in common))
+    overlap = [F.least(a(f"hi{k}") - b(f"lo{k}"), b(f"hi{k}") - a(f"lo{k}")) for k in AXES]
+    is_deep = reduce(Column.__and__, (w > tolerance for w in overlap), overlaps())
+    depth = ("double", F.round(F.least(*overlap), places), lambda m, x, y: sweep.rounded(np.minimum(np.minimum(m[0], m[1]), m[2]), places))
+    reads = ("size", *inner)
+    left = sweep.Kind(is_deep & ~is_sure, 0.0, lambda m, x, y: deep(m) & ~sure(x, y), {}, reads)
+    rest, n = counted(sweep.close_pairs(told, left, ["id", "composite", "_key"], cell))
+    kind = sweep.Kind(is_deep & is_sure, 0.0, lambda m, x, y: deep(m) & sure(x, y), {"depth": depth}, reads)
+    found = sweep.close_pairs(told, kind, ["id", "composite", "mid0", "mid1", "mid2"], cell)
+    spot = F.array(*(F.array(*(F.col(f"{s}_mid{k}") for k in AXES)) for s in "ab"))
+    found = found.select(F.col("a_composite").alias("a"), F.col("b_composite").alias("b"), "a_id", "b_id", "depth", spot.alias("positions"))
+    if not n:
+        return found
+    mesh = stored.select("_key", "v", "f")
+    tested = _tested(rest.join(mesh.toDF("a__key", "av", "af"), "a__key").join(mesh.toDF("b__key", "bv", "bf"), "b__key"), tolerance)
+    near = F.transform("positions", lambda p: F.transform(p, lambda x: F.round(x, places)))
+    return found.union(tested.withColumns({"depth": F.round("depth", places), "positions": near}))

@@ -804,3 +804,27 @@ def test_lines_that_share_a_pair_of_words_by_chance_do_not_meet(spark):
     got = {(r.x, r.y) for r in agreed.collect()}
     assert larger.count() == 0 and got >= {(x, x + 1) for x in [*range(0, 128, 2), 228, 230]}
     assert not any(x in range(128, 228) for x, _ in got)
+
+
+def test_runs_of_three_words_are_seldom_shared_by_chance(spark):
+    """Of two lines with many pairs of words in common, but no run of three, no filing is shared; short lines that link share one wherever the edit stands."""
+    rng = random.Random(13)
+    texts = []
+    for n, m in ((4, 5), (5, 5), (5, 6), (6, 6), (7, 7), (9, 10), (13, 15)):
+        for at in range(n):
+            for p in range(3):
+                base = [f"e{rng.randrange(10**6)}" for _ in range(n)]
+                cut = base[:at] + ["f"] * (1 + m - n) + base[at + 1 :] if (n, m) == (13, 15) else base[:at] + ["f"] * (m > n) + base[at:]
+                if m == n:
+                    cut[at] = f"f{p}"
+                texts += [" ".join(base), " ".join(cut)]
+    links = len(texts)
+    for p in range(20):
+        pairs = [f"q{p}w{2 * k} q{p}w{2 * k + 1}" for k in range(10)]
+        texts += [" ".join(f"{x} s{p}side{side}k{k}" for k, x in enumerate(pairs)) for side in range(2)]
+    once = lines.materialize(lines.lines(docs_of(spark, texts)).select(lines.F.col("doc_id").alias("_id"), "_norm"))
+    agreed, larger = lines._candidates(once)
+    got = {(r.x, r.y) for r in agreed.collect()}
+    assert larger.count() == 0 and got >= {(x, x + 1) for x in range(0, links, 2)}
+    filed = lines.filings(once.where(f"_id >= {links}"), lines.AGREE, lines.RUN)
+    assert filed.groupBy("_key").count().where("count > 1").count() == 0
